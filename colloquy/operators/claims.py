@@ -125,7 +125,7 @@ def validate_claims(claims: DataFrame, stats: DataFrame, evidence: DataFrame,
     verbatim = F.col("known") & (quoted != "") & F.contains(F.col("excerpt_text"), quoted)
     scope = claims.select(
         "claim_no", "_label", (ids + refs_ > 0).alias("cites"),
-        F.explode("year_scope").cast("string").alias("venue_year"))
+        F.explode(F.col("year_scope").cast("array<string>")).alias("venue_year"))
     known_scope = scope.join(known_years, "venue_year", "left_semi")
     return union_violations([
         local,

@@ -10,7 +10,7 @@ The library does not depend on this module.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
@@ -23,6 +23,12 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def epoch_seconds(col: str) -> Column:
+    """Epoch seconds of a zone-less timestamp, whatever the session time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, F.col(col)) / 1000000.0
+
+
 # --- orders corpus ----------------------------------------------------------------------
 
 
@@ -43,7 +49,7 @@ def order_forums(spark: SparkSession, path: str, paper: bool = True) -> DataFram
         F.when(price >= 20000, F.year("o_orderdate")).alias("venue_year"),
         raw.alias("decision_raw"),
         N.decision_outcome(raw).alias("decision"),
-        F.unix_timestamp("o_orderdate").cast("double").alias("fetched_at"),
+        epoch_seconds("o_orderdate").alias("fetched_at"),
         F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"),
     )
     if not paper:
@@ -57,7 +63,7 @@ def order_forums(spark: SparkSession, path: str, paper: bool = True) -> DataFram
     return out.join(c, "cust", "left")
 
 
-def _line_note() -> F.Column:
+def _line_note() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -231,12 +237,22 @@ def paper_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh_results(spark: SparkSession, path: str) -> DataFrame:
+    return as_refresh_results(table(spark, path, "events"))
+
+
+def stream(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table as a stream of files."""
+    schema = table(spark, path, name).schema
+    return spark.readStream.schema(schema).format("parquet").option(
+        "pathGlobFilter", f"{name}.parquet").load(path)
+
+
+def as_refresh_results(events: DataFrame) -> DataFrame:
     """Events as refresh results: an error is a failed fetch, a purchase a change; a
     sign-up of some value carries a decision."""
-    e = table(spark, path, "events")
-    return e.select(
+    return events.select(
         F.col("user_id").alias("forum_id"),
-        (F.unix_micros("ts") / 1000000.0).alias("ts"), F.col("event_id").alias("seq"),
+        epoch_seconds("ts").alias("ts"), F.col("event_id").alias("seq"),
         (F.col("event_type") != "error").alias("ok"),
         (F.col("event_type") == "purchase").alias("changed"),
         F.when((F.col("event_type") == "signup") & (F.col("value") > 60),
