@@ -2,10 +2,10 @@
 
 Input is a value histogram: ``keys``, a value column and a count ``n``. Repeated
 values collapse in the map-side combine, so the largest group costs its number of
-distinct values. These are spread over ``buckets`` equal-width intervals per group;
-only interval totals (at most ``buckets`` rows per group) meet in one window, and
-the values of an interval are ordered in a task of their own. Bucketing is a
-monotone function of the value, hence the results are exact.
+distinct values. These are spread over buckets by magnitude; only bucket totals meet
+in one window per group (there are at most a few hundred for values of one scale), and
+the values of a bucket are ordered in a task of their own. Bucketing is a monotone
+function of the value, hence the results are exact.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+PER_OCTAVE = 64  # buckets between a value and its double
+_EXPONENTS = 1100  # more than the exponent range of a double
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, n: Column | None = None) -> DataFrame:
@@ -29,14 +30,12 @@ def histogram(df: DataFrame, keys: list[str], value: str, n: Column | None = Non
     )
 
 
-def group_totals(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """total, mean, low and high per group of a histogram."""
-    return hist.groupBy(*keys).agg(
-        F.sum("n").alias("total"),
-        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
-    )
+def bucket(value: Column, per_octave: int = PER_OCTAVE) -> Column:
+    """Monotone bucket number of a value; NULL values share one of their own."""
+    size = F.floor(F.log2(F.abs(value)) * per_octave) + _EXPONENTS * per_octave
+    return F.coalesce(
+        F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * size).cast("bigint"),
+        F.lit(-(2**62)))
 
 
 def attach(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -46,103 +45,81 @@ def attach(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner")
     return df.crossJoin(F.broadcast(other))
 
 
-def _bucketed(hist: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
-    h = attach(hist, group_totals(hist, keys, value), keys)
-    share = (F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    bucket = F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
-    return h.withColumn("_b", F.coalesce(bucket, F.lit(0)))
+def positioned(hist: DataFrame, keys: list[str], value: str,
+               per_octave: int = PER_OCTAVE) -> DataFrame:
+    """Histogram rows with the figures of their group and their place in its order.
+
+    ``rows`` counts everything, ``total`` only rows with a value; ``sum_v``, ``mean``,
+    ``lo`` and ``hi`` describe the values. A row with a value covers the 0-based
+    positions from ``upto - n`` to ``upto - 1`` of the sorted group."""
+    v, n = F.col(value), F.col("n")
+    h = hist.withColumn("_b", bucket(v, per_octave))
+    counted = F.when(v.isNotNull(), n).otherwise(0)
+    per_bucket = h.groupBy(*keys, "_b").agg(
+        F.sum(n).alias("_r"), F.sum(counted).alias("_n"), F.sum(v * n).alias("_s"),
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    figures = per_bucket.select(
+        *keys, "_b",
+        (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+        F.sum("_r").over(group).alias("rows"), F.sum("_n").over(group).alias("total"),
+        F.sum("_s").over(group).alias("sum_v"),
+        F.min("_lo").over(group).alias("lo"), F.max("_hi").over(group).alias("hi"),
+    ).withColumn("mean", F.col("sum_v") / F.nullif(F.col("total"), F.lit(0)))
+    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        h.join(figures, [*keys, "_b"])
+        .withColumn("upto", F.when(v.isNotNull(), F.col("_before") + F.sum(n).over(inside)))
+        .drop("_b", "_before")
+    )
 
 
-def _bucket_offsets(h: DataFrame, keys: list[str]) -> DataFrame:
-    totals = h.groupBy(*keys, "_b").agg(
-        F.sum("n").alias("_bn"), F.max("total").alias("total"))
-    running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    return totals.withColumn("_before", F.sum("_bn").over(running) - F.col("_bn"))
+def at_position(value: str, position: Column) -> Column:
+    """Aggregate over positioned rows: the value at a position of the group."""
+    hit = (position >= F.col("upto") - F.col("n")) & (position < F.col("upto"))
+    return F.max(F.when(hit, F.col(value)))
 
 
-def cumulative(hist: DataFrame, keys: list[str], value: str,
-               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Histogram with ``below``, the number of rows of the group with a smaller value."""
-    h = _bucketed(hist, keys, value, buckets)
-    offsets = _bucket_offsets(h, keys).select(*keys, "_b", "_before")
-    running = (
-        W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return (
-        h.join(offsets, [*keys, "_b"])
-        .withColumn("below", F.col("_before") + F.sum("n").over(running) - F.col("n"))
-        .drop("_b", "_before")
-    )
+def median(value: str) -> Column:
+    """Exact median: the mean of the two middle elements, one and the same on an odd
+    count."""
+    total = F.col("total")
+    return (at_position(value, F.floor((total - 1) / 2)) + at_position(value, F.floor(total / 2))) / 2
 
 
-def average_rank(hist: DataFrame, keys: list[str], value: str,
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """1-based rank per value; ties share the mean of their ranks."""
-    return cumulative(hist, keys, value, buckets).select(
-        *keys, value, "n", "total", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
-
-
-def order_statistics(hist: DataFrame, keys: list[str], value: str,
-                     positions: dict[str, Column], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Values at 0-based positions of the sorted group. Positions are expressions
-    over the group size ``total``; the result has the keys and one column per position."""
-    h = _bucketed(hist, keys, value, buckets)
-    wanted = (
-        _bucket_offsets(h, keys)
-        .withColumn("_want", F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), pos.cast("bigint").alias("pos"))
-            for name, pos in positions.items()])))
-        .where((F.col("_want.pos") >= F.col("_before"))
-               & (F.col("_want.pos") < F.col("_before") + F.col("_bn")))
-        .select(*keys, "_b", "_before", F.col("_want.name").alias("_name"),
-                F.col("_want.pos").alias("_pos"))
-    )
-    running = (
-        W.partitionBy(*keys, "_b", "_name").orderBy(value)
-        .rowsBetween(W.unboundedPreceding, 0))
-    hit = (
-        h.select(*keys, "_b", value, "n").join(wanted, [*keys, "_b"])
-        .withColumn("_upto", F.col("_before") + F.sum("n").over(running))
-        .where((F.col("_pos") < F.col("_upto")) & (F.col("_pos") >= F.col("_upto") - F.col("n")))
-    )
-    return hit.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in positions])
-
-
-def tercile_cuts(hist: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
-    """``low_cut`` and ``high_cut``: the elements at total//3 and 2*total//3."""
-    return order_statistics(hist, keys, value, {
-        "low_cut": F.floor(F.col("total") / 3),
-        "high_cut": F.floor(F.col("total") * 2 / 3),
-    }, **kw)
-
-
-def medians(hist: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
-    """Exact ``median``: the mean of the two middle elements on an even count."""
-    mid = order_statistics(hist, keys, value, {
-        "_lo": F.floor((F.col("total") - 1) / 2),
-        "_hi": F.floor(F.col("total") / 2),
-    }, **kw)
-    return mid.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
-
-
-def summaries(hist: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
-    """count, mean, population stdev, median, min and max per group.
-
-    The deviation is summed around the finished mean (a second, tiny aggregation of
-    the histogram), which keeps a constant population at exactly zero spread."""
-    totals = group_totals(hist, keys, value)
-    spread = attach(hist, totals, keys).groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), F.lit(2)))
-               / F.max("total")).alias("stdev"),
-        F.max("total").alias("count"),
-        F.max("mean").alias("mean"),
-        F.max("lo").alias("min"),
-        F.max("hi").alias("max"),
-    )
-    return attach(spread, medians(hist, keys, value, **kw), keys).select(
-        *keys, "count", "mean",
-        F.when(F.col("min") == F.col("max"), 0.0).otherwise(F.col("stdev")).alias("stdev"),
-        "median", "min", "max")
+def tercile(value: str, k: int) -> Column:
+    """The element at k * total // 3 of the sorted group."""
+    return at_position(value, F.floor(F.col("total") * k / 3))
+
+
+def stdev(value: str) -> Column:
+    """Population deviation, summed around the finished mean; exactly 0 for a constant."""
+    around = F.sum(F.col("n") * F.pow(F.col(value) - F.col("mean"), F.lit(2)))
+    return F.when(F.max("lo") == F.max("hi"), 0.0).otherwise(F.sqrt(around / F.max("total")))
+
+
+def average_rank(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """1-based rank per value of a histogram; ties share the mean of their ranks."""
+    return positioned(hist, keys, value).select(
+        *keys, value, "n", "total",
+        (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def tercile_cuts(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return positioned(hist, keys, value).groupBy(*keys).agg(
+        tercile(value, 1).alias("low_cut"), tercile(value, 2).alias("high_cut"))
+
+
+def medians(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return positioned(hist, keys, value).groupBy(*keys).agg(median(value).alias("median"))
+
+
+def summaries(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """count, mean, population stdev, median, min and max per group."""
+    return positioned(hist, keys, value).groupBy(*keys).agg(
+        F.max("total").alias("count"), F.max("mean").alias("mean"), stdev(value).alias("stdev"),
+        median(value).alias("median"), F.max("lo").alias("min"), F.max("hi").alias("max"))
 
 
 def smallest_by_key(df: DataFrame, groups: list[str], key: str, quota: str,

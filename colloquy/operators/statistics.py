@@ -1,17 +1,19 @@
 """Descriptive statistics per scope: (family, year) and (family, all years).
 
 Results are tidy rows, one per metric and path: path '' for a plain number, ``mean``
-for a summary, ``6.0`` for a histogram bar, ``accept.low`` for a cross-tab cell.
-
-Data flow. Reviews are combined to (forum, ratings) counts before their only trip
-over the network by forum. From the joined rows come a review cube (counts per
-scope, decision and rating values) and one row per forum; both collapse into
-histograms, and every metric is read off these. Scopes roll up from the finished
-(family, year) counts, not from the rows.
+for a summary, ``6.0`` for a histogram bar, ``accept.low`` for a cross-tab cell. A
+histogram without any value keeps one row with path NULL.
+
+All twenty metrics are read off one *measure histogram*: counts per (scope, measure,
+label, value). It has one shuffle of its own and is as small as the number of distinct
+values. Reviews reach it in two steps: they are first combined to counts per (forum,
+rating values), which shrinks a forum that holds a large part of all reviews to its
+few rating combinations, and only these are joined to their forum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ from colloquy.functions import labels as L
 from colloquy.operators import order_stats as O
 
 SCOPE = ["venue_family", "venue_year"]
-SUMMARY_PATHS = ("count", "mean", "stdev", "median", "min", "max")
+KEYS = [*SCOPE, "measure"]
 DECILES = tuple(f"{i / 10:.1f}-{(i + 1) / 10:.1f}" for i in range(10))
 RANGE_BINS = ("0", "1-2", "3-4", "5+")
 CHANGE_METRICS = (
@@ -31,12 +33,34 @@ CHANGE_METRICS = (
     "rebuttal_absent_rating_change",
 )
 FORUM_MEASURES = ("paper_mean_rating", "paper_rating_variance", "reviewer_disagreement")
-
-
-# --- inputs -----------------------------------------------------------------------------
-
-
-def scoped_forums(forum: DataFrame, *extra: str) -> DataFrame:
+COUNT_METRICS = ("forum_count", "review_count", "response_count")
+
+# metric -> (measure, way of reading it)
+METRICS: dict[str, tuple[str, str]] = {
+    "forum_count": ("forum", "rows"),
+    "review_count": ("reviews_per_forum", "sum"),
+    "response_count": ("responses_per_forum", "sum"),
+    "missing_rate.paper_title": ("paper_title", "rate"),
+    "missing_rate.paper_abstract": ("paper_abstract", "rate"),
+    "missing_rate.decision": ("decision", "rate"),
+    "missing_rate.review_rating": ("rating", "rate"),
+    "missing_rate.review_confidence": ("confidence", "rate"),
+    "rating_distribution_raw": ("rating", "bars"),
+    "rating_distribution_normalized": ("rating", "deciles"),
+    "confidence_distribution_raw": ("confidence", "bars"),
+    "confidence_distribution_normalized": ("confidence", "deciles"),
+    "decision_distribution": ("decision", "labels"),
+    "rating_decision_crosstab": ("rating_by_decision", "crosstab"),
+    **{m: (m, "summary") for m in FORUM_MEASURES},
+    **{m: (m, "change") for m in CHANGE_METRICS},
+}
+REVIEW_MEASURES = ("rating", "rating_by_decision", "confidence", *CHANGE_METRICS)
+
+
+# --- forum and review roll-ups ----------------------------------------------------------
+
+
+def scoped_forums(forum: DataFrame, *extra: Column) -> DataFrame:
     """Forum keys with their scope labels."""
     return forum.select(
         "forum_id",
@@ -48,23 +72,13 @@ def scoped_forums(forum: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_all_years(df: DataFrame) -> DataFrame:
-    """Every row once under its year and once under 'all'. Meant for aggregates."""
+    """Every row once under its year and once under 'all', ahead of an aggregation."""
     return df.withColumn(
         "venue_year", F.explode(F.array(F.col("venue_year"), F.lit(S.YEAR_ALL))))
 
 
-def roll_up(df: DataFrame, keys: list[str], **sums: str) -> DataFrame:
-    """Add the all-years scope to (family, year) aggregates that are sums."""
-    return (
-        with_all_years(df)
-        .groupBy(*SCOPE, *keys)
-        .agg(*[F.sum(src).cast("bigint").alias(out) for out, src in sums.items()])
-    )
-
-
 def rating_counts(review: DataFrame) -> DataFrame:
-    """Counts per forum and distinct (initial, final, confidence) triple. A forum that
-    holds a large part of all reviews shrinks to its few rating combinations here."""
+    """Counts per forum and distinct (initial, final, confidence) triple."""
     return review.groupBy(
         "forum_id", "initial_value", "final_value", "confidence_value"
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -74,32 +88,15 @@ def response_counts(response: DataFrame) -> DataFrame:
     return response.groupBy("forum_id").agg(F.count(F.lit(1)).alias("n_responses"))
 
 
-def review_cube(forum: DataFrame, review: DataFrame, response: DataFrame | None = None) -> DataFrame:
-    """Review counts per scope, decision, response flag and rating values."""
-    base = scoped_forums(forum)
-    if response is not None:
-        answered = response_counts(response).select("forum_id", F.lit(True).alias("_r"))
-        base = base.join(answered, "forum_id", "left").withColumn(
-            "has_response", F.coalesce("_r", F.lit(False))).drop("_r")
-    keys = ["venue_family", "venue_year", "decision"] + (
-        ["has_response"] if response is not None else [])
-    return (
-        rating_counts(review).join(base, "forum_id")
-        .groupBy(*keys, "initial_value", "final_value", "confidence_value")
-        .agg(F.sum("n").alias("n"))
-    )
-
-
 def forum_ratings(review: DataFrame) -> DataFrame:
     """Per-forum roll-up of initial ratings."""
     v, n = F.col("initial_value"), F.col("n")
-    rated = F.when(v.isNotNull(), n)
-    counts = rating_counts(review)
+    rated = F.when(v.isNotNull(), n).otherwise(0)
     return (
-        counts.groupBy("forum_id")
+        rating_counts(review).groupBy("forum_id")
         .agg(
             F.sum("n").alias("n_reviews"),
-            F.coalesce(F.sum(rated), F.lit(0)).alias("n_rated"),
+            F.sum(rated).alias("n_rated"),
             F.sum(v * n).alias("sum_v"),
             F.sum(v * v * n).alias("sum_vv"),
             F.min("initial_value").alias("min_v"),
@@ -108,295 +105,187 @@ def forum_ratings(review: DataFrame) -> DataFrame:
     )
 
 
-def forum_measures(ratings: DataFrame) -> DataFrame:
-    """mean, population variance and range of each forum's initial ratings."""
-    n, s, ss = F.col("n_rated"), F.col("sum_v"), F.col("sum_vv")
-    two = F.when(n >= 2, F.lit(True))
-    variance = F.greatest(F.lit(0.0), (n * ss - s * s) / F.nullif(n * n, F.lit(0)))
-    return ratings.select(
-        "forum_id", "n_reviews", "n_rated",
-        (s / F.nullif(n, F.lit(0))).alias("paper_mean_rating"),
-        F.when(two, F.when(F.col("min_v") == F.col("max_v"), 0.0).otherwise(variance))
-        .alias("paper_rating_variance"),
-        F.when(two, F.col("max_v") - F.col("min_v")).alias("reviewer_disagreement"),
-    )
-
-
-# --- tidy output ------------------------------------------------------------------------
-
-
-def tidy(df: DataFrame, metric: str | Column, paths: dict[str, Column], sample: str = "sample_size",
-         missing: str = "missing_count") -> DataFrame:
-    """Unpivot named values to (path, value) rows."""
-    metric = F.lit(metric) if isinstance(metric, str) else metric
-    cell = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("path"), c.cast("double").alias("value"))
-        for p, c in paths.items()]))
+# A forum's mean, population variance and range of initial ratings; the last two need
+# at least two ratings.
+RATING_MEASURES = {
+    "paper_mean_rating": "sum_v / nullif(n_rated, 0)",
+    "paper_rating_variance":
+        "if(n_rated >= 2, if(min_v = max_v, 0D, greatest(0D, (n_rated * sum_vv - sum_v * sum_v)"
+        " / (n_rated * n_rated))), NULL)",
+    "reviewer_disagreement": "if(n_rated >= 2, max_v - min_v, NULL)",
+}
+
+
+# --- the measure histogram --------------------------------------------------------------
+
+
+def _unfold(df: DataFrame, rows: list[tuple[str, str, str, str]], keep: str = "TRUE") -> DataFrame:
+    """(scope, measure, label, value, n) rows from (measure, label, value, n) SQL
+    expressions over ``df``; ``keep`` filters the result."""
+    cells = ", ".join(
+        f"struct('{m}' AS measure, {label} AS label, CAST({v} AS DOUBLE) AS value, "
+        f"CAST({n} AS BIGINT) AS n)" for m, label, v, n in rows)
+    return df.selectExpr(*df.columns, f"inline(array({cells}))").where(keep).select(
+        *KEYS, "label", "value", "n")
+
+
+def forum_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
+               measures: set[str]) -> DataFrame:
+    """Measures of forums. Every forum also names the review measures with a count of
+    zero, so that a scope without reviews still reports them."""
+    texts = [c for c in ("title", "abstract") if f"paper_{c}" in measures]
+    df = scoped_forums(forum, *[F.expr(f"if({c} <> '', 1, NULL) AS _{c}") for c in texts])
+    rows = [("forum", "''", "NULL", "1")] if "forum" in measures else []
+    rows += [(f"paper_{c}", "''", f"_{c}", "1") for c in texts]
+    if "decision" in measures:
+        rows.append(("decision", "decision", "if(decision <> 'unknown', 1, NULL)", "1"))
+    if measures & {*FORUM_MEASURES, "reviews_per_forum"}:
+        df = df.join(forum_ratings(review), "forum_id", "left")
+        rows += [(m, "''", v, "1") for m, v in RATING_MEASURES.items() if m in measures]
+        if "reviews_per_forum" in measures:
+            rows.append(("reviews_per_forum", "''", "coalesce(n_reviews, 0)", "1"))
+    if "responses_per_forum" in measures:
+        df = df.join(response_counts(response), "forum_id", "left")
+        rows.append(("responses_per_forum", "''", "coalesce(n_responses, 0)", "1"))
+    rows += [(m, "''", "NULL", "0") for m in REVIEW_MEASURES if m in measures]
+    return _unfold(df, rows)
+
+
+def review_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
+                measures: set[str]) -> DataFrame:
+    """Measures of reviews, from rating counts joined to their forum."""
+    base = scoped_forums(forum)
+    split = measures & set(CHANGE_METRICS[1:])
+    if split:
+        base = base.join(response_counts(response), "forum_id", "left")
+    change = "final_value - initial_value"
+    rows = [r for r in (
+        ("rating", "''", "initial_value", "n"),
+        ("rating_by_decision", "decision", "initial_value", "n"),
+        ("confidence", "''", "confidence_value", "n"),
+        *[(m, "''", change, "n") for m in CHANGE_METRICS],
+    ) if r[0] in measures]
+    present, absent = (f"measure = '{m}'" for m in CHANGE_METRICS[1:])
+    keep = (f"NOT ({present} AND n_responses IS NULL) AND NOT ({absent} AND n_responses IS NOT NULL)"
+            if split else "TRUE")
+    counts = rating_counts(review).withColumnRenamed("n", "_n")
+    return _unfold(counts.join(base, "forum_id"), [(m, lb, v, "_n") for m, lb, v, _ in rows], keep)
+
+
+def measure_histogram(forum: DataFrame, review: DataFrame, response: DataFrame,
+                      measures: set[str]) -> DataFrame:
+    """Counts per (scope, measure, label, value), both kinds of scope included."""
+    rows = forum_rows(forum, review, response, measures)
+    if measures & set(REVIEW_MEASURES):
+        rows = rows.unionByName(review_rows(forum, review, response, measures))
+    return with_all_years(rows).groupBy(*KEYS, "label", "value").agg(F.sum("n").alias("n"))
+
+
+# --- reading metrics off the histogram --------------------------------------------------
+
+
+def _cell(metric: str, sample: str, missing: str, path: str, value: str,
+          test: str = "TRUE") -> str:
+    """SQL struct of one tidy row for the rows of a measure that pass ``test``."""
     return (
-        df.select(
-            metric.alias("metric"), *SCOPE,
-            F.col(sample).cast("bigint").alias("sample_size"),
-            F.col(missing).cast("bigint").alias("missing_count"),
-            cell.alias("_c"),
-        )
-        .select("metric", *SCOPE, "sample_size", "missing_count", "_c.path", "_c.value")
-    )
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-# --- forum counts and missing rates -----------------------------------------------------
-
-
-def forum_counts(forum: DataFrame, review: DataFrame, response: DataFrame,
-                 digits: int | None = 4) -> DataFrame:
-    """forum/review/response counts and the forum-level missing rates."""
-    per_forum = (
-        scoped_forums(
-            forum,
-            F.col("title").isNull() | (F.col("title") == ""),
-            F.col("abstract").isNull() | (F.col("abstract") == ""),
-        )
-        .toDF("forum_id", *SCOPE, "decision", "no_title", "no_abstract")
-        .join(review.groupBy("forum_id").agg(F.count(F.lit(1)).alias("n_reviews")),
-              "forum_id", "left")
-        .join(response_counts(response), "forum_id", "left")
-    )
-    flag = lambda c: F.sum(c.cast("int"))
-    by_year = per_forum.groupBy(*SCOPE).agg(
-        F.count(F.lit(1)).alias("forums"),
-        F.coalesce(F.sum("n_reviews"), F.lit(0)).alias("reviews"),
-        F.coalesce(F.sum("n_responses"), F.lit(0)).alias("responses"),
-        flag(F.col("n_reviews").isNull()).alias("no_review"),
-        flag(F.col("n_responses").isNull()).alias("no_response"),
-        flag(F.col("no_title")).alias("no_title"),
-        flag(F.col("no_abstract")).alias("no_abstract"),
-        flag(F.col("decision") == "unknown").alias("no_decision"),
-    )
-    names = by_year.columns[2:]
-    t = roll_up(by_year, [], **{c: c for c in names}).withColumn("zero", F.lit(0))
-    c = F.col
-    return _union([
-        tidy(t, "forum_count", {"": c("forums")}, "forums", "zero"),
-        tidy(t, "review_count", {"": c("reviews")}, "forums", "no_review"),
-        tidy(t, "response_count", {"": c("responses")}, "forums", "no_response"),
-        *[
-            tidy(t, f"missing_rate.{name}",
-                 {"": L.rounded(L.ratio(c(col), c("forums")), digits)}, "forums", col)
-            for name, col in (("paper_title", "no_title"), ("paper_abstract", "no_abstract"),
-                              ("decision", "no_decision"))
-        ],
-    ])
-
-
-def review_missing_rates(cube: DataFrame, scopes: DataFrame, digits: int | None = 4) -> DataFrame:
-    """Missing rates of rating and confidence; NULL where a scope has no review."""
-    n = F.col("n")
-    by_year = cube.groupBy(*SCOPE).agg(
-        F.sum(n).alias("reviews"),
-        F.sum(F.when(F.col("initial_value").isNull(), n).otherwise(0)).alias("no_rating"),
-        F.sum(F.when(F.col("confidence_value").isNull(), n).otherwise(0)).alias("no_conf"),
-    )
-    t = _complete(roll_up(by_year, [], reviews="reviews", no_rating="no_rating", no_conf="no_conf"),
-                  scopes, "reviews", "no_rating", "no_conf")
-    return _union([
-        tidy(t, f"missing_rate.{name}",
-             {"": L.rounded(L.ratio(F.col(col), F.col("reviews")), digits)}, "reviews", col)
-        for name, col in (("review_rating", "no_rating"), ("review_confidence", "no_conf"))
-    ])
-
-
-def scopes_of(forum: DataFrame) -> DataFrame:
-    """All scopes of a corpus, so that metrics without any row still show as empty."""
-    return with_all_years(scoped_forums(forum).select(*SCOPE).distinct()).distinct()
-
-
-def _complete(df: DataFrame, scopes: DataFrame, *counts: str) -> DataFrame:
-    return scopes.join(df, SCOPE, "left").fillna(0, list(counts))
-
-
-# --- distributions ----------------------------------------------------------------------
-
-
-def _value_counts(cube: DataFrame, value: str) -> DataFrame:
-    return roll_up(O.histogram(cube, SCOPE, value, F.col("n")), [value], n="n")
-
-
-def _value_sizes(cube: DataFrame, scopes: DataFrame, value: str) -> DataFrame:
-    by_year = cube.groupBy(*SCOPE).agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col(value).isNotNull(), F.col("n")).otherwise(0)).alias("sample_size"))
-    sizes = _complete(roll_up(by_year, [], rows="rows", sample_size="sample_size"),
-                      scopes, "rows", "sample_size")
-    return sizes.select(*SCOPE, "sample_size",
-                        (F.col("rows") - F.col("sample_size")).alias("missing_count"))
-
-
-def distribution(cube: DataFrame, scopes: DataFrame, metric: str, value: str) -> DataFrame:
-    """Raw value histogram. One DOUBLE bar per value, keyed by its text."""
-    bars = _value_counts(cube, value).select(
-        *SCOPE, F.col(value).cast("string").alias("path"), F.col("n").cast("double").alias("value"))
-    return _bars(metric, _value_sizes(cube, scopes, value), bars)
-
-
-def _bars(metric: str, sizes: DataFrame, bars: DataFrame) -> DataFrame:
-    """Attach bars to scope sizes. A scope without bars keeps one row, path NULL."""
-    return sizes.join(bars, SCOPE, "left").select(
-        F.lit(metric).alias("metric"), *SCOPE, "sample_size", "missing_count", "path", "value")
-
-
-def normalized_distribution(cube: DataFrame, scopes: DataFrame, metric: str,
-                            value: str) -> DataFrame:
-    """Min-max scaled within the scope, ten equal buckets, zero-filled. A constant
-    population sits in the middle."""
-    hist = _value_counts(cube, value)
-    v, lo, hi = F.col(value), F.col("lo"), F.col("hi")
-    scaled = F.coalesce((v - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.5))
-    slot = F.least(F.lit(9), F.floor(scaled * 10).cast("int"))
-    counts = (
-        O.attach(hist, O.group_totals(hist, SCOPE, value), SCOPE)
-        .groupBy(*SCOPE)
-        .agg(*[F.sum(F.when(slot == i, F.col("n")).otherwise(0)).alias(f"d{i}") for i in range(10)])
-    )
-    bars = counts.select(*SCOPE, F.explode(F.array(*[
-        F.struct(F.lit(DECILES[i]).alias("path"), F.col(f"d{i}").cast("double").alias("value"))
-        for i in range(10)])).alias("_c")).select(*SCOPE, "_c.path", "_c.value")
-    return _bars(metric, _value_sizes(cube, scopes, value), bars)
-
-
-def decision_distribution(forum: DataFrame) -> DataFrame:
-    by_year = scoped_forums(forum).groupBy(*SCOPE, "decision").agg(F.count(F.lit(1)).alias("n"))
-    bars = roll_up(by_year, ["decision"], n="n")
-    sizes = bars.groupBy(*SCOPE).agg(
-        F.sum("n").alias("sample_size"),
-        F.sum(F.when(F.col("decision") == "unknown", F.col("n")).otherwise(0))
-        .alias("missing_count"))
-    return _bars("decision_distribution", sizes, bars.select(
-        *SCOPE, F.col("decision").alias("path"), F.col("n").cast("double").alias("value")))
-
-
-def rating_decision_crosstab(cube: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Reviews per decision and rating tercile; the cuts are the scope's own."""
-    by_value = roll_up(
-        O.histogram(cube, [*SCOPE, "decision"], "initial_value", F.col("n")),
-        ["decision", "initial_value"], n="n")
-    hist = by_value.groupBy(*SCOPE, "initial_value").agg(F.sum("n").alias("n"))
-    cuts = O.tercile_cuts(hist, SCOPE, "initial_value")
-    bars = (
-        by_value.join(cuts, SCOPE)
-        .withColumn("path", F.concat_ws(".", "decision", L.tercile_bucket(
-            "initial_value", "low_cut", "high_cut")))
-        .groupBy(*SCOPE, "path").agg(F.sum("n").cast("double").alias("value"))
-    )
-    return _bars("rating_decision_crosstab", _value_sizes(cube, scopes, "initial_value"), bars)
-
-
-# --- summaries --------------------------------------------------------------------------
-
-
-def _summary_paths(digits: int | None) -> dict[str, Column]:
-    c = F.col
-    out = {p: L.rounded(c(p), digits) if p in ("mean", "stdev", "median") else c(p)
-           for p in SUMMARY_PATHS}
-    out["count"] = F.coalesce(c("count"), F.lit(0))
-    return out
-
-
-def _measure_histogram(forum: DataFrame, ratings: DataFrame, measures: list[str]) -> DataFrame:
-    """(scope, metric, value) counts for forum measures, all of them in one pass."""
-    cell = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in measures]))
-    rows = (
-        scoped_forums(forum).join(forum_measures(ratings), "forum_id")
-        .select(*SCOPE, cell.alias("_c")).select(*SCOPE, "_c.metric", "_c.value")
-    )
-    return roll_up(O.histogram(rows, [*SCOPE, "metric"], "value"), ["metric", "value"], n="n")
-
-
-def forum_summaries(forum: DataFrame, review: DataFrame, measures=FORUM_MEASURES,
-                    digits: int | None = 4) -> DataFrame:
-    """Summaries of per-forum measures, forums as the population."""
-    hist = _measure_histogram(forum, forum_ratings(review), list(measures))
-    sums = O.summaries(hist, [*SCOPE, "metric"], "value")
-    by_year = scoped_forums(forum).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("forums"))
-    sizes = roll_up(by_year, [], forums="forums").withColumn(
-        "metric", F.explode(F.array(*[F.lit(m) for m in measures])))
-    t = (
-        sizes.join(sums, [*SCOPE, "metric"], "left")
-        .withColumn("sample_size", F.coalesce("count", F.lit(0)))
-        .withColumn("missing_count", F.col("forums") - F.col("sample_size"))
-    )
-    out = tidy(t, F.col("metric"), _summary_paths(digits))
-    if "reviewer_disagreement" in measures:
-        out = out.unionByName(_range_bars(hist, t))
-    return out
-
-
-def _range_bars(hist: DataFrame, sizes: DataFrame) -> DataFrame:
-    v = F.col("value")
-    binned = (
-        F.when(v == 0, "0").when(v <= 2, "1-2").when(v <= 4, "3-4").otherwise("5+"))
-    only = F.col("metric") == "reviewer_disagreement"
-    counts = hist.where(only).groupBy(*SCOPE).agg(*[
-        F.sum(F.when(binned == b, F.col("n")).otherwise(0)).alias(f"histogram.{b}")
-        for b in RANGE_BINS])
-    t = sizes.where(only).join(counts, SCOPE, "left")
-    return tidy(t, "reviewer_disagreement", {
-        f"histogram.{b}": F.coalesce(F.col(f"`histogram.{b}`"), F.lit(0)) for b in RANGE_BINS})
-
-
-def rating_changes(cube: DataFrame, scopes: DataFrame, metrics=CHANGE_METRICS,
-                   digits: int | None = 4) -> DataFrame:
-    """final - initial where both exist, over all reviews and split by whether the
-    forum has a response. The sample is every review of the split."""
-    wanted = F.array(*[
-        F.when(test, F.lit(name)) for name, test in (
-            (CHANGE_METRICS[0], F.lit(True)),
-            (CHANGE_METRICS[1], F.col("has_response")),
-            (CHANGE_METRICS[2], ~F.col("has_response")),
-        ) if name in metrics])
-    rows = (
-        cube.withColumn("value", F.col("final_value") - F.col("initial_value"))
-        .withColumn("metric", F.explode(F.array_compact(wanted)))
-    )
-    by_value = roll_up(
-        rows.groupBy(*SCOPE, "metric", "value").agg(F.sum("n").alias("n")),
-        ["metric", "value"], n="n")
-    sizes = by_value.groupBy(*SCOPE, "metric").agg(F.sum("n").alias("sample_size"))
-    sums = O.summaries(by_value.where(F.col("value").isNotNull()), [*SCOPE, "metric"], "value")
-    every = scopes.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in metrics])))
-    t = (
-        every.join(sizes, [*SCOPE, "metric"], "left").join(sums, [*SCOPE, "metric"], "left")
-        .fillna(0, ["sample_size", "count"])
-        .withColumn("missing_count", F.col("sample_size") - F.col("count"))
-    )
-    return tidy(t, F.col("metric"), _summary_paths(digits))
-
-
-# --- everything -------------------------------------------------------------------------
-
-
-def compute_all(forum: DataFrame, review: DataFrame, response: DataFrame,
-                digits: int | None = 4) -> DataFrame:
-    """The twenty metrics of every scope as tidy rows."""
-    cube = review_cube(forum, review, response)
-    scopes = scopes_of(forum)
-    parts = [
-        forum_counts(forum, review, response, digits),
-        review_missing_rates(cube, scopes, digits),
-        distribution(cube, scopes, "rating_distribution_raw", "initial_value"),
-        normalized_distribution(cube, scopes, "rating_distribution_normalized", "initial_value"),
-        distribution(cube, scopes, "confidence_distribution_raw", "confidence_value"),
-        normalized_distribution(
-            cube, scopes, "confidence_distribution_normalized", "confidence_value"),
-        decision_distribution(forum),
-        rating_decision_crosstab(cube, scopes),
-        forum_summaries(forum, review, digits=digits),
-        rating_changes(cube, scopes, digits=digits),
-    ]
-    return _union(parts).withColumn("observational", F.col("metric").startswith("rebuttal_"))
+        f"CASE WHEN measure = '{METRICS[metric][0]}' AND {test} THEN struct('{metric}' AS metric, "
+        f"CAST({sample} AS BIGINT) AS sample_size, CAST({missing} AS BIGINT) AS missing_count, "
+        f"CAST({path} AS STRING) AS path, CAST({value} AS DOUBLE) AS value) END")
+
+
+def _emit(df: DataFrame, cells: list[str]) -> DataFrame:
+    """Tidy rows of several metrics in one pass over ``df``."""
+    return df.selectExpr(*SCOPE, f"inline(array_compact(array({', '.join(cells)})))").select(
+        "metric", *SCOPE, "sample_size", "missing_count", "path", "value")
+
+
+MISSING = "rows - total"
+
+
+def _figures(hist: DataFrame, kinds: set[str]) -> DataFrame:
+    """One row per (scope, measure) with everything that is a single number."""
+    zeros = "sum(if(value = 0, n, 0)) AS zeros"
+    if not kinds & {"summary", "change", "deciles", "crosstab"}:
+        return hist.groupBy(*KEYS).agg(*map(F.expr, (
+            "sum(n) AS rows", "sum(if(value IS NOT NULL, n, 0)) AS total",
+            "sum(value * n) AS sum_v", zeros)))
+    named = [F.expr(f"max({c}) AS {c}") for c in ("rows", "total", "sum_v", "mean", "lo", "hi")]
+    named.append(F.expr(zeros))
+    if kinds & {"summary", "change"}:
+        named += [O.stdev("value").alias("stdev"), O.median("value").alias("median")]
+        tests = ("value = 0", "value > 0 AND value <= 2", "value > 2 AND value <= 4", "value > 4")
+        named += [F.expr(f"sum(if({t}, n, 0)) AS range{i}") for i, t in enumerate(tests)]
+    if "deciles" in kinds:
+        # Min-max scaled in the scope; a constant population sits in the middle.
+        slot = "least(9, floor(coalesce((value - lo) / nullif(hi - lo, 0D), 0.5D) * 10))"
+        named += [F.expr(f"sum(if(value IS NOT NULL AND {slot} = {i}, n, 0)) AS d{i}")
+                  for i in range(10)]
+    if "crosstab" in kinds:
+        named += [O.tercile("value", 1).alias("low_cut"), O.tercile("value", 2).alias("high_cut")]
+    return O.positioned(hist, KEYS, "value").groupBy(*KEYS).agg(*named)
+
+
+def _number_cells(kinds: dict[str, str], digits: int | None) -> list[str]:
+    """Cells of all metrics that are read from the figures alone."""
+    rounded = lambda x: x if digits is None else f"bround({x}, {digits})"
+    cells = []
+    for m, kind in kinds.items():
+        if kind == "rows":
+            cells.append(_cell(m, "rows", "0", "''", "rows"))
+        elif kind == "sum":
+            cells.append(_cell(m, "rows", "zeros", "''", "coalesce(sum_v, 0)"))
+        elif kind == "rate":
+            rate = rounded(f"({MISSING}) / CAST(nullif(rows, 0) AS DOUBLE)")
+            cells.append(_cell(m, "rows", MISSING, "''", rate))
+        elif kind == "deciles":
+            cells.append(_cell(m, "total", MISSING, "NULL", "NULL", "total = 0"))
+            cells += [_cell(m, "total", MISSING, f"'{d}'", f"d{i}", "total > 0")
+                      for i, d in enumerate(DECILES)]
+        elif kind in ("summary", "change"):
+            sample = "total" if kind == "summary" else "rows"
+            paths = {"count": "total", "min": "lo", "max": "hi", **{
+                p: rounded(p) for p in ("mean", "stdev", "median")}}
+            if m == "reviewer_disagreement":
+                paths |= {f"histogram.{b}": f"range{i}" for i, b in enumerate(RANGE_BINS)}
+            cells += [_cell(m, sample, MISSING, f"'{p}'", v) for p, v in paths.items()]
+    return cells
+
+
+def _histograms(hist: DataFrame, figures: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Bars per value, per label, and per label with tercile. The row of a missing
+    value stays only where a measure has no values at all; it has the empty label."""
+    cuts = ["low_cut", "high_cut"] if "crosstab" in kinds.values() else []
+    rows = hist.join(figures.select(*KEYS, "rows", "total", *cuts), KEYS)
+    tercile = "CASE WHEN value < low_cut THEN 'low' WHEN value > high_cut THEN 'high' ELSE 'medium' END"
+    shown = "(value IS NOT NULL OR (total = 0 AND label = ''))"
+    bar = "if(value IS NULL, NULL, n)"
+    cells = []
+    for m, kind in kinds.items():
+        if kind == "labels":
+            cells.append(_cell(m, "rows", MISSING, "label", "n"))
+        elif kind == "bars":
+            cells.append(_cell(m, "total", MISSING, "value", bar, shown))
+        else:
+            path = f"if(value IS NULL, NULL, concat(label, '.', {tercile}))"
+            cells.append(_cell(m, "total", MISSING, path, bar, shown))
+    key = ["metric", *SCOPE, "sample_size", "missing_count", "path"]
+    return _emit(rows, cells).groupBy(*key).agg(F.sum("value").alias("value"))
+
+
+def compute(forum: DataFrame, review: DataFrame, response: DataFrame,
+            metrics: Iterable[str] = tuple(METRICS), digits: int | None = 4) -> DataFrame:
+    """Statistics of every scope as tidy rows; only what ``metrics`` needs is read."""
+    kinds = {m: METRICS[m][1] for m in metrics}
+    bars = {m: k for m, k in kinds.items() if k in ("bars", "labels", "crosstab")}
+    numbers = {m: k for m, k in kinds.items() if m not in bars}
+    hist = measure_histogram(forum, review, response, {METRICS[m][0] for m in kinds})
+    parts = []
+    if numbers:
+        parts.append(_emit(_figures(hist, set(numbers.values())), _number_cells(numbers, digits)))
+    if bars:
+        parts.append(_histograms(hist, _figures(hist, set(bars.values())), bars))
+    return reduce(DataFrame.unionByName, parts).withColumn(
+        "observational", F.col("metric").startswith("rebuttal_"))
 
 
 def with_provenance(stats: DataFrame, corpus_hash: str, generated_at: str) -> DataFrame:

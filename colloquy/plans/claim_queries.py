@@ -123,11 +123,16 @@ def _evidence(spark, path):
         tag("f").alias("forum_id"), tag("n").alias("note_id"), tag("u").alias("source_url"))
 
 
+CITED_METRICS = (
+    "forum_count", "review_count", "response_count", "missing_rate.paper_title",
+    "missing_rate.paper_abstract", "missing_rate.decision", "decision_distribution",
+    "rating_decision_crosstab",
+)
+
+
 def _stats(spark, path):
     c = D.orders_corpus(spark, path)
-    return ST.forum_counts(c.forum, c.review, c.response, 10).unionByName(
-        ST.decision_distribution(c.forum)).unionByName(ST.rating_decision_crosstab(
-            ST.review_cube(c.forum, c.review), ST.scopes_of(c.forum)))
+    return ST.compute(c.forum, c.review, c.response, CITED_METRICS, 10)
 
 
 @query("J11_cited_evidence", """

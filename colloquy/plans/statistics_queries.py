@@ -159,75 +159,55 @@ ALL_SQL = (f"SELECT {TIDY}, metric LIKE 'rebuttal_%' AS observational FROM ("
 cte("stat", ALL_SQL)
 
 
-def _corpus(spark, path, paper=True):
-    return D.orders_corpus(spark, path, paper)
+def _compute(spark, path, metrics):
+    """Statistics of the orders corpus. Customers are only joined for titles."""
+    paper = any(m.startswith("missing_rate.paper") for m in metrics)
+    c = D.orders_corpus(spark, path, paper)
+    return ST.compute(c.forum, c.review, c.response, metrics, DIGITS)
 
 
-def _cube(c):
-    return ST.review_cube(c.forum, c.review, c.response), ST.scopes_of(c.forum)
+def _metric(name, metrics, sql):
+    @query(name, f"SELECT *, metric LIKE 'rebuttal_%' AS observational FROM ({sql})")
+    def run(spark, path):
+        return _compute(spark, path, metrics)
+    return run
 
 
 @query("A1_group_by_scope", """
   SELECT venue_family, coalesce(venue_year, 'all') AS venue_year, count(*) AS forums
   FROM scoped GROUP BY GROUPING SETS ((venue_family, venue_year), (venue_family))""")
 def a1(spark, path):
-    by_year = ST.scoped_forums(_corpus(spark, path, False).forum).groupBy(*ST.SCOPE).agg(
-        F.count(F.lit(1)).alias("forums"))
-    return ST.roll_up(by_year, [], forums="forums")
-
-
-@query("A2_counts_and_A3_forum_missing_rates", PARTS["counts"])
-def a2(spark, path):
-    c = _corpus(spark, path)
-    return ST.forum_counts(c.forum, c.review, c.response, DIGITS)
-
-
-@query("A3_review_missing_rates", PARTS["review_rates"])
-def a3(spark, path):
-    c = _corpus(spark, path, False)
-    return ST.review_missing_rates(ST.review_cube(c.forum, c.review), ST.scopes_of(c.forum), DIGITS)
-
-
-def _distribution(name, metric, value, sql, fn):
-    @query(name, sql)
-    def run(spark, path):
-        c = _corpus(spark, path, False)
-        return fn(ST.review_cube(c.forum, c.review), ST.scopes_of(c.forum), metric, value)
-    return run
-
-
-_distribution("A4_rating_distribution_raw", "rating_distribution_raw", "initial_value",
-              PARTS["rating_raw"], ST.distribution)
-_distribution("A4_confidence_distribution_raw", "confidence_distribution_raw", "confidence_value",
-              PARTS["confidence_raw"], ST.distribution)
-_distribution("A5_rating_distribution_normalized", "rating_distribution_normalized",
-              "initial_value", PARTS["rating_norm"], ST.normalized_distribution)
-_distribution("A5_confidence_distribution_normalized", "confidence_distribution_normalized",
-              "confidence_value", PARTS["confidence_norm"], ST.normalized_distribution)
-
-
-@query("A6_decision_distribution", PARTS["decisions"])
-def a6(spark, path):
-    return ST.decision_distribution(_corpus(spark, path, False).forum)
-
-
-@query("A7_rating_decision_crosstab", PARTS["crosstab"])
-def a7(spark, path):
-    c = _corpus(spark, path, False)
-    return ST.rating_decision_crosstab(ST.review_cube(c.forum, c.review), ST.scopes_of(c.forum))
-
-
-def _measure(name, metric):
-    @query(name, PARTS[metric])
-    def run(spark, path):
-        c = _corpus(spark, path, False)
-        return ST.forum_summaries(c.forum, c.review, (metric,), DIGITS)
-    return run
-
-
-a8 = _measure("A8_paper_mean_rating", "paper_mean_rating")
-_measure("A9_paper_rating_variance", "paper_rating_variance")
-_measure("A10_reviewer_disagreement", "reviewer_disagreement")
+    forums = ST.scoped_forums(D.order_forums(spark, path, False))
+    return ST.with_all_years(forums).groupBy(*ST.SCOPE).agg(F.count(F.lit(1)).alias("forums"))
+
+
+FORUM_RATES = ("missing_rate.paper_title", "missing_rate.paper_abstract", "missing_rate.decision")
+_metric("A2_counts_and_A3_forum_missing_rates", (*ST.COUNT_METRICS, *FORUM_RATES), PARTS["counts"])
+_metric("A3_review_missing_rates",
+        ("missing_rate.review_rating", "missing_rate.review_confidence"), PARTS["review_rates"])
+_metric("A4_rating_distribution_raw", ("rating_distribution_raw",), PARTS["rating_raw"])
+_metric("A4_confidence_distribution_raw", ("confidence_distribution_raw",),
+        PARTS["confidence_raw"])
+_metric("A5_rating_distribution_normalized", ("rating_distribution_normalized",),
+        PARTS["rating_norm"])
+_metric("A5_confidence_distribution_normalized", ("confidence_distribution_normalized",),
+        PARTS["confidence_norm"])
+_metric("A6_decision_distribution", ("decision_distribution",), PARTS["decisions"])
+_metric("A7_rating_decision_crosstab", ("rating_decision_crosstab",), PARTS["crosstab"])
+_metric("A8_paper_mean_rating", ("paper_mean_rating",), PARTS["paper_mean_rating"])
+_metric("A9_paper_rating_variance", ("paper_rating_variance",), PARTS["paper_rating_variance"])
+_metric("A10_reviewer_disagreement", ("reviewer_disagreement",), PARTS["reviewer_disagreement"])
+_metric("A12_initial_to_final_rating_change", ST.CHANGE_METRICS[:1], PARTS[ST.CHANGE_METRICS[0]])
+_metric("A13_rebuttal_rating_change", ST.CHANGE_METRICS[1:],
+        " UNION ALL ".join(PARTS[m] for m in ST.CHANGE_METRICS[1:]))
+
+
+def _values(spark, path, value):
+    """Histogram of one review value per scope."""
+    c = D.orders_corpus(spark, path, False)
+    counts = c.review.groupBy("forum_id", value).agg(F.count(F.lit(1)).alias("n"))
+    rows = ST.with_all_years(counts.join(ST.scoped_forums(c.forum), "forum_id"))
+    return O.histogram(rows, ST.SCOPE, value, F.col("n"))
 
 
 @query("A11_distribution_summary_of_confidence", f"""
@@ -236,28 +216,12 @@ _measure("A10_reviewer_disagreement", "reviewer_disagreement")
   FROM (SELECT venue_family, venue_year, {_agg('confidence_value')} FROM review2
     WHERE confidence_value IS NOT NULL GROUP BY 1, 2)""")
 def a11(spark, path):
-    c = _corpus(spark, path, False)
-    hist = ST._value_counts(ST.review_cube(c.forum, c.review), "confidence_value")
-    out = O.summaries(hist, ST.SCOPE, "confidence_value")
+    out = O.summaries(_values(spark, path, "confidence_value"), ST.SCOPE, "confidence_value")
     return out.withColumns({m: F.bround(m, DIGITS) for m in ("mean", "stdev", "median")})
 
 
-def _change(name, metrics):
-    @query(name, " UNION ALL ".join(PARTS[m] for m in metrics))
-    def run(spark, path):
-        c = _corpus(spark, path, False)
-        cube, scopes = _cube(c)
-        return ST.rating_changes(cube, scopes, metrics, DIGITS)
-    return run
-
-
-_change("A12_initial_to_final_rating_change", ST.CHANGE_METRICS[:1])
-_change("A13_rebuttal_rating_change", ST.CHANGE_METRICS[1:])
-
-
 def all_statistics(spark, path):
-    c = _corpus(spark, path)
-    return ST.compute_all(c.forum, c.review, c.response, DIGITS)
+    return _compute(spark, path, tuple(ST.METRICS))
 
 
 query("A14_compute_all_statistics", "SELECT * FROM stat")(all_statistics)
@@ -297,9 +261,7 @@ def w1(spark, path):
   FROM (SELECT venue_family, venue_year, list_sort(list(initial_value)) AS vs
     FROM review2 WHERE initial_value IS NOT NULL GROUP BY 1, 2)""")
 def w2(spark, path):
-    c = _corpus(spark, path, False)
-    hist = ST._value_counts(ST.review_cube(c.forum, c.review), "initial_value")
-    return O.tercile_cuts(hist, ST.SCOPE, "initial_value")
+    return O.tercile_cuts(_values(spark, path, "initial_value"), ST.SCOPE, "initial_value")
 
 
 @query("W3_median_of_forum_ranges", """
@@ -327,9 +289,7 @@ cte("family_meta", META_SQL)
 
 
 def _small_stats(spark, path):
-    c = _corpus(spark, path)
-    return ST.forum_counts(c.forum, c.review, c.response, DIGITS).unionByName(
-        ST.decision_distribution(c.forum))
+    return _compute(spark, path, (*ST.COUNT_METRICS, "decision_distribution"))
 
 
 @query("A27_family_calibration_metadata", "SELECT * FROM family_meta")
