@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from colloquy import schema as S
 from colloquy.functions import labels as L
@@ -52,12 +53,17 @@ def rated_candidates(review: DataFrame, held_out: DataFrame | None = None) -> Da
 
 
 def candidates(forum: DataFrame, review: DataFrame, response: DataFrame,
-               held_out: DataFrame | None = None) -> DataFrame:
+               held_out: DataFrame | None = None, scratch: str | None = None) -> DataFrame:
     """Candidate reviews with their category on each of the five axes.
 
     Rating cuts come from all candidates; the disagreement split comes from all
-    forums of the corpus, held-out ones included. Both are one-row aggregates."""
+    forums of the corpus, held-out ones included. Both are one-row aggregates. With a
+    ``scratch`` folder the narrow candidate table is written there first, so the texts,
+    which only decide who is a candidate, are read once."""
     rated = rated_candidates(review, held_out)
+    if scratch is not None:
+        rated.write.mode("overwrite").parquet(f"{scratch}/candidates")
+        rated = rated.sparkSession.read.schema(rated.schema).parquet(f"{scratch}/candidates")
     cuts = O.tercile_cuts(O.histogram(rated, [], "rating_value"), [], "rating_value")
     per_forum = (
         forum.select("forum_id", "venue_year", "decision")
@@ -107,17 +113,17 @@ def cap(df: DataFrame, seed: int, max_items: int, *identity: str) -> DataFrame:
 def select_evidence(forum: DataFrame, review: DataFrame, response: DataFrame, *, seed: int,
                     max_items: int = S.EVIDENCE_MAX_ITEMS,
                     per_bucket: int = S.EVIDENCE_PER_BUCKET,
-                    held_out: DataFrame | None = None) -> DataFrame:
+                    held_out: DataFrame | None = None,
+                    scratch: str | None = None) -> DataFrame:
     """The evidence bundle. Same seed and corpus give the same bundle on any cluster.
 
     Sampling works on identifiers and categories; text is read only for the selected
     reviews. A review chosen on several axes appears once."""
     if max_items < 0 or per_bucket < 0:
         raise ValueError("max_items and per_bucket must be non-negative")
-    if not hasattr(review.schema["text"].dataType, "fieldNames"):
-        cands = candidates(forum, review, response, held_out)
-    else:
+    if isinstance(review.schema["text"].dataType, StructType):
         raise ValueError("evidence needs the full-text tier, not the redacted one")
+    cands = candidates(forum, review, response, held_out, scratch)
     picked = (
         stratified_sample(cands, seed, per_bucket)
         .drop("axis", "category")

@@ -10,7 +10,7 @@ function of the value, hence the results are exact.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -122,33 +122,30 @@ def summaries(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
         median(value).alias("median"), F.max("lo").alias("min"), F.max("hi").alias("max"))
 
 
-def smallest_by_key(df: DataFrame, groups: list[str], key: str, quota: str,
-                    prefix: int = 3) -> DataFrame:
-    """Rows whose hexadecimal ``key`` is among the ``quota`` smallest of their group,
-    where the quota is a column that is constant in the group.
-
-    The key is a hash, so its first digits cut every group into even slices. Slice
-    totals decide which slices are kept whole; only the one slice a quota ends in is
-    ordered, 1/16**prefix of the group."""
-    sliced = df.withColumn("_s", F.substring(key, 1, prefix))
-    totals = sliced.groupBy(*groups, "_s").agg(F.count(F.lit(1)).alias("_sn"))
-    running = W.partitionBy(*groups).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
-    offsets = totals.withColumn("_before", F.sum("_sn").over(running) - F.col("_sn"))
-    on = [sliced[g].eqNullSafe(offsets[g]) for g in groups] + [sliced["_s"] == offsets["_s"]]
-    kept = (
-        sliced.join(offsets, reduce(lambda a, b: a & b, on))
-        .where(offsets["_before"] < sliced[quota])
-        .drop(*[offsets[c] for c in [*groups, "_s"]])
+def key_cutoffs(df: DataFrame, groups: list[str], key: str,
+                quotas: Callable[[DataFrame], DataFrame], prefix: int = 3) -> DataFrame:
+    """Per group, the largest ``key`` among its ``quota`` smallest ones.
+
+    ``quotas`` maps group sizes (columns ``groups`` and ``size``) to a table with a
+    ``quota`` per group. The key is a hexadecimal hash, so its first digits cut every
+    group into even slices. Slice counts decide which slice a quota ends in, and only
+    that slice, 1/16**prefix of the group, is ordered. A group with quota 0 has no
+    cutoff. Keeping ``key <= cutoff`` then needs no shuffle of the rows."""
+    sliced = df.select(*groups, key, F.substring(key, 1, prefix).alias("_s"))
+    counts = sliced.groupBy(*groups, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    quota = quotas(counts.groupBy(*groups).agg(F.sum("_n").alias("size"))).select(*groups, "quota")
+    before = W.partitionBy(*groups).orderBy("_s").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = (
+        counts.withColumn("_upto", F.sum("_n").over(before)).join(quota, groups)
+        .where((F.col("quota") <= F.col("_upto")) & (F.col("quota") > F.col("_upto") - F.col("_n")))
+        .select(*groups, "_s", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_k"))
     )
-    whole = F.col("_before") + F.col("_sn") <= F.col(quota)
-    inside = W.partitionBy(*groups, "_s").orderBy(key)
-    edge = (
-        kept.where(~whole)
-        .withColumn("_r", F.row_number().over(inside))
-        .where(F.col("_before") + F.col("_r") <= F.col(quota))
-        .drop("_r")
+    return (
+        sliced.join(last, [*groups, "_s"])
+        .withColumn("_r", F.row_number().over(W.partitionBy(*groups, "_s").orderBy(key)))
+        .where(F.col("_r") == F.col("_k"))
+        .select(*groups, F.col(key).alias("cutoff"))
     )
-    return kept.where(whole).unionByName(edge).drop("_s", "_sn", "_before")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -70,39 +70,46 @@ def decision_pairs(paired: DataFrame) -> DataFrame:
 # --- rating metrics ---------------------------------------------------------------------
 
 
-def error_metrics(pairs: DataFrame, keys: list[str], digits: int | None = 4) -> DataFrame:
-    """n, mean and median absolute error per group of joint counts."""
-    err = pairs.withColumn("err", F.abs(F.col("predicted") - F.col("actual")))
-    hist = O.histogram(err, keys, "err", F.col("n"))
-    mean = hist.groupBy(*keys).agg(
-        F.sum("n").alias("sample_size"),
-        L.rounded(F.sum(F.col("err") * F.col("n")) / F.sum("n"), digits).alias("mae"))
-    med = O.medians(hist, keys, "err").withColumn(
-        "median_absolute_error", L.rounded(F.col("median"), digits)).drop("median")
-    return O.attach(mean, med, keys)
-
-
-def spearman(pairs: DataFrame, keys: list[str], digits: int | None = 4) -> DataFrame:
-    """Pearson correlation of average ranks; NULL below two pairs or without spread.
-
-    Ranks are centred at (total + 1) / 2, which is exact, and the sums run over the
-    joint counts. Equal values meet once per distinct pair, not once per row."""
-    ranks = {}
-    for side in ("actual", "predicted"):
-        hist = O.histogram(pairs, keys, side, F.col("n"))
-        ranks[side] = O.average_rank(hist, keys, side).select(
-            *keys, side, (F.col("rank") - (F.col("total") + 1) / 2).alias(f"_{side}"))
-    a, p, n = F.col("_actual"), F.col("_predicted"), F.col("n")
-    sums = (
-        pairs.join(ranks["actual"], [*keys, "actual"])
-        .join(ranks["predicted"], [*keys, "predicted"])
-        .groupBy(*keys)
-        .agg(F.sum(n * a * p).alias("_c"), F.sum(n * a * a).alias("_va"),
-             F.sum(n * p * p).alias("_vp"), F.sum(n).alias("_n"))
+def rating_metrics(pairs: DataFrame, keys: list[str], digits: int | None = 4) -> DataFrame:
+    """n, mean and median absolute error and Spearman correlation per group of joint
+    counts.
+
+    Error, target and prediction are three sides of one histogram, so a single pass
+    orders all of them. Spearman is the Pearson correlation of average ranks: each
+    distinct pair looks its two ranks up, centres them at (total + 1) / 2, which is
+    exact, and the sums run over the joint counts. It is NULL below two pairs or
+    without spread."""
+    sides = F.expr("""inline(array(
+        struct('err' AS side, abs(predicted - actual) AS value),
+        struct('actual' AS side, actual AS value),
+        struct('predicted' AS side, predicted AS value)))""")
+    rows = pairs.select(*keys, "actual", "predicted", F.col("n").alias("pairs_n"), sides)
+    side = [*keys, "side"]
+    placed = O.positioned(
+        rows.groupBy(*side, "value").agg(F.sum("pairs_n").alias("n")), side, "value"
+    ).select(*side, "value", "n", "total", "mean", "upto")
+
+    err = F.col("side") == "err"
+    at = lambda pos: F.max(F.when(
+        err & (pos >= F.col("upto") - F.col("n")) & (pos < F.col("upto")), F.col("value")))
+    total = F.col("total")
+    median = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+    errors = placed.groupBy(*keys).agg(
+        F.max("total").alias("sample_size"),
+        L.rounded(F.max(F.when(err, F.col("mean"))), digits).alias("mae"),
+        L.rounded(median, digits).alias("median_absolute_error"))
+
+    centred = F.expr("upto - n + (n + 1) / 2 - (total + 1) / 2")
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("rank")))
+    ranked = (
+        rows.join(placed.select(*side, "value", centred.alias("rank")), [*side, "value"])
+        .groupBy(*keys, "actual", "predicted")
+        .agg(of("actual").alias("a"), of("predicted").alias("p"), F.max("pairs_n").alias("n"))
     )
-    spread = F.sqrt(F.col("_va")) * F.sqrt(F.col("_vp"))
-    value = F.when(F.col("_n") >= 2, F.col("_c") / F.nullif(spread, F.lit(0.0)))
-    return sums.select(*keys, L.rounded(value, digits).alias("spearman"))
+    sums = ranked.groupBy(*keys).agg(*map(F.expr, (
+        "sum(n * a * p) AS cov", "sum(n * a * a) AS va", "sum(n * p * p) AS vp", "sum(n) AS total")))
+    rho = F.expr("if(total >= 2, cov / nullif(sqrt(va) * sqrt(vp), 0D), NULL)")
+    return O.attach(errors, sums.select(*keys, L.rounded(rho, digits).alias("spearman")), keys)
 
 
 def pearson(pairs: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
@@ -123,10 +130,6 @@ def pearson(pairs: DataFrame, keys: list[str], digits: int | None = None) -> Dat
     return sums.select(*keys, L.rounded(value, digits).alias("pearson"))
 
 
-def rating_metrics(pairs: DataFrame, keys: list[str], digits: int | None = 4) -> DataFrame:
-    return O.attach(error_metrics(pairs, keys, digits), spearman(pairs, keys, digits), keys)
-
-
 # --- decision metrics -------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,9 @@ from colloquy.functions.text import is_blank
 from colloquy.operators import order_stats as O
 
 
+STRATUM = ["venue_family", "venue_year"]
+
+
 # --- model-visible inputs and private labels --------------------------------------------
 
 
@@ -97,14 +100,16 @@ def stratum_quotas(sizes: DataFrame, max_forums: int) -> DataFrame:
         .cast("bigint").alias("quota"))
 
 
-def stratified_subsample(eligible: DataFrame, max_forums: int, seed: int) -> DataFrame:
-    """Seeded sample of ``max_forums`` forums, proportional over (family, year)."""
-    stratum = ["venue_family", "venue_year"]
-    sizes = eligible.groupBy(*stratum).agg(F.count(F.lit(1)).alias("size"))
-    keyed = eligible.withColumn("_key", seeded_key(seed, *stratum, "forum_id"))
-    quotas = stratum_quotas(sizes, max_forums).select(*stratum, "quota")
-    return O.smallest_by_key(keyed.join(quotas, stratum), stratum, "_key", "quota").drop(
-        "_key", "quota")
+def sampling_key(seed: int) -> Column:
+    return seeded_key(seed, *STRATUM, "forum_id")
+
+
+def subsample_cutoffs(eligible: DataFrame, max_forums: int, seed: int) -> DataFrame:
+    """Per (family, year) the largest sampling key that still belongs to a seeded sample
+    of ``max_forums`` forums, proportional over the strata."""
+    return O.key_cutoffs(
+        eligible.withColumn("_key", sampling_key(seed)), STRATUM, "_key",
+        lambda sizes: stratum_quotas(sizes, max_forums))
 
 
 def select_evaluation_forums(forum: DataFrame, review: DataFrame, calibration: DataFrame, *,
@@ -115,12 +120,13 @@ def select_evaluation_forums(forum: DataFrame, review: DataFrame, calibration: D
         return screened
     if max_forums <= 0:
         raise ValueError(f"max_forums must be positive, got {max_forums}")
-    kept = stratified_subsample(
-        screened.where(F.col("reason").isNull()).drop("reason"), max_forums, seed
-    ).select("forum_id", F.lit(True).alias("_kept"))
-    return screened.join(kept, "forum_id", "left").withColumn(
-        "reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("_kept").isNull(), "subsampled_out")).drop("_kept")
+    cutoffs = subsample_cutoffs(
+        screened.where(F.col("reason").isNull()).drop("reason"), max_forums, seed)
+    kept = F.coalesce(sampling_key(seed) <= F.col("cutoff"), F.lit(False))
+    return screened.join(cutoffs, STRATUM, "left").select(
+        "forum_id", *STRATUM,
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(~kept, "subsampled_out").alias("reason"))
 
 
 def stratify(forums: DataFrame) -> DataFrame:
@@ -219,53 +225,56 @@ def inputs_digest(inputs: DataFrame, name: str = "model_inputs_hash") -> DataFra
 
 
 def labels_digest(labels: DataFrame, name: str = "private_labels_hash") -> DataFrame:
-    return set_digest(labels, *[F.col(c) for c in labels.columns], name=name)
+    return set_digest(labels, *[F.col(c) for c in sorted(labels.columns)], name=name)
 
 
 def prepare_dataset(forum: DataFrame, review: DataFrame, response: DataFrame,
-                    calibration: DataFrame, *, seed: int, max_forums: int | None = None,
-                    digits: int | None = 4) -> EvaluationDataset:
-    """Inputs, labels, split and a one-row manifest. The calibration set is digested
-    before and apart from the selection of evaluation forums."""
-    calibration_hash = set_digest(
-        calibration.select("forum_id").distinct(), F.col("forum_id"), name="calibration_hash")
-    split = select_evaluation_forums(forum, review, calibration, max_forums=max_forums, seed=seed)
+                    calibration: DataFrame, path: str, *, seed: int,
+                    max_forums: int | None = None, digits: int | None = 4) -> EvaluationDataset:
+    """Write split, inputs, labels and manifest under ``path`` and return them as read.
+
+    Each step builds on the table written by the one before, so the selection runs once
+    and a lost executor never sends a later step back to it. The calibration set is
+    digested apart from the selection. Checks run on what was written; the manifest,
+    which marks a dataset as complete, comes last, and an empty or overlapping split or
+    a text leak raises before it."""
+    spark = forum.sparkSession
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    split = store(select_evaluation_forums(
+        forum, review, calibration, max_forums=max_forums, seed=seed), "split")
     chosen = split.where(F.col("reason").isNull()).select("forum_id")
     eval_forum = forum.join(chosen, "forum_id", "left_semi")
-    inputs = model_inputs(eval_forum)
-    labels = private_labels(eval_forum, review, digits)
+    inputs = store(model_inputs(eval_forum), "model_inputs")
+    if inputs.isEmpty():
+        raise ValueError("no evaluation forums remain; see the reasons in the split table")
+    if not overlap(inputs, calibration).isEmpty():
+        raise ValueError("calibration and evaluation forums overlap")
+    if set(S.REVIEW_TEXTS) <= set(review.columns) and not text_leaks(
+            inputs, review, response, forum).isEmpty():
+        raise ValueError("review text leaked into model-visible inputs")
+    eval_review = review.join(chosen, "forum_id", "left_semi")
+    labels = store(private_labels(eval_forum, eval_review, digits), "private_labels")
+
     counts = labels.agg(
         F.count(F.lit(1)).alias("eval_forum_count"),
         F.count_if("initial_rating_eligible").alias("initial_rating_eligible_count"),
         F.count_if("final_decision_eligible").alias("final_decision_eligible_count"))
     manifest = counts.withColumns({
         "seed": F.lit(seed), "schema_version": F.lit(S.EVALUATION_SCHEMA_VERSION)})
-    for one_row in (calibration_hash, corpus_digest(forum, review),
-                    inputs_digest(inputs), labels_digest(labels)):
+    for one_row in (
+        set_digest(calibration.select("forum_id").distinct(), F.col("forum_id"),
+                   name="calibration_hash"),
+        corpus_digest(forum, review), inputs_digest(inputs), labels_digest(labels),
+    ):
         manifest = manifest.crossJoin(F.broadcast(one_row))
-    return EvaluationDataset(inputs, labels, split, manifest)
-
-
-def write_dataset(ds: EvaluationDataset, calibration: DataFrame, review: DataFrame,
-                  response: DataFrame, forum: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the four artefacts. Tables are written first and then checked as written;
-    the manifest, which marks a dataset as complete, comes last. An empty or
-    overlapping split, or a text leak, leaves it out and raises."""
-    ds.inputs.write.mode("overwrite").format(fmt).save(f"{path}/model_inputs")
-    ds.labels.write.mode("overwrite").format(fmt).save(f"{path}/private_labels")
-    ds.split.write.mode("overwrite").format(fmt).save(f"{path}/split")
-    inputs = ds.inputs.sparkSession.read.format(fmt).schema(ds.inputs.schema).load(
-        f"{path}/model_inputs")
-    if inputs.isEmpty():
-        raise ValueError("no evaluation forums remain; see the reasons in the split table")
-    if not overlap(inputs, calibration).isEmpty():
-        raise ValueError("calibration and evaluation forums overlap")
-    if not text_leaks(inputs, review, response, forum).isEmpty():
-        raise ValueError("review text leaked into model-visible inputs")
-    ds.manifest.write.mode("overwrite").format(fmt).save(f"{path}/manifest")
+    return EvaluationDataset(inputs, labels, split, store(manifest, "manifest"))
 
 
-def load_dataset(spark, path: str, fmt: str = "parquet") -> EvaluationDataset:
-    read = lambda name: spark.read.format(fmt).load(f"{path}/{name}")
+def load_dataset(spark: SparkSession, path: str) -> EvaluationDataset:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
     return EvaluationDataset(
         read("model_inputs"), read("private_labels"), read("split"), read("manifest"))

@@ -74,7 +74,7 @@ def _held_out(spark, path):
 def evidence(spark, path):
     c = D.documents_corpus(spark, path)
     return E.select_evidence(c.forum, c.review, c.response, seed=SEED, max_items=40,
-                             held_out=_held_out(spark, path))
+                             held_out=_held_out(spark, path), scratch=scratch_dir(spark))
 
 
 query("C1_select_evidence", "SELECT * FROM devidence")(evidence)
@@ -367,20 +367,10 @@ cte("calibration_digest", _digest("CAST(forum_id AS VARCHAR)", "calibration", "c
 
 
 def _dataset(spark, path):
-    c = _corpus(spark, path)
-    return c, D.calibration_ids(spark, path), SP.prepare_dataset(
-        c.forum, c.review, c.response, D.calibration_ids(spark, path), seed=SEED, max_forums=500,
-        digits=None)
-
-
-def _stored_dataset(spark, path):
-    """The dataset as a validator meets it: written once, then read from its files."""
-    c, cal, ds = _dataset(spark, path)
-    # The orders corpus has no texts; give the leak check their (empty) columns.
-    none = F.lit(None).cast("string")
-    out = scratch_dir(spark)
-    SP.write_dataset(ds, cal, c.review.withColumns({t: none for t in S.REVIEW_TEXTS}),
-                     c.response.withColumn("text", none), c.forum, out)
+    """The dataset as a validator meets it: prepared once, then read from its files."""
+    c, cal, out = _corpus(spark, path), D.calibration_ids(spark, path), scratch_dir(spark)
+    SP.prepare_dataset(c.forum, c.review, c.response, cal, out, seed=SEED, max_forums=500,
+                       digits=None)
     return c, cal, SP.load_dataset(spark, out)
 
 
@@ -400,7 +390,7 @@ def c3(spark, path):
     initial_rating_target, final_decision_target
   FROM label l JOIN eval_forum f USING (forum_id)""")
 def s9(spark, path):
-    back = _stored_dataset(spark, path)[2]
+    back = _dataset(spark, path)[2]
     return back.inputs.join(back.labels.drop("venue_family", "venue_year"), "forum_id").select(
         "forum_id", "venue_family", "venue_year", "title", "initial_rating_target",
         "final_decision_target")
@@ -512,7 +502,7 @@ RUN_PROBLEMS = """(VALUES ('run', 'model_mismatch'), ('run', 'settings_mismatch'
   SELECT a AS entity_id, b AS rule, '' AS detail, CAST(1 AS BIGINT) AS n FROM {RUN_PROBLEMS} v(a, b)
   WHERE (SELECT count(*) FROM prediction) > 0""")
 def q5(spark, path):
-    ds = _stored_dataset(spark, path)[2]
+    ds = _dataset(spark, path)[2]
     return R.comparability(_runs(spark, path, ds), ds.manifest, D.predictions(spark, path))
 
 
@@ -522,7 +512,7 @@ def q5(spark, path):
   UNION ALL SELECT 'dataset', 'calibration_ids_tampered', '', 1 FROM inputs_hash
   UNION ALL SELECT 'dataset', 'manifests_disagree.seed', '', 1 FROM inputs_hash""")
 def q6(spark, path):
-    c, _, ds = _stored_dataset(spark, path)
+    c, _, ds = _dataset(spark, path)
     # A tampered calibration set that overlaps, and a split manifest with another seed.
     forged = c.forum.where(F.col("segment") == "MACHINERY").select("forum_id")
     split_manifest = ds.manifest.withColumn("seed", F.lit(7))
@@ -536,7 +526,7 @@ def q6(spark, path):
   UNION ALL SELECT 'run', 'run_calibrated', 'settings_not_an_object', '', 1
   UNION ALL SELECT 'run', 'run_calibrated', 'missing_run_field.created_at', '', 1""")
 def q8(spark, path):
-    _, cal, ds = _stored_dataset(spark, path)
+    _, cal, ds = _dataset(spark, path)
     p = D.predictions(spark, path).withColumn("position", F.lit(0))
     return R.leakage_report(ds.inputs, ds.labels, cal, ds.manifest, ds.manifest,
                             _runs(spark, path, ds), p)
