@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions import labels as L
+from colloquy.functions.digests import set_digest
+from colloquy.functions.hashing import content_hash
+from colloquy.functions.rows import with_row
 from colloquy.functions.text import has_digit, is_blank, normalize_name, strip_code_fence, strip_quotes
 from colloquy.operators.evidence import duplicates, explode_rules, union_violations
 
@@ -147,10 +150,9 @@ def validate_claims(claims: DataFrame, stats: DataFrame, evidence: DataFrame,
 
 def inputs_match(stats_header: DataFrame, evidence_header: DataFrame) -> DataFrame:
     """Statistics and evidence must come from one corpus and known schema versions."""
-    both = stats_header.select(
-        F.col("corpus_hash").alias("s"), F.col("schema_version").alias("sv")
-    ).crossJoin(F.broadcast(evidence_header.select(
-        F.col("corpus_hash").alias("e"), F.col("schema_version").alias("ev"))))
+    both = with_row(
+        stats_header.select(F.col("corpus_hash").alias("s"), F.col("schema_version").alias("sv")),
+        evidence_header.select(F.col("corpus_hash").alias("e"), F.col("schema_version").alias("ev")))
     return explode_rules(both, F.lit("inputs"), [
         ("corpora_differ", is_blank("s") | ~F.col("s").eqNullSafe(F.col("e")), None),
         ("statistics_schema_version",
@@ -160,6 +162,23 @@ def inputs_match(stats_header: DataFrame, evidence_header: DataFrame) -> DataFra
     ])
 
 
+def provenance(stats: DataFrame, evidence: DataFrame, corpus_hash: str, *,
+               provider: str | None = None, model: str | None = None,
+               params: str = "{}", generated_at: str = "") -> DataFrame:
+    """One row that identifies what claims were generated from. ``content_hash`` leaves
+    the time out, so equal inputs give equal hashes."""
+    columns = ("metric", "venue_family", "venue_year", "path", "value")
+    row = with_row(
+        set_digest(stats, *[F.col(c) for c in columns], name="statistics_hash"),
+        set_digest(evidence, F.col("evidence_id"), name="evidence_bundle_hash")
+    ).withColumns({
+        "corpus_hash": F.lit(corpus_hash), "provider": F.lit(provider).cast("string"),
+        "model": F.lit(model).cast("string"), "params": F.lit(params),
+        "schema_version": F.lit(S.STATISTICS_SCHEMA_VERSION)})
+    return row.withColumn("content_hash", content_hash(*sorted(row.columns))).withColumn(
+        "generated_at", F.lit(generated_at))
+
+
 def parse_responses(raw: DataFrame, text: str = "raw_text") -> DataFrame:
     """Claims arrays from generated text. One code fence is removed, nothing else is
     repaired: ``error`` says why a response was refused."""
@@ -191,8 +210,7 @@ def claim_families(claims: DataFrame, stats: DataFrame, evidence: DataFrame) ->
     named = from_refs.union(from_evidence).distinct().join(scope, "venue_family", "left_semi")
     sole = scope.agg(F.count(F.lit(1)).alias("_n"), F.min("venue_family").alias("_f"))
     return (
-        claims.select("claim_no", "claim_id").join(named, "claim_no", "left")
-        .crossJoin(F.broadcast(sole))
+        with_row(claims.select("claim_no", "claim_id").join(named, "claim_no", "left"), sole)
         .select("claim_no", "claim_id", F.coalesce(
             "venue_family", F.when(F.col("_n") == 1, F.col("_f"))).alias("venue_family"))
     )

@@ -12,6 +12,7 @@ from colloquy import schema as S
 from colloquy.functions import labels as L
 from colloquy.functions.digests import exact_id_hash
 from colloquy.functions.hashing import evidence_id, seeded_key
+from colloquy.functions.rows import with_row
 from colloquy.functions.text import excerpt_source, is_blank
 from colloquy.operators import order_stats as O
 from colloquy.operators.statistics import response_counts
@@ -65,25 +66,23 @@ def candidates(forum: DataFrame, review: DataFrame, response: DataFrame,
         rated.write.mode("overwrite").parquet(f"{scratch}/candidates")
         rated = rated.sparkSession.read.schema(rated.schema).parquet(f"{scratch}/candidates")
     cuts = O.tercile_cuts(O.histogram(rated, [], "rating_value"), [], "rating_value")
-    per_forum = (
+    per_forum = with_row(
         forum.select("forum_id", "venue_year", "decision")
         .join(rating_ranges(review), "forum_id", "left")
-        .join(response_counts(response), "forum_id", "left")
-        .crossJoin(F.broadcast(median_range(review)))
-        .select(
-            "forum_id",
-            L.decision_bucket().alias("decision_bucket"),
-            L.year_label().alias("year"),
-            F.when(F.col("rating_range").isNull(), "insufficient_data")
-            .when(F.col("rating_range") > F.col("median"), "high").otherwise("low")
-            .alias("disagreement_bucket"),
-            F.when(F.col("n_responses") > 0, "present").otherwise("absent")
-            .alias("rebuttal_bucket"),
-        )
+        .join(response_counts(response), "forum_id", "left"),
+        median_range(review),
+    ).select(
+        "forum_id",
+        L.decision_bucket().alias("decision_bucket"),
+        L.year_label().alias("year"),
+        F.when(F.col("rating_range").isNull(), "insufficient_data")
+        .when(F.col("rating_range") > F.col("median"), "high").otherwise("low")
+        .alias("disagreement_bucket"),
+        F.when(F.col("n_responses") > 0, "present").otherwise("absent")
+        .alias("rebuttal_bucket"),
     )
     return (
-        rated.join(per_forum, "forum_id")
-        .crossJoin(F.broadcast(cuts))
+        with_row(rated.join(per_forum, "forum_id"), cuts)
         .withColumn("rating_bucket", L.tercile_bucket("rating_value", "low_cut", "high_cut"))
         .drop("low_cut", "high_cut")
     )
@@ -100,8 +99,13 @@ def stratified_sample(cands: DataFrame, seed: int, per_bucket: int = S.EVIDENCE_
     """Up to ``per_bucket`` candidates of every category of every axis."""
     rows = by_axis(cands, axes).withColumn(
         "_key", seeded_key(seed, "axis", "category", "forum_id", "note_id"))
-    return O.top_k(rows, ["axis", "category"],
-                   [F.col("_key"), F.col("forum_id"), F.col("note_id")], per_bucket).drop("_key")
+    group = ["axis", "category"]
+    if per_bucket <= O.LIMITED_GROUP:
+        order = [F.col("_key"), F.col("forum_id"), F.col("note_id")]
+        return O.top_k(rows, group, order, per_bucket).drop("_key")
+    cutoffs = O.key_cutoffs(rows, group, "_key", lambda sizes: sizes.withColumn(
+        "quota", F.least("size", F.lit(per_bucket))))
+    return rows.join(cutoffs, group).where(F.col("_key") <= F.col("cutoff")).drop("_key", "cutoff")
 
 
 def cap(df: DataFrame, seed: int, max_items: int, *identity: str) -> DataFrame:
@@ -162,8 +166,8 @@ def with_strata(items: DataFrame) -> DataFrame:
 
 def bundle_header(items: DataFrame, *, seed: int, corpus_hash: str, generated_at: str) -> DataFrame:
     """One row: count and hash of the selected ids, independent of their order."""
-    return exact_id_hash(items, "evidence_id").withColumnRenamed("hash", "bundle_hash").crossJoin(
-        F.broadcast(items.agg(F.count(F.lit(1)).alias("count")))).withColumns({
+    bundle = exact_id_hash(items, "evidence_id").withColumnRenamed("hash", "bundle_hash")
+    return with_row(bundle, items.agg(F.count(F.lit(1)).alias("count"))).withColumns({
             "seed": F.lit(seed), "corpus_hash": F.lit(corpus_hash),
             "generated_at": F.lit(generated_at),
             "schema_version": F.lit(S.EVIDENCE_SCHEMA_VERSION)})

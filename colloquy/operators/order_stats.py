@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.functions.rows import with_row
+
 PER_OCTAVE = 64  # buckets between a value and its double
 _EXPONENTS = 1100  # more than the exponent range of a double
 
@@ -40,9 +42,7 @@ def bucket(value: Column, per_octave: int = PER_OCTAVE) -> Column:
 
 def attach(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys; without keys ``other`` is a one-row aggregate."""
-    if keys:
-        return df.join(other, keys, how)
-    return df.crossJoin(F.broadcast(other))
+    return df.join(other, keys, how) if keys else with_row(df, other)
 
 
 def positioned(hist: DataFrame, keys: list[str], value: str,
@@ -158,8 +158,12 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     )
 
 
+LIMITED_GROUP = 1000  # Spark limits groups before the shuffle up to this many rows
+
+
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
-    """At most k rows per group, limited on the map side before the shuffle."""
+    """At most k rows per group, limited on the map side before the shuffle. For larger
+    k over hashed keys see `key_cutoffs`."""
     return (
         df.withColumn("_rn", F.row_number().over(W.partitionBy(*groups).orderBy(*order)))
         .where(F.col("_rn") <= k)

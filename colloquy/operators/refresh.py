@@ -98,6 +98,9 @@ def replay(results: DataFrame, *, chunk_seconds: int = 30 * 86400,
     }).withColumn("_reset", F.col("ok") & F.col("changed") & F.col("_end").isNull())
 
     chunk = [*key, "_chunk"]
+    # By chunk, not by forum: an input that arrives partitioned by forum would otherwise
+    # keep all chunks of a busy forum in one task.
+    rows = rows.repartition(*chunk)
     in_chunk = W.partitionBy(*chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_resets", F.sum(F.col("_reset").cast("int")).over(in_chunk))
     run = W.partitionBy(*chunk, "_resets").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions import labels as L
 from colloquy.functions.digests import set_digest
+from colloquy.functions.rows import with_row
 from colloquy.functions.text import is_blank
 from colloquy.operators.evidence import explode_rules, union_violations
 from colloquy.operators.split import overlap
@@ -118,9 +121,10 @@ def outside_dataset(predictions: DataFrame, inputs: DataFrame) -> DataFrame:
     )
 
 
-def missing_predictions(predictions: DataFrame, inputs: DataFrame, systems: DataFrame) -> DataFrame:
+def missing_predictions(predictions: DataFrame, inputs: DataFrame,
+                        systems: Sequence[str] = (S.SYSTEM_GENERIC, S.SYSTEM_CALIBRATED)) -> DataFrame:
     """Evaluation forums a system says nothing about: for information."""
-    wanted = inputs.select("forum_id").crossJoin(F.broadcast(systems.select("system").distinct()))
+    wanted = inputs.select("forum_id", F.explode(F.array(*map(F.lit, systems))).alias("system"))
     return wanted.join(
         predictions.select("system", "forum_id").distinct(), ["system", "forum_id"], "left_anti")
 
@@ -141,9 +145,9 @@ def comparability(runs: DataFrame, manifest: DataFrame, predictions: DataFrame)
     the generic and the calibrated system; ``manifest`` is the dataset's one row."""
     side = lambda system, p: runs.where(F.col("system") == system).agg(*[
         F.first(c).alias(f"{p}_{c}") for c in RUN_FIELDS])
-    both = side(S.SYSTEM_GENERIC, "g").crossJoin(
-        F.broadcast(side(S.SYSTEM_CALIBRATED, "c"))).crossJoin(
-        F.broadcast(manifest.select("model_inputs_hash", F.col("calibration_hash").alias("frozen"))))
+    both = with_row(
+        with_row(side(S.SYSTEM_GENERIC, "g"), side(S.SYSTEM_CALIBRATED, "c")),
+        manifest.select("model_inputs_hash", F.col("calibration_hash").alias("frozen")))
     ne = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     rules = explode_rules(both, F.lit("run"), [
         ("generic_run_missing", F.col("g_system").isNull(), None),
@@ -176,7 +180,7 @@ def dataset_consistency(inputs: DataFrame, labels: DataFrame, calibration: DataF
         inputs_digest(inputs, "_inputs"), labels_digest(labels, "_labels"),
         set_digest(calibration.select("forum_id").distinct(), F.col("forum_id"), name="_cal"),
     ):
-        now = now.crossJoin(F.broadcast(one_row))
+        now = with_row(now, one_row)
     ne = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     extra = sorted(set(inputs.columns) - set(S.MODEL_INPUT_FIELDS))
     parts = [

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions import labels as L
+from colloquy.functions.rows import with_row
 from colloquy.operators import order_stats as O
 
 SCOPE = ["venue_family", "venue_year"]
@@ -222,8 +223,7 @@ def coverage(labels: DataFrame, paired: DataFrame, systems: DataFrame,
         F.struct(F.lit(t).alias("task"), F.col(t).alias("eligible"),
                  F.coalesce(F.col(f"_{t}"), F.lit(0)).alias("predicted")) for t, _, _ in tasks]))
     return (
-        systems.select("system").distinct().join(predicted, "system", "left")
-        .crossJoin(F.broadcast(eligible))
+        with_row(systems.select("system").distinct().join(predicted, "system", "left"), eligible)
         .select("system", rows.alias("_r")).select("system", "_r.*")
         .withColumn("coverage", L.rounded(L.ratio(F.col("predicted"), F.col("eligible")), digits))
     )
@@ -268,8 +268,7 @@ def warnings(cov: DataFrame, inputs: DataFrame, small: int = S.SMALL_SAMPLE_N) -
         "system", "task", F.lit("small_sample").alias("warning"),
         F.col("predicted").cast("bigint").alias("n"))
     families = inputs.agg(F.countDistinct("venue_family").alias("_f"))
-    single = cov.select("system").distinct().crossJoin(
-        F.broadcast(families.where(F.col("_f") <= 1))).select(
+    single = with_row(cov.select("system").distinct(), families).where(F.col("_f") <= 1).select(
         "system", F.lit("").alias("task"), F.lit("single_venue_family").alias("warning"),
         F.col("_f").cast("bigint").alias("n"))
     return few.unionByName(single)

@@ -12,6 +12,7 @@ from colloquy import schema as S
 from colloquy.functions import labels as L
 from colloquy.functions.digests import corpus_digest, set_digest
 from colloquy.functions.hashing import seeded_key
+from colloquy.functions.rows import with_row
 from colloquy.functions.text import is_blank
 from colloquy.operators import order_stats as O
 
@@ -190,7 +191,7 @@ def calibration_aggregate(forum: DataFrame, review: DataFrame, calibration: Data
     ratings = review.join(cal, "forum_id", "left_semi").agg(
         F.sum("initial_value").alias("_sum"), F.count("initial_value").alias("_n"))
     return (
-        forums.crossJoin(F.broadcast(ratings))
+        with_row(forums, ratings)
         .where(F.col("calibration_forum_count") > 0)
         .select(
             "calibration_forum_count",
@@ -202,7 +203,8 @@ def calibration_aggregate(forum: DataFrame, review: DataFrame, calibration: Data
 
 def baseline_predictions(eval_forums: DataFrame, aggregate: DataFrame) -> DataFrame:
     """The constant baseline for every evaluation forum."""
-    return eval_forums.select("forum_id").crossJoin(F.broadcast(aggregate)).select(
+    return with_row(eval_forums.select("forum_id"), aggregate).where(
+        F.col("calibration_forum_count").isNotNull()).select(
         "forum_id", F.lit(S.SYSTEM_BASELINE).alias("system"),
         F.col("mean_initial_rating").alias("rating_prediction"),
         F.col("majority_decision").alias("decision_prediction"),
@@ -270,7 +272,7 @@ def prepare_dataset(forum: DataFrame, review: DataFrame, response: DataFrame,
                    name="calibration_hash"),
         corpus_digest(forum, review), inputs_digest(inputs), labels_digest(labels),
     ):
-        manifest = manifest.crossJoin(F.broadcast(one_row))
+        manifest = with_row(manifest, one_row)
     return EvaluationDataset(inputs, labels, split, store(manifest, "manifest"))
 
 

@@ -238,6 +238,27 @@ def q9(spark, path):
                           part.withColumn("schema_version", F.lit(9)))
 
 
+def _provenance_sql():
+    from colloquy.plans.ingest_queries import _set_digest_sql
+
+    stat = ("(SELECT metric || chr(0) || venue_family || chr(0) || venue_year || chr(0) || path || chr(0) || value AS m "
+            "FROM stat WHERE metric IN ('forum_count', 'decision_distribution'))")
+    return f"""
+      SELECT *, substr(sha256('c' || chr(0) || evidence_bundle_hash || chr(0) || 'm1' || chr(0) || '{{}}' || chr(0)
+        || chr(0) || '1' || chr(0) || statistics_hash || chr(0)), 1, 16) AS content_hash, 't' AS generated_at
+      FROM (SELECT s.statistics_hash, e.evidence_bundle_hash, 'c' AS corpus_hash, CAST(NULL AS VARCHAR) AS provider,
+          'm1' AS model, '{{}}' AS params, 1 AS schema_version
+        FROM ({_set_digest_sql('m', stat, 'statistics_hash')}) s,
+          ({_set_digest_sql('evidence_id', 'citem', 'evidence_bundle_hash')}) e)"""
+
+
+@query("F4_generation_provenance", _provenance_sql())
+def f4b(spark, path):
+    c = D.orders_corpus(spark, path, False)
+    stats = ST.compute(c.forum, c.review, c.response, ("forum_count", "decision_distribution"))
+    return C.provenance(stats, _evidence(spark, path), "c", model="m1", generated_at="t")
+
+
 @query("F13_parse_generated_claims", """
   SELECT conv_id, turn, CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE NULL END IS NULL AS refused,
     CASE k % 4 WHEN 1 THEN 'not_json' WHEN 2 THEN 'no_claims' WHEN 3 THEN 'claims_not_a_list' END AS error,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions.hashing import seeded_key
+from colloquy.functions.rows import with_row
 from colloquy.operators import evidence as E
 from colloquy.operators import runs as R
 from colloquy.operators import scoring as SC
@@ -467,7 +468,14 @@ def j8(spark, path):
 def q4(spark, path):
     inputs = _split(spark, path).where(F.col("reason").isNull())
     p = D.predictions(spark, path)
-    return R.missing_predictions(p, inputs, p.select("system"))
+    return R.missing_predictions(p, inputs)
+
+
+@query("W7_duplicate_ids", """
+  SELECT CAST(o_custkey AS VARCHAR) AS entity_id, 'duplicate_customer' AS rule, '' AS detail, count(*) - 1 AS n
+  FROM orders GROUP BY 1 HAVING count(*) > 1""")
+def w7(spark, path):
+    return E.duplicates(D.table(spark, path, "orders"), "o_custkey", "duplicate_customer")
 
 
 @query("J9_forum_set_differences", """
@@ -485,7 +493,7 @@ def _runs(spark, path, ds):
     """Run headers of two systems; digests come from the dataset's manifest."""
     systems = D.predictions(spark, path).select("system").distinct()
     generic = F.col("system") == S.SYSTEM_GENERIC
-    return systems.crossJoin(F.broadcast(ds.manifest.select("model_inputs_hash", "calibration_hash"))).select(
+    return with_row(systems, ds.manifest.select("model_inputs_hash", "calibration_hash")).select(
         F.concat(F.lit("run_"), "system").alias("run_id"), "system",
         F.when(generic, "model-a").otherwise("model-b").alias("model"),
         F.when(generic, '{"temperature": 0}').otherwise("[1]").alias("settings"),

@@ -58,7 +58,7 @@ def s1(spark, path):
     lines = _snapshots(spark, path).select(F.to_json(F.struct(
         F.col("forum_id").cast("string").alias("forum_id"), "venue_family", "venue_year",
         F.struct("title").alias("paper"), "fetched_at")).alias("value"))
-    return I.latest_version(SC.parse_corpus_lines(lines)).select(
+    return SC.latest_records(SC.parse_corpus_lines(lines)).select(
         "forum_id", "venue_family", "venue_year", F.col("paper.title").alias("title"),
         "fetched_at")
 

@@ -50,8 +50,8 @@ def t2(spark, path):
     return R.replay(D.refresh_results(spark, path), chunk_seconds=2 * 86400)
 
 
-def _run(stream, writer, checkpoint):
-    q = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+def _run(stream, writer, checkpoint, mode="append"):
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).foreachBatch(writer).start())
     q.awaitTermination()
     if q.exception():
@@ -62,11 +62,19 @@ def _run(stream, writer, checkpoint):
 def t2_stream(spark, path):
     out = scratch_dir(spark)
     results = D.as_refresh_results(D.stream(spark, path, "events"))
-    _run(SR.refresh_states(results), AQ.append_versions(f"{out}/states"), f"{out}/checkpoint")
+    _run(SR.refresh_states(results), AQ.append_versions(f"{out}/states"), f"{out}/checkpoint", "update")
     versions = spark.read.parquet(f"{out}/states")
     return latest_version(versions, "last_checked_at", "batch_id").drop("batch_id")
 
 
+@query("T2_refresh_states_from_micro_batches", "SELECT * FROM refresh_state")
+def t2_batches(spark, path):
+    out = scratch_dir(spark)
+    results = D.as_refresh_results(D.stream(spark, path, "events"))
+    _run(results, SR.replay_batches(f"{out}/states"), f"{out}/checkpoint")
+    return SR.current_states(spark, f"{out}/states")
+
+
 @query("T1_acquire_first_seen_forums", """
   SELECT DISTINCT user_id AS forum_id FROM events""")
 def t1(spark, path):

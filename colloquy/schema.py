@@ -211,6 +211,7 @@ def _forum(text_type: T.DataType) -> T.StructType:
     return (
         T.StructType()
         .add("forum_id", "string")
+        .add("part", "integer")  # 0, or the number of a part of an oversized record
         .add("url", "string")
         .add("venue_family", "string")
         .add("venue_id", "string")

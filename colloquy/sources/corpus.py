@@ -11,12 +11,15 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions.digests import corpus_digest
+from colloquy.functions.rows import with_row
 from colloquy.functions.text import excerpt
-from colloquy.operators.ingest import Corpus, latest_version
+from colloquy.operators.ingest import Corpus
+from colloquy.operators.order_stats import latest
 
 CHUNK = 5_000
 
@@ -144,7 +147,16 @@ def load_corpus(spark: SparkSession, path: str, public: bool = False,
     schema = S.FORUM_PUBLIC if public else S.FORUM_FULL
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return latest_version(spark.read.schema(schema).json(path), version)
+    return latest_records(spark.read.schema(schema).json(path), version)
+
+
+def latest_records(nested: DataFrame, version: str = "fetched_at") -> DataFrame:
+    """Newest record of every forum, with all of its parts. Both windows keep one
+    version per forum on the map side, before the shuffle."""
+    newest = W.partitionBy("forum_id").orderBy(F.col(version).desc_nulls_last())
+    kept = nested.withColumn("_v", F.rank().over(newest)).where(F.col("_v") == 1).drop("_v")
+    return latest(kept.withColumn("part", F.coalesce("part", F.lit(0))), ["forum_id", "part"],
+                  [F.col(version).desc_nulls_last()])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -166,9 +178,9 @@ def save_public_index(nested: DataFrame, path: str, max_chars: int = S.PUBLIC_EX
 def manifest(forum: DataFrame, review: DataFrame, *, seed: int | None = None,
              generated_at: float | None = None) -> DataFrame:
     """One row: counts and digest of a corpus."""
-    counts = forum.agg(F.count(F.lit(1)).alias("record_count")).crossJoin(
-        F.broadcast(review.agg(F.count(F.lit(1)).alias("review_count"))))
-    return counts.crossJoin(F.broadcast(corpus_digest(forum, review))).withColumns({
+    counts = with_row(forum.agg(F.count(F.lit(1)).alias("record_count")),
+                      review.agg(F.count(F.lit(1)).alias("review_count")))
+    return with_row(counts, corpus_digest(forum, review)).withColumns({
         "schema_version": F.lit(S.SCHEMA_VERSION),
         "producer_version": F.lit(S.PRODUCER_VERSION),
         "seed": F.lit(seed).cast("int"),

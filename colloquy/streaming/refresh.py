@@ -1,18 +1,26 @@
-"""The refresh state machine as a stateful stream, keyed by forum.
+"""The refresh state machine on a stream of results, keyed by forum.
 
-`operators.refresh.replay` computes the same states from a finished log. Addition to
-the batch semantics: a result older than the last one applied is ignored.
+Two forms with the same states. ``refresh_states`` keeps one small state per forum in
+the state store; a task orders the results of a forum within a trigger. ``replay_batches``
+keeps states in a table and replays each micro-batch with `operators.refresh.replay`,
+which also splits a forum that holds a large part of a batch.
+
+Addition to the batch semantics: a result older than the last one applied is ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from colloquy import schema as S
+from colloquy.operators.ingest import latest_version
+from colloquy.operators.refresh import replay
+from colloquy.sources.corpus import path_exists
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOMES = {"withdrawn": "withdrawn", "desk_reject": "desk_rejected"}
@@ -82,3 +90,34 @@ def refresh_states(results: DataFrame) -> DataFrame:
     return results.groupBy("forum_id").transformWithState(
         statefulProcessor=RefreshProcessor(), outputStructType=output_schema(results),
         outputMode="Update", timeMode="None")
+
+
+def current_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Latest state of every forum in a folder of state versions."""
+    versions = spark.read.parquet(path)
+    if before is not None:
+        versions = versions.where(F.col("batch_id") < before)
+    return latest_version(versions, "last_checked_at", "batch_id").drop("batch_id")
+
+
+def replay_batches(path: str, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer that applies a batch of results to the states under
+    ``path``. A batch reads the states of earlier batches only and writes a folder of its
+    own, so a retry gives the same outcome."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch
+        if path_exists(batch.sparkSession, path):
+            start = current_states(batch.sparkSession, path, batch_id).select(
+                "forum_id", F.col("status").alias("start_status"),
+                F.col("refresh_attempts").alias("start_attempts"),
+                F.col("last_checked_at").alias("_last"))
+            rows = batch.join(start, "forum_id", "left").where(
+                ~F.coalesce(F.col("start_status").isin(*S.TERMINAL_STATUSES), F.lit(False))
+                & (F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
+            ).withColumns({
+                "start_status": F.coalesce("start_status", F.lit("unseen")),
+                "start_attempts": F.coalesce("start_attempts", F.lit(0))}).drop("_last")
+        replay(rows, **options).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return write

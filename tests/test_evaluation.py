@@ -326,7 +326,7 @@ def test_json_predictions(spark):
 
 def test_membership(predictions, dataset):
     fewer = predictions.where("forum_id <> 'eval_002' or system = 'generic'")
-    got = R.missing_predictions(fewer, dataset.inputs, predictions).collect()
+    got = R.missing_predictions(fewer, dataset.inputs).collect()
     assert [(r.system, r.forum_id) for r in got] == [("calibrated", "eval_002")]
     assert R.outside_dataset(fewer, dataset.inputs).count() == 0
     differ = R.forum_set_differences(fewer, "generic", "calibrated").collect()

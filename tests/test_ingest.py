@@ -209,6 +209,15 @@ def test_load_corpus_newest_record_wins(spark, tmp_path):
     assert SC.load_corpus(spark, str(tmp_path / "missing")).count() == 0
 
 
+def test_newest_record_keeps_all_its_parts(spark, tmp_path):
+    path = tmp_path / "c"
+    path.mkdir()
+    rec = lambda part, at, tag: {"forum_id": "a", "part": part, "fetched_at": at, "venue_id": tag}
+    lines = [rec(0, 1.0, "old"), rec(1, 1.0, "old"), rec(2, 1.0, "old"), rec(0, 2.0, "x"), rec(1, 2.0, "y"), rec(1, 2.0, "y")]
+    (path / "p.json").write_text("\n".join(map(json.dumps, lines)))
+    assert sorted(r.venue_id for r in SC.load_corpus(spark, str(path)).collect()) == ["x", "y"]
+
+
 def test_upsert_unseen_and_changes(spark):
     old = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 5.0)], "forum_id string, v int, fetched_at double")
     new = spark.createDataFrame([("a", 2, 1.0), ("b", 2, 4.0), ("c", 2, 1.0)], "forum_id string, v int, fetched_at double")

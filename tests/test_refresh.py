@@ -121,6 +121,20 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     assert got == folded(rows)
 
 
+def test_replayed_batches_equal_folding(spark, tmp_path):
+    rows = sorted(random_log(11, forums=8, n=400), key=lambda r: (r[1], r[2]))
+    write = SR.replay_batches(str(tmp_path / "s"), chunk_seconds=3 * 86400)
+    # Batches of whole time steps; the second one is retried, the last one comes late.
+    cut = next(i for i in range(200, 400) if rows[i][1] != rows[i - 1][1])
+    write(spark.createDataFrame(rows[:cut], LOG), 0)
+    for _ in range(2):
+        write(spark.createDataFrame(rows[cut:], LOG), 1)
+    write(spark.createDataFrame(rows[:20], LOG).where(F.col("ts") < rows[cut][1]), 2)
+    got = {r.forum_id: (r.status, r.last_checked_at, r.refresh_attempts, r.next_refresh_at)
+           for r in SR.current_states(spark, str(tmp_path / "s")).collect()}
+    assert got == folded(rows)
+
+
 def test_acquisition_skips_seen_forums_over_a_restart(spark, tmp_path):
     src, out, cp = tmp_path / "in", tmp_path / "out", tmp_path / "cp"
     src.mkdir()
