@@ -77,23 +77,24 @@ def with_all_years(df: DataFrame) -> DataFrame:
         "venue_year", F.explode(F.array(F.col("venue_year"), F.lit(S.YEAR_ALL))))
 
 
-def rating_counts(review: DataFrame) -> DataFrame:
-    """Counts per forum and distinct (initial, final, confidence) triple."""
-    return review.groupBy(
-        "forum_id", "initial_value", "final_value", "confidence_value"
-    ).agg(F.count(F.lit(1)).alias("n"))
+RATING_VALUES = ("initial_value", "final_value", "confidence_value")
+
+
+def rating_counts(review: DataFrame, values: Iterable[str] = RATING_VALUES) -> DataFrame:
+    """Counts per forum and distinct combination of rating values."""
+    return review.groupBy("forum_id", *values).agg(F.count(F.lit(1)).alias("n"))
 
 
 def response_counts(response: DataFrame) -> DataFrame:
     return response.groupBy("forum_id").agg(F.count(F.lit(1)).alias("n_responses"))
 
 
-def forum_ratings(review: DataFrame) -> DataFrame:
-    """Per-forum roll-up of initial ratings."""
+def forum_ratings(counts: DataFrame) -> DataFrame:
+    """Per-forum roll-up of initial ratings from rows that stand for ``n`` reviews."""
     v, n = F.col("initial_value"), F.col("n")
     rated = F.when(v.isNotNull(), n).otherwise(0)
     return (
-        rating_counts(review).groupBy("forum_id")
+        counts.groupBy("forum_id")
         .agg(
             F.sum("n").alias("n_reviews"),
             F.sum(rated).alias("n_rated"),
@@ -129,7 +130,7 @@ def _unfold(df: DataFrame, rows: list[tuple[str, str, str, str]], keep: str = "T
         *KEYS, "label", "value", "n")
 
 
-def forum_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
+def forum_rows(forum: DataFrame, counts: DataFrame, response: DataFrame,
                measures: set[str]) -> DataFrame:
     """Measures of forums. Every forum also names the review measures with a count of
     zero, so that a scope without reviews still reports them."""
@@ -140,7 +141,7 @@ def forum_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
     if "decision" in measures:
         rows.append(("decision", "decision", "if(decision <> 'unknown', 1, NULL)", "1"))
     if measures & {*FORUM_MEASURES, "reviews_per_forum"}:
-        df = df.join(forum_ratings(review), "forum_id", "left")
+        df = df.join(forum_ratings(counts), "forum_id", "left")
         rows += [(m, "''", v, "1") for m, v in RATING_MEASURES.items() if m in measures]
         if "reviews_per_forum" in measures:
             rows.append(("reviews_per_forum", "''", "coalesce(n_reviews, 0)", "1"))
@@ -151,7 +152,7 @@ def forum_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
     return _unfold(df, rows)
 
 
-def review_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
+def review_rows(forum: DataFrame, counts: DataFrame, response: DataFrame,
                 measures: set[str]) -> DataFrame:
     """Measures of reviews, from rating counts joined to their forum."""
     base = scoped_forums(forum)
@@ -168,16 +169,30 @@ def review_rows(forum: DataFrame, review: DataFrame, response: DataFrame,
     present, absent = (f"measure = '{m}'" for m in CHANGE_METRICS[1:])
     keep = (f"NOT ({present} AND n_responses IS NULL) AND NOT ({absent} AND n_responses IS NOT NULL)"
             if split else "TRUE")
-    counts = rating_counts(review).withColumnRenamed("n", "_n")
-    return _unfold(counts.join(base, "forum_id"), [(m, lb, v, "_n") for m, lb, v, _ in rows], keep)
+    joined = counts.withColumnRenamed("n", "_n").join(base, "forum_id")
+    return _unfold(joined, [(m, lb, v, "_n") for m, lb, v, _ in rows], keep)
 
 
 def measure_histogram(forum: DataFrame, review: DataFrame, response: DataFrame,
                       measures: set[str]) -> DataFrame:
-    """Counts per (scope, measure, label, value), both kinds of scope included."""
-    rows = forum_rows(forum, review, response, measures)
-    if measures & set(REVIEW_MEASURES):
-        rows = rows.unionByName(review_rows(forum, review, response, measures))
+    """Counts per (scope, measure, label, value), both kinds of scope included.
+
+    With review measures the reviews are counted per rating combination first and both
+    kinds of rows start from these counts. Forum measures alone aggregate straight to
+    the forum, with a partial sum per map task."""
+    of_reviews = measures & set(REVIEW_MEASURES)
+    values = ["initial_value"]
+    if of_reviews & set(CHANGE_METRICS):
+        values.append("final_value")
+    if "confidence" in of_reviews:
+        values.append("confidence_value")
+    if of_reviews:
+        counts = rating_counts(review, values)
+    else:
+        counts = review.select("forum_id", "initial_value", F.lit(1).alias("n"))
+    rows = forum_rows(forum, counts, response, measures)
+    if of_reviews:
+        rows = rows.unionByName(review_rows(forum, counts, response, measures))
     return with_all_years(rows).groupBy(*KEYS, "label", "value").agg(F.sum("n").alias("n"))
 
 
