@@ -140,9 +140,12 @@ def select_evidence(forum: DataFrame, review: DataFrame, response: DataFrame, *,
         "forum_id", F.coalesce(F.col("note_id").cast("string"), F.lit("")).alias("note_id"),
         "content_hash", excerpt_source().alias("source"))
     facts = forum.select("forum_id", "venue_family", "decision", "url")
-    # Reviews without an id cannot be told apart by id; they must also have text.
+    # Reviews without an id share one evidence id; one of them stands for it.
+    found = O.latest(
+        texts.where(F.col("source") != "").join(picked, ["forum_id", "note_id"]),
+        ["forum_id", "note_id"], [F.col("content_hash"), F.col("source")])
     return (
-        texts.where(F.col("source") != "").join(picked, ["forum_id", "note_id"])
+        found
         .join(facts, "forum_id")
         .select(
             evidence_id().alias("evidence_id"),

@@ -129,6 +129,12 @@ def assemble(papers: DataFrame, children: DataFrame, *, venue_family: Column, ve
 # --- legacy dumps -----------------------------------------------------------------------
 
 
+LEGACY_REVIEWS = (
+    "array<struct<forum_id:string,note_id:string,rating:string,rating_num:double,"
+    "confidence:string,summary:string,text:string,strengths:string,weaknesses:string,"
+    "questions:string>>")
+
+
 def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_order") -> DataFrame:
     """Rows of legacy dumps, JSON objects ``{display name: [review, ...]}``. Entries
     that are not lists, internal ``_forum_`` entries and rows without a forum id are
@@ -140,17 +146,14 @@ def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_orde
     ).where(~F.col("display_name").startswith("_forum_"))
     rows = entries.select(
         "_dump", "display_name",
-        F.posexplode(F.try_variant_get("entry", "$", "array<variant>")).alias("_pos", "r"))
-    text = lambda k: F.try_variant_get("r", f"$.{k}", "string")
-    return rows.select(
-        "_dump", "display_name", "_pos",
-        text("forum_id").alias("forum_id"), text("note_id").alias("note_id"),
-        F.coalesce(text("rating"), F.lit("")).alias("rating_raw"),
-        F.try_variant_get("r", "$.rating_num", "double").alias("initial_value"),
-        F.coalesce(text("confidence"), F.lit("")).alias("confidence_raw"),
-        *[F.coalesce(text(k), F.lit("")).alias(k)
-          for k in ("summary", "text", "strengths", "weaknesses", "questions")],
-    ).where(F.coalesce("forum_id", F.lit("")) != "")
+        F.posexplode(F.try_variant_get("entry", "$", LEGACY_REVIEWS)).alias("_pos", "r"))
+    text = lambda k: F.coalesce(f"r.{k}", F.lit(""))
+    return rows.where(text("forum_id") != "").select(
+        "_dump", "display_name", "_pos", "r.forum_id", "r.note_id",
+        text("rating").alias("rating_raw"), F.col("r.rating_num").alias("initial_value"),
+        text("confidence").alias("confidence_raw"),
+        *[text(k).alias(k) for k in ("summary", "text", "strengths", "weaknesses", "questions")],
+    )
 
 
 def legacy_families(rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -178,11 +181,12 @@ def migrate_legacy(dumps: DataFrame, registry: DataFrame) -> Corpus:
             no_decision().alias("decision"), F.lit("migrated_legacy").alias("sampling_method"),
         )
     )
-    has_id = F.coalesce("note_id", F.lit("")) != ""
+    identity = F.when(
+        F.coalesce("note_id", F.lit("")) != "", F.concat(F.lit("id "), "note_id")
+    ).otherwise(F.concat_ws(" ", F.lit("row"), *first))
     review = (
-        latest(rows.where(has_id), ["venue_family", "forum_id", "note_id"], first)
-        .unionByName(rows.where(~has_id))
-        .drop("_dump", "_pos", "display_name")
+        latest(rows.withColumn("_key", identity), ["venue_family", "forum_id", "_key"], first)
+        .drop("_dump", "_pos", "_key", "display_name")
         .withColumn("content_hash", review_hash())
     )
     none = rows.select("forum_id").where(F.lit(False))

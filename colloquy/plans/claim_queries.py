@@ -7,6 +7,7 @@ from colloquy.operators import claims as C
 from colloquy.operators import statistics as ST
 from colloquy.plans.registry import cte, query
 from colloquy.sources import driver_tables as D
+from colloquy.sources.corpus import scratch_dir, write_table
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 SECTIONS = (*S.CLAIM_SECTIONS, "bogus")
@@ -131,8 +132,10 @@ CITED_METRICS = (
 
 
 def _stats(spark, path):
-    c = D.orders_corpus(spark, path)
-    return ST.compute(c.forum, c.review, c.response, CITED_METRICS, 10)
+    """Statistics as claims meet them: computed once and stored."""
+    c, out = D.orders_corpus(spark, path), scratch_dir(spark)
+    write_table(ST.compute(c.forum, c.review, c.response, CITED_METRICS, 10), out)
+    return spark.read.parquet(f"{out}/rows")
 
 
 @query("J11_cited_evidence", """

@@ -13,7 +13,7 @@ from colloquy.operators import split as SP
 from colloquy.operators.order_stats import top_k
 from colloquy.plans.registry import cte, query
 from colloquy.sources import driver_tables as D
-from colloquy.sources.corpus import scratch_dir
+from colloquy.sources.corpus import canonical_order, scratch_dir
 
 DIGITS = 10
 SEED = 42
@@ -103,20 +103,12 @@ def k2(spark, path):
 
 
 @query("K1_canonical_order", """
-  SELECT forum_id, row_number() OVER (ORDER BY venue_family, venue_year, forum_id) AS position FROM dforum""")
+  SELECT venue_family, venue_year, forum_id FROM scoped ORDER BY venue_family, venue_year, forum_id""")
 def k1(spark, path):
-    # Order is part of the result here: positions come from the sorted output.
-    from pyspark.sql import Window as W
-
-    per_scope = D.document_forums(spark, path).select(
-        "venue_family", F.col("venue_year").cast("string").alias("venue_year"), "forum_id")
-    scope = ["venue_family", "venue_year"]
-    sizes = per_scope.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(
-        W.orderBy(*scope).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    inside = F.row_number().over(W.partitionBy(*scope).orderBy("forum_id"))
-    return per_scope.withColumn("_r", inside).join(before, scope).select(
-        "forum_id", (F.col("before") + F.col("_r")).alias("position"))
+    from colloquy.operators.statistics import scoped_forums
+
+    forums = scoped_forums(D.order_forums(spark, path, False)).drop("decision")
+    return canonical_order(forums)
 
 
 @query("K4_next_unseen_per_venue", """

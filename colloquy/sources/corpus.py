@@ -198,6 +198,13 @@ def write_table(df: DataFrame, path: str, header: dict[str, Column] | None = Non
     head.write.mode("overwrite").format(fmt).save(f"{path}/header")
 
 
+def canonical_order(df: DataFrame) -> DataFrame:
+    """Published order of result rows: family, year as text, then the ids present. A
+    range-partitioned sort for exports; the ids break up even the largest scope."""
+    ids = [c for c in ("metric", "forum_id", "note_id", "path") if c in df.columns]
+    return df.orderBy("venue_family", F.col("venue_year").cast("string"), *ids)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables under the shared folder that the cluster
     names in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local

@@ -8,6 +8,7 @@ from colloquy.operators import evidence as E
 from colloquy.operators import runs as R
 from colloquy.operators import scoring as SC
 from colloquy.operators import split as SP
+from colloquy.sources.corpus import canonical_order
 from tests.conftest import lit_row, make_corpus, rules
 
 # Predictions of the worked example, (rating, decision) for eval_001 .. eval_008.
@@ -73,6 +74,24 @@ def test_evidence_skips_empty_text_and_held_out(spark, twelve):
     assert "strata" in E.with_strata(got).columns
 
 
+def test_reviews_without_an_id_share_one_item(twelve):
+    bare = twelve.review.withColumn("note_id", F.lit(None).cast("string"))
+    ids = [r.evidence_id for r in E.select_evidence(twelve.forum, bare, twelve.response, seed=1).collect()]
+    assert len(ids) == len(set(ids)) == 12
+
+
+def test_large_buckets_use_cutoffs(twelve):
+    cands = E.candidates(twelve.forum, twelve.review, twelve.response)
+    pairs = lambda df: {(r.axis, r.category, r.note_id) for r in df.collect()}
+    assert pairs(E.stratified_sample(cands, 1, 5000)) == pairs(E.by_axis(cands))
+
+
+def test_canonical_order(twelve):
+    rows = canonical_order(twelve.forum.repartition(5)).collect()
+    assert [r.forum_id for r in rows] == [
+        "f01", "f02", "f03", "f04", "f05", "f06", "f12", "f07", "f08", "f09", "f10", "f11"]
+
+
 def test_redacted_tier_is_refused(twelve):
     cut = twelve.review.withColumn("text", F.struct(F.lit("a").alias("excerpt")))
     with pytest.raises(ValueError):
