@@ -132,8 +132,7 @@ def _unfold(df: DataFrame, rows: list[tuple[str, str, str, str]], keep: str = "T
 
 def forum_rows(forum: DataFrame, counts: DataFrame, response: DataFrame,
                measures: set[str]) -> DataFrame:
-    """Measures of forums. Every forum also names the review measures with a count of
-    zero, so that a scope without reviews still reports them."""
+    """Measures of forums, one row per forum and measure."""
     texts = [c for c in ("title", "abstract") if f"paper_{c}" in measures]
     df = scoped_forums(forum, *[F.expr(f"if({c} <> '', 1, NULL) AS _{c}") for c in texts])
     rows = [("forum", "''", "NULL", "1")] if "forum" in measures else []
@@ -148,7 +147,6 @@ def forum_rows(forum: DataFrame, counts: DataFrame, response: DataFrame,
     if "responses_per_forum" in measures:
         df = df.join(response_counts(response), "forum_id", "left")
         rows.append(("responses_per_forum", "''", "coalesce(n_responses, 0)", "1"))
-    rows += [(m, "''", "NULL", "0") for m in REVIEW_MEASURES if m in measures]
     return _unfold(df, rows)
 
 
@@ -179,8 +177,11 @@ def measure_histogram(forum: DataFrame, review: DataFrame, response: DataFrame,
 
     With review measures the reviews are counted per rating combination first and both
     kinds of rows start from these counts. Forum measures alone aggregate straight to
-    the forum, with a partial sum per map task."""
+    the forum, with a partial sum per map task. The all-years scope is summed from the
+    finished years."""
     of_reviews = measures & set(REVIEW_MEASURES)
+    if of_reviews:
+        measures = measures | {"forum"}
     values = ["initial_value"]
     if of_reviews & set(CHANGE_METRICS):
         values.append("final_value")
@@ -193,7 +194,21 @@ def measure_histogram(forum: DataFrame, review: DataFrame, response: DataFrame,
     rows = forum_rows(forum, counts, response, measures)
     if of_reviews:
         rows = rows.unionByName(review_rows(forum, counts, response, measures))
-    return with_all_years(rows).groupBy(*KEYS, "label", "value").agg(F.sum("n").alias("n"))
+    key = [*KEYS, "label", "value"]
+    by_year = rows.groupBy(*key).agg(F.sum("n").alias("n"))
+    if of_reviews:
+        by_year = _with_empty_measures(by_year, sorted(of_reviews))
+    return with_all_years(by_year).groupBy(*key).agg(F.sum("n").alias("n"))
+
+
+def _with_empty_measures(hist: DataFrame, measures: list[str]) -> DataFrame:
+    """Next to a scope's one ``forum`` row, a row with count zero per review measure, so
+    that a scope without reviews still reports them."""
+    empty = "".join(
+        f", struct('{m}' AS measure, '' AS label, CAST(NULL AS DOUBLE) AS value, 0L AS n)"
+        for m in measures)
+    cells = f"filter(array(struct(measure, label, value, n){empty}), (x, i) -> i = 0 OR measure = 'forum')"
+    return hist.select(*SCOPE, F.expr(cells).alias("_c")).selectExpr(*SCOPE, "inline(_c)")
 
 
 # --- reading metrics off the histogram --------------------------------------------------
