@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from colloquy.llm.common import new_path, staged, text_of
 from colloquy.llm.segments import PRETOKENS, SPECIAL, Memo, split
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 LONGEST = 48  # bytes of a word in the lexicon
+NO_RANK = 1 << 40
 
 
 class Vocabulary:
@@ -64,7 +65,90 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
-        self.words = regex.compile(PRETOKENS).findall
+        self.find_words = regex.compile(PRETOKENS).findall
+        self._index_pairs()
+
+    def words(self, segment: str) -> list[str]:
+        """A segment's pre-tokens."""
+        if segment.isalpha() or segment[:1] == " " and segment[1:].isalpha():
+            return [segment]
+        return self.find_words(segment)
+
+    def _index_pairs(self) -> None:
+        """An open-addressing table from a pair of ids to its rank and the id it makes."""
+        self.bits = (2 * len(self.merges)).bit_length() + 1
+        keys = np.array([a << 32 | b for a, b in self.merges] or [0], np.int64)[: len(self.merges)]
+        made = np.array([*self.merges.values()], np.int64).reshape(-1, 2)
+        self.pair = np.full(1 << self.bits, -1, np.int64)
+        self.pair_rank = np.full(1 << self.bits, NO_RANK, np.int64)
+        self.made = made[np.argsort(made[:, 0]), 1]  # by rank
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.pair[slot[left]] == -1
+            self.pair[slot[left[free]]] = keys[left[free]]
+            won = self.pair[slot[left]] == keys[left]
+            self.pair_rank[slot[left[won]]] = made[left[won], 0]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK where none merges; -1 stands for no id."""
+        keys = np.ascontiguousarray(a << 32 | b).ravel()
+        slot = self._slot(keys)
+        out = np.full(len(keys), NO_RANK, np.int64)
+        left = np.flatnonzero((a.ravel() >= 0) & (b.ravel() >= 0))
+        while len(left):
+            held = self.pair[slot[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.pair_rank[slot[left[hit]]]
+            left = left[~hit & (held != -1)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out.reshape(a.shape)
+
+    def merge_all(self, words: list[bytes], at_once: int = 4096) -> list[bytes]:
+        """The ids of many words as little-endian 32-bit; short words merge side by side."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > LONGEST:
+            i = order.pop()
+            out[i] = np.array(self.merge(words[i]), "<i4").tobytes()
+        for first in range(0, len(order), at_once):
+            part = order[first : first + at_once]
+            width = max(1, len(words[part[-1]]))
+            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in part), np.uint8).reshape(-1, width)
+            size = np.array([len(words[i]) for i in part])
+            ids = np.where(np.arange(width) < size[:, None], np.array(self.byte_id)[raw], -1)
+            ids = np.hstack([ids, np.full((len(part), 1), -1)])
+            self._merge_matrix(ids)
+            flat, ends = ids[ids >= 0].astype("<i4").tobytes(), np.cumsum((ids >= 0).sum(1)).tolist()
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = flat[4 * a : 4 * b]
+        return out
+
+    def _merge_matrix(self, ids: np.ndarray) -> None:
+        """Merge every row as `merge` does; rows end in -1."""
+        width = ids.shape[1]
+        rank = np.full(ids.shape, NO_RANK, np.int64)  # of the pair that begins at each place
+        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        rows, places = np.arange(len(ids)), np.arange(width)
+        while True:
+            at = rank[rows].argmin(1)
+            go = rank[rows, at] < NO_RANK
+            rows, at = rows[go], at[go]
+            if not len(rows):
+                return
+            made = self.made[rank[rows, at]]
+            source = np.minimum(places + (places > at[:, None]), width - 1)
+            new, its = np.take_along_axis(ids[rows], source, 1), np.take_along_axis(rank[rows], source, 1)
+            n = np.arange(len(rows))
+            new[n, at] = made
+            its[n, at] = self.ranks(made, new[n, np.minimum(at + 1, width - 1)])
+            back = np.flatnonzero(at > 0)
+            its[back, at[back] - 1] = self.ranks(new[back, at[back] - 1], made[back])
+            ids[rows], rank[rows] = new, its
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: again and again the leftmost pair of the lowest rank."""
@@ -136,8 +220,8 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     key, target, skip = (np.array([a[i] for a in arcs], "<i8") for i in range(3))
     final = np.array([s[0] for s in states], "<i8")
     ends = np.cumsum([0, *(len(entries[w]) for w in words)]).astype("<i8")
-    ids = np.array([i for w in words for i in entries[w]], "<i8")
-    head = np.array([root, len(arcs), len(states), len(words), len(ids)], "<i8")
+    ids = np.array([i for w in words for i in entries[w]], "<i4")
+    head = np.array([root, len(arcs), len(states), len(words)], "<i8")
     return b"".join(x.tobytes() for x in (head, key, target, skip, final, ends, ids))
 
 
@@ -145,11 +229,12 @@ class Lexicon:
     """The compiled automaton, mapped from its file."""
 
     def __init__(self, block: np.ndarray):
-        block = np.asarray(block).view("<i8")
-        self.root, arcs, states, words, ids = (int(x) for x in block[:5])
-        cuts = np.cumsum([5, arcs, arcs, arcs, states, words + 1, ids])
-        self.key, self.target, self.skip, self.final, self.ends, self.ids = (
-            block[a:b] for a, b in zip(cuts, cuts[1:]))
+        block = np.asarray(block)
+        self.root, arcs, states, words = (int(x) for x in block[:32].view("<i8"))
+        cuts = 8 * np.cumsum([4, arcs, arcs, arcs, states, words + 1])
+        self.key, self.target, self.skip, self.final, self.ends = (
+            block[a:b].view("<i8") for a, b in zip(cuts, cuts[1:]))
+        self.ids = block[cuts[-1] :].view("<i4")
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
@@ -187,7 +272,7 @@ def vocabulary(file: str) -> Vocabulary:
 class Encoder:
     """Segments to ids: the lexicon first, exact merging for the rest."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None):
         self.vocab, self.lexicon = vocab, lexicon
         self.memo = Memo(lambda segment: self.learn([segment])[segment])
 
@@ -196,18 +281,20 @@ class Encoder:
         words = [[w.encode() for w in self.vocab.words(s)] for s in segments]
         known = {w: None for group in words for w in group}
         short = [w for w in known if len(w) <= LONGEST]
-        for w, n in zip(short, self.lexicon.numbers(short).tolist()):
-            if n >= 0:
-                known[w] = self.lexicon.ids[self.lexicon.ends[n] : self.lexicon.ends[n + 1]].astype("<i4").tobytes()
-        for w, ids in known.items():
-            if ids is None:
-                known[w] = np.array(self.vocab.merge(w), "<i4").tobytes()
+        if self.lexicon is not None:
+            number = self.lexicon.numbers(short)
+            found = np.flatnonzero(number >= 0)
+            begin, end = (self.lexicon.ends[number[found] + i].tolist() for i in (0, 1))
+            for i, a, b in zip(found.tolist(), begin, end):
+                known[short[i]] = self.lexicon.ids[a:b].tobytes()
+        unseen = [w for w, ids in known.items() if ids is None]
+        known.update(zip(unseen, self.vocab.merge_all(unseen)))
         return {s: b"".join(known[w] for w in group) for s, group in zip(segments, words)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo, out = self.memo, []
-        for at in range(0, len(texts), 256):
-            cut = [split(t) if SPECIAL not in t else None for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 512):
+            cut = [split(t) if SPECIAL not in t else None for t in texts[at : at + 512]]
             new = {s for c in cut if c for s in c if s not in memo and len(s) <= memo.longest}
             if new:
                 if len(memo) + len(new) > memo.most:
@@ -216,7 +303,7 @@ class Encoder:
                 memo.update(self.learn(list(new)))
             get = memo.__getitem__
             out += [b"".join(map(get, c)) if c is not None else self._special(t)
-                    for c, t in zip(cut, texts[at : at + 256])]
+                    for c, t in zip(cut, texts[at : at + 512])]
         return out
 
     def _special(self, text: str) -> bytes:
@@ -258,11 +345,10 @@ def build_lexicon(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     spark = docs.sparkSession
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = vocabulary(tokenizer_file).merge
+        merge = vocabulary(tokenizer_file).merge_all
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([merge(w) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
+            ids = [np.frombuffer(x, "<i4") for x in merge(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     top = word_counts(docs, tokenizer_file, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words)
     top = staged(top.select("word").mapInArrow(ids, "word binary, ids array<int>"), "lexicon-words")
