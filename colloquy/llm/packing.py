@@ -1,6 +1,7 @@
 """Sum-of-squares online packing of documents into token windows.
 
-Each document is tokenised and ended by one separator id. Full windows are cut off its front; the
+Each document is tokenised, with the ids that the tokenizers library gives, and ended by one
+separator id. Full windows are cut off its front; the
 rest, shorter than a window, goes into the open window whose fill level makes the sum of squared
 counts of open windows per level smallest. The counts are kept in an array over the levels, so
 placing costs one look at that array, whatever was packed before.
@@ -18,7 +19,6 @@ ignored.
 
 from __future__ import annotations
 
-import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.bpe import Encoder, vocabulary
 from colloquy.llm.common import text_of
-from colloquy.llm.segments import SPECIAL, Memo, split
 
 WINDOW = 1024
 SCHEMA = ("start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -122,14 +122,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, separator:
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-
-        def encode(text: str) -> bytes:
-            return array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-        get = Memo(encode).__getitem__
+        encode = Encoder(vocabulary(tokenizer_file)).encode
         packer = Packer(TaskContext.get().partitionId() << 40, window, most_open)
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "ids"]
@@ -141,14 +134,14 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, separator:
             return pa.RecordBatch.from_arrays(arrays, [id_col, *names])
 
         key_type = None
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                ids = encode(text) if SPECIAL in text else b"".join(map(get, split(text)))
-                packer.add(key, ids + end)
-                if len(packer.closed) >= 4096:
-                    yield out(key_type)
+        for whole in batches:
+            key_type = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                    packer.add(key, ids + end)
+                    if len(packer.closed) >= 4096:
+                        yield out(key_type)
         if key_type is not None:
             packer.pour(last=True)
             if packer.closed:
