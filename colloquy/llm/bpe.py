@@ -133,22 +133,20 @@ class Vocabulary:
         width = ids.shape[1]
         rank = np.full(ids.shape, NO_RANK, np.int64)  # of the pair that begins at each place
         rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-        rows, places = np.arange(len(ids)), np.arange(width)
-        while True:
-            at = rank[rows].argmin(1)
-            go = rank[rows, at] < NO_RANK
+        rows, now, places = np.arange(len(ids)), ids, np.arange(width)
+        while len(rows):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rows)), at]
+            go = best < NO_RANK
+            ids[rows[~go]] = now[~go]
             rows, at = rows[go], at[go]
-            if not len(rows):
-                return
-            made = self.made[rank[rows, at]]
             source = np.minimum(places + (places > at[:, None]), width - 1)
-            new, its = np.take_along_axis(ids[rows], source, 1), np.take_along_axis(rank[rows], source, 1)
-            n = np.arange(len(rows))
-            new[n, at] = made
-            its[n, at] = self.ranks(made, new[n, np.minimum(at + 1, width - 1)])
+            now, rank = np.take_along_axis(now[go], source, 1), np.take_along_axis(rank[go], source, 1)
+            n, made = np.arange(len(rows)), self.made[best[go]]
+            now[n, at] = made
+            rank[n, at] = self.ranks(made, now[n, np.minimum(at + 1, width - 1)])
             back = np.flatnonzero(at > 0)
-            its[back, at[back] - 1] = self.ranks(new[back, at[back] - 1], made[back])
-            ids[rows], rank[rows] = new, its
+            rank[back, at[back] - 1] = self.ranks(now[back, at[back] - 1], made[back])
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: again and again the leftmost pair of the lowest rank."""
@@ -311,6 +309,19 @@ class Encoder:
         return mark.join(b"".join(map(self.memo.__getitem__, split(part))) for part in text.split(SPECIAL))
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(tokenizer_file: str, lexicon: str | None = None) -> Encoder:
+    """The worker's encoder, whose memo serves its later tasks too; only the latest is kept."""
+    key = (tokenizer_file, lexicon)
+    if key not in _encoders:
+        _encoders.clear()
+        mapped = Lexicon.mapped(SparkFiles.get(lexicon)) if lexicon else None
+        _encoders[key] = Encoder(vocabulary(tokenizer_file), mapped)
+    return _encoders[key]
+
+
 def word_counts(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
     """(word, n) of the whole corpus. Segments are counted first, words once per distinct segment."""
 
@@ -377,7 +388,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     schema = T.StructType([*rows.schema[1:], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(vocabulary(tokenizer_file), Lexicon.mapped(SparkFiles.get(lexicon)))
+        coder = encoder(tokenizer_file, lexicon)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

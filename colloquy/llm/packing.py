@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import Encoder, vocabulary
+from colloquy.llm.bpe import encoder
 from colloquy.llm.common import text_of
 
 WINDOW = 1024
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, separator:
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary(tokenizer_file)).encode
+        encode = encoder(tokenizer_file).encode
         packer = Packer(TaskContext.get().partitionId() << 40, window, most_open)
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "ids"]

@@ -23,7 +23,7 @@ split = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 class Memo(dict):
     """Remembers what `make` gives for short keys; cleared when it has `most` entries."""
 
-    def __init__(self, make: Callable, most: int = 600_000, longest: int = 48):
+    def __init__(self, make: Callable, most: int = 900_000, longest: int = 48):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 
