@@ -56,7 +56,7 @@ def _luhn(digits: str) -> str:
 VALID = {
     "email": "true",
     "ip": "forall(split(s.value, '[.]'), p -> length(ltrim('0', p)) <= 3 "
-          "and coalesce(cast(ltrim('0', p) as int), 0) <= 255)",
+          "and coalesce(try_cast(ltrim('0', p) as int), 0) <= 255)",
     "card": f"length({_digits('s.value')}) between 14 and 19 and {_luhn(_digits('s.value'))}",
     "phone": f"length({_digits('s.value')}) between 10 and 15",
 }
