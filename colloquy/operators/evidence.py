@@ -207,12 +207,16 @@ def validate_bundle(items: DataFrame, forum: DataFrame, review: DataFrame,
     """Every violation of an evidence bundle against its source corpus.
 
     A missing forum or note suppresses the checks that would need it, and the excerpt
-    is only compared when the hash says the source text is unchanged."""
+    is only compared when the hash says the source text is unchanged. Items without a note
+    id match no review, and a note id that occurs twice in a forum is looked up once."""
     f = forum.select(F.col("forum_id"), F.col("venue_family").alias("_family"),
                      L.year_label().alias("_year"), F.lit(True).alias("_forum"))
-    r = review.select("forum_id", F.coalesce(F.col("note_id").cast("string"), F.lit("")).alias("note_id"),
-                      F.col("content_hash").alias("_hash"),
-                      excerpt_source().alias("_source"), F.lit(True).alias("_note"))
+    r = (
+        review.where(F.trim(F.col("note_id").cast("string")) != "")
+        .groupBy("forum_id", F.col("note_id").cast("string").alias("note_id"))
+        .agg(F.min(F.struct(F.col("content_hash").alias("_hash"), excerpt_source().alias("_source"))).alias("_r"))
+        .select("forum_id", "note_id", "_r.*", F.lit(True).alias("_note"))
+    )
     joined = items.join(f, "forum_id", "left").join(r, ["forum_id", "note_id"], "left")
     if held_out is not None:
         h = held_out.select("forum_id").distinct().withColumn("_held", F.lit(True))

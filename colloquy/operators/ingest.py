@@ -158,8 +158,8 @@ def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_orde
 
 def legacy_families(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Add family (registry look-up, else 'unknown') and year of the display name.
-    The registry is a fixed 33-row dimension."""
-    names = F.broadcast(registry.select("display_name", F.col("family").alias("_fam")))
+    Whether the registry is broadcast follows from its size."""
+    names = registry.select("display_name", F.col("family").alias("_fam"))
     return rows.join(names, "display_name", "left").withColumns({
         "venue_family": F.coalesce("_fam", F.lit("unknown")),
         "venue_year": year_of("display_name"),

@@ -144,16 +144,21 @@ def comparability(runs: DataFrame, manifest: DataFrame, predictions: DataFrame)
     """Two runs may only differ in their calibration. ``runs`` holds one row each for
     the generic and the calibrated system; ``manifest`` is the dataset's one row."""
     side = lambda system, p: runs.where(F.col("system") == system).agg(*[
-        F.first(c).alias(f"{p}_{c}") for c in RUN_FIELDS])
+        F.min(c).alias(f"{p}_{c}") for c in RUN_FIELDS], F.count(F.lit(1)).alias(f"{p}_runs"))
     both = with_row(
         with_row(side(S.SYSTEM_GENERIC, "g"), side(S.SYSTEM_CALIBRATED, "c")),
         manifest.select("model_inputs_hash", F.col("calibration_hash").alias("frozen")))
     ne = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    # a parsed object holds its keys in order, whatever the order in the text
+    parsed = lambda c: F.coalesce(F.to_json(F.try_parse_json(F.col(c).cast("string"))),
+                                  F.col(c).cast("string"))
     rules = explode_rules(both, F.lit("run"), [
         ("generic_run_missing", F.col("g_system").isNull(), None),
         ("calibrated_run_missing", F.col("c_system").isNull(), None),
+        ("generic_run_repeated", F.col("g_runs") > 1, None),
+        ("calibrated_run_repeated", F.col("c_runs") > 1, None),
         ("model_mismatch", ne("g_model", "c_model"), None),
-        ("settings_mismatch", ne("g_settings", "c_settings"), None),
+        ("settings_mismatch", ~parsed("g_settings").eqNullSafe(parsed("c_settings")), None),
         ("input_hash_mismatch", ne("g_input_hash", "c_input_hash"), None),
         ("generic_input_hash_stale", ne("g_input_hash", "model_inputs_hash"), None),
         ("calibrated_input_hash_stale", ne("c_input_hash", "model_inputs_hash"), None),

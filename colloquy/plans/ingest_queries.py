@@ -111,7 +111,7 @@ def s2(spark, path):
     SC.save_corpus(_nested_documents(spark, path), out)
     back = spark.read.parquet(out)
     c = SC.flatten(back)
-    return c.forum.where(F.col("part") == 0).select(
+    return c.forum.select(
         "forum_id", "venue_family", "venue_year", "decision").join(c.review.select(
             "forum_id", "note_id", "initial_value", "final_value", "content_hash", "text"), "forum_id")
 

@@ -28,7 +28,10 @@ CHUNK = 5_000
 
 
 def flatten_forums(nested: DataFrame) -> DataFrame:
-    """Forum rows with the decision and paper fields that operators read."""
+    """Forum rows with the decision and paper fields that operators read. A record in parts
+    is one forum: its facts are those of part 0, its children those of all parts."""
+    if "part" in nested.columns:
+        nested = nested.where(F.coalesce("part", F.lit(0)) == 0)
     return nested.select(
         *[c for c in nested.columns if c not in ("reviews", "responses", "paper", "decision")],
         F.col("paper.title").alias("title"), F.col("paper.abstract").alias("abstract"),
@@ -57,7 +60,7 @@ def flatten(nested: DataFrame) -> Corpus:
 
 def _chunked(children: DataFrame, fields: Sequence[str], name: str, chunk: int) -> DataFrame:
     """Arrays of children per (forum, part). The number of parts follows the forum's
-    size and a child's part follows from its note id, so this needs no ordering. Only
+    size and a child's part follows from its fields, so this needs no ordering. Only
     oversized forums are looked up; the explicit repartition by part lets Spark split
     a skewed look-up join, as nothing after it relies on the join's partitioning."""
     oversized = (
@@ -65,7 +68,7 @@ def _chunked(children: DataFrame, fields: Sequence[str], name: str, chunk: int)
             F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_parts"))
         .where(F.col("_parts") > 1)
     )
-    part = F.pmod(F.xxhash64(F.coalesce("note_id", F.lit(""))), F.coalesce("_parts", F.lit(1)))
+    part = F.pmod(F.xxhash64(*fields), F.coalesce("_parts", F.lit(1)))
     return (
         children.join(oversized, "forum_id", "left").withColumn("part", part.cast("int"))
         .repartition("forum_id", "part")
@@ -207,12 +210,16 @@ def canonical_order(df: DataFrame) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables under the shared folder that the cluster
-    names in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a local
-    folder is taken."""
+    names in ``spark.checkpoint.dir``. Only a session inside one JVM, as in tests, may
+    leave that unset and gets a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
         base = tempfile.gettempdir() + "/colloquy-scratch"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

@@ -47,7 +47,7 @@ def advance(state: tuple, result: Row, *, max_attempts: int = S.REFRESH_MAX_ATTE
         if ended is None and not result.active:
             if result.decision in S.RESOLVED_DECISIONS:
                 ended = "finalized"
-            elif (result.ts - result.fetched_at) / 86400.0 > expiry_days:
+            elif (result.ts - (result.fetched_at or result.ts)) / 86400.0 > expiry_days:  # no time: age 0
                 ended = "refresh_expired"
         if ended is not None:
             return ended, result.ts, attempts, None
