@@ -2,8 +2,9 @@
 
 ``set_digest`` is the default: an order-independent aggregate (count, XOR and sum of
 60-bit hashes), so every partition contributes a few numbers and nothing is sorted.
-``exact_*`` give the digest over the sorted concatenation; that string has to exist
-in one place, so they are refused beyond a checked number of rows.
+``id_digest`` is its form for frozen id sets of any size. ``exact_*`` give the digest
+over the sorted concatenation, for comparing with files that hold one; that string has
+to exist in one place, so they are refused beyond a checked number of rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ def set_digest(df: DataFrame, *members: Column, name: str = "digest") -> DataFra
         short_sha(F.concat_ws("|", "n", "x", F.col("s").cast("string"))).alias(name))
 
 
+def id_digest(ids: DataFrame, column: str = "forum_id", name: str = "hash") -> DataFrame:
+    """Digest of a set of ids: order and repetition do not matter."""
+    return set_digest(ids.select(F.col(column).cast("string").alias("id")).distinct(), F.col("id"), name=name)
+
+
 def corpus_digest(forum: DataFrame, review: DataFrame, name: str = "corpus_hash") -> DataFrame:
     """Digest over all forum ids and all (forum id, review note id) pairs."""
     ids = forum.select(F.col("forum_id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))

@@ -10,14 +10,13 @@ from pyspark.sql.types import StructType
 
 from colloquy import schema as S
 from colloquy.functions import labels as L
-from colloquy.functions.digests import exact_id_hash
+from colloquy.functions.digests import id_digest
 from colloquy.functions.hashing import evidence_id, seeded_key
 from colloquy.functions.rows import with_row
 from colloquy.functions.text import excerpt_source, is_blank
 from colloquy.operators import order_stats as O
 from colloquy.operators.statistics import response_counts
 
-BROADCAST_ITEMS = 10_000
 REQUIRED_FIELDS = (
     "evidence_id", "venue_family", "forum_id", "note_id", "source_url",
     "rating_designation", "decision", "content_hash", "corpus_hash", "venue_year",
@@ -48,6 +47,7 @@ def rated_candidates(review: DataFrame, held_out: DataFrame | None = None) -> Da
     themselves are not carried along."""
     kept = review.where(excerpt_source() != "").select(
         "forum_id", F.coalesce(F.col("note_id").cast("string"), F.lit("")).alias("note_id"),
+        F.coalesce("content_hash", F.lit("")).alias("content_hash"),
         L.rating_designation().alias("rating_designation"),
         L.designated_rating().alias("rating_value"))
     return without(kept, held_out)
@@ -96,13 +96,15 @@ def by_axis(cands: DataFrame, axes=S.EVIDENCE_AXES) -> DataFrame:
 
 def stratified_sample(cands: DataFrame, seed: int, per_bucket: int = S.EVIDENCE_PER_BUCKET,
                       axes=S.EVIDENCE_AXES) -> DataFrame:
-    """Up to ``per_bucket`` candidates of every category of every axis."""
-    rows = by_axis(cands, axes).withColumn(
+    """Up to ``per_bucket`` candidates of every category of every axis.
+
+    Reviews of a forum under one note id, or without any, are one candidate, so keys are
+    unique and quotas exact. The cutoffs do not depend on how large a category is."""
+    one = O.latest(cands, ["forum_id", "note_id"], [
+        F.col("content_hash"), F.col("rating_designation"), F.col("rating_value")])
+    rows = by_axis(one, axes).withColumn(
         "_key", seeded_key(seed, "axis", "category", "forum_id", "note_id"))
     group = ["axis", "category"]
-    if per_bucket <= O.LIMITED_GROUP:
-        order = [F.col("_key"), F.col("forum_id"), F.col("note_id")]
-        return O.top_k(rows, group, order, per_bucket).drop("_key")
     cutoffs = O.key_cutoffs(rows, group, "_key", lambda sizes: sizes.withColumn(
         "quota", F.least("size", F.lit(per_bucket))))
     return rows.join(cutoffs, group).where(F.col("_key") <= F.col("cutoff")).drop("_key", "cutoff")
@@ -134,16 +136,14 @@ def select_evidence(forum: DataFrame, review: DataFrame, response: DataFrame, *,
         .dropDuplicates(["forum_id", "note_id"])
     )
     picked = cap(picked, seed, max_items, "forum_id", "note_id")
-    if max_items <= BROADCAST_ITEMS:
-        picked = F.broadcast(picked)
     texts = review.select(
         "forum_id", F.coalesce(F.col("note_id").cast("string"), F.lit("")).alias("note_id"),
-        "content_hash", excerpt_source().alias("source"))
+        F.coalesce("content_hash", F.lit("")).alias("content_hash"), excerpt_source().alias("source"))
     facts = forum.select("forum_id", "venue_family", "decision", "url")
-    # Reviews without an id share one evidence id; one of them stands for it.
+    # Reviews without an id share one evidence id; the sampled one of them stands for it.
     found = O.latest(
-        texts.where(F.col("source") != "").join(picked, ["forum_id", "note_id"]),
-        ["forum_id", "note_id"], [F.col("content_hash"), F.col("source")])
+        texts.where(F.col("source") != "").join(picked, ["forum_id", "note_id", "content_hash"]),
+        ["forum_id", "note_id"], [F.col("source")])
     return (
         found
         .join(facts, "forum_id")
@@ -169,7 +169,7 @@ def with_strata(items: DataFrame) -> DataFrame:
 
 def bundle_header(items: DataFrame, *, seed: int, corpus_hash: str, generated_at: str) -> DataFrame:
     """One row: count and hash of the selected ids, independent of their order."""
-    bundle = exact_id_hash(items, "evidence_id").withColumnRenamed("hash", "bundle_hash")
+    bundle = id_digest(items, "evidence_id", name="bundle_hash")
     return with_row(bundle, items.agg(F.count(F.lit(1)).alias("count"))).withColumns({
             "seed": F.lit(seed), "corpus_hash": F.lit(corpus_hash),
             "generated_at": F.lit(generated_at),

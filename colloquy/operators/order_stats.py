@@ -158,9 +158,6 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     )
 
 
-LIMITED_GROUP = 1000  # Spark limits groups before the shuffle up to this many rows
-
-
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """At most k rows per group, limited on the map side before the shuffle. For larger
     k over hashed keys see `key_cutoffs`."""

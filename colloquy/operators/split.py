@@ -239,8 +239,13 @@ def prepare_dataset(forum: DataFrame, review: DataFrame, response: DataFrame,
     and a lost executor never sends a later step back to it. The calibration set is
     digested apart from the selection. Checks run on what was written; the manifest,
     which marks a dataset as complete, comes last, and an empty or overlapping split or
-    a text leak raises before it."""
+    a text leak raises before it. The texts the leak check reads must be there."""
     spark = forum.sparkSession
+    for name, table, needed in (
+        ("review", review, S.REVIEW_TEXTS), ("response", response, ["text"]), ("forum", forum, ["decision_raw"]),
+    ):
+        if missing := sorted(set(needed) - set(table.columns)):
+            raise ValueError(f"the leak check needs the {name} columns {missing}")
 
     def store(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -255,8 +260,7 @@ def prepare_dataset(forum: DataFrame, review: DataFrame, response: DataFrame,
         raise ValueError("no evaluation forums remain; see the reasons in the split table")
     if not overlap(inputs, calibration).isEmpty():
         raise ValueError("calibration and evaluation forums overlap")
-    if set(S.REVIEW_TEXTS) <= set(review.columns) and not text_leaks(
-            inputs, review, response, forum).isEmpty():
+    if not text_leaks(inputs, review, response, eval_forum).isEmpty():
         raise ValueError("review text leaked into model-visible inputs")
     eval_review = review.join(chosen, "forum_id", "left_semi")
     labels = store(private_labels(eval_forum, eval_review, digits), "private_labels")

@@ -86,16 +86,41 @@ query("C1_select_evidence", "SELECT * FROM devidence")(evidence)
     disagreement_bucket, rebuttal_bucket FROM dtagged""")
 def f16(spark, path):
     c = D.documents_corpus(spark, path)
-    return E.candidates(c.forum, c.review, c.response, _held_out(spark, path))
+    return E.candidates(c.forum, c.review, c.response, _held_out(spark, path)).drop("content_hash")
 
 
 @query("W4_U1_stratified_sample_over_axes", "SELECT forum_id, note_id FROM dpicked")
 def w4(spark, path):
     c = D.documents_corpus(spark, path)
-    cands = E.candidates(c.forum, c.review, c.response, _held_out(spark, path))
+    cands = E.candidates(c.forum, c.review, c.response, _held_out(spark, path), scratch_dir(spark))
     return E.stratified_sample(cands, SEED).select("forum_id", "note_id").distinct()
 
 
+@query("W4_large_quota_with_missing_and_repeated_ids", """
+  SELECT * FROM (WITH one AS (
+    SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY forum_id, id
+        ORDER BY content_hash, rating_designation, rating_value NULLS FIRST) AS nth
+      FROM (SELECT *, CASE WHEN length(text) % 7 = 0 THEN '' WHEN length(text) % 11 = 0 THEN 'same' ELSE note_id END AS id
+        FROM dtagged)) WHERE nth = 1)
+  SELECT axis, category, forum_id, id AS note_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY axis, category
+      ORDER BY sha256('42|' || axis || '|' || category || '|' || forum_id || '|' || id)) AS rn
+    FROM (
+      SELECT forum_id, id, 'decision_bucket' AS axis, decision_bucket AS category FROM one
+      UNION ALL SELECT forum_id, id, 'rating_bucket', rating_bucket FROM one
+      UNION ALL SELECT forum_id, id, 'year', "year" FROM one
+      UNION ALL SELECT forum_id, id, 'disagreement_bucket', disagreement_bucket FROM one
+      UNION ALL SELECT forum_id, id, 'rebuttal_bucket', rebuttal_bucket FROM one)
+  ) WHERE rn <= 1001)""")
+def w4_large(spark, path):
+    c, size = D.documents_corpus(spark, path), F.length("text")
+    review = c.review.withColumn("note_id", F.when(size % 7 == 0, F.lit(None)).when(size % 11 == 0, "same")
+                                 .otherwise(F.col("note_id")))
+    cands = E.candidates(c.forum, review, c.response, _held_out(spark, path), scratch_dir(spark))
+    return E.stratified_sample(cands, SEED, 1001).select("axis", "category", "forum_id", "note_id")
+
+
 @query("K2_seeded_cap", """
   SELECT o_orderkey FROM orders ORDER BY sha256('7|cap|' || o_orderkey), o_orderkey LIMIT 100""")
 def k2(spark, path):
@@ -362,8 +387,9 @@ cte("calibration_digest", _digest("CAST(forum_id AS VARCHAR)", "calibration", "c
 def _dataset(spark, path):
     """The dataset as a validator meets it: prepared once, then read from its files."""
     c, cal, out = _corpus(spark, path), D.calibration_ids(spark, path), scratch_dir(spark)
-    SP.prepare_dataset(c.forum, c.review, c.response, cal, out, seed=SEED, max_forums=500,
-                       digits=None)
+    said = F.concat(F.lit("Comment "), "note_id", F.lit(" on submission "), F.col("forum_id").cast("string"))
+    SP.prepare_dataset(c.forum, c.review.withColumns(dict.fromkeys(S.REVIEW_TEXTS, said)),
+                       c.response.withColumn("text", said), cal, out, seed=SEED, max_forums=500, digits=None)
     return c, cal, SP.load_dataset(spark, out)
 
 

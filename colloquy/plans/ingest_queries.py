@@ -512,12 +512,10 @@ def f3(spark, path):
     return DG.corpus_digest(D.order_forums(spark, path, False), D.order_reviews(spark, path))
 
 
-@query("F4_frozen_id_hash", """
-  SELECT substr(sha256(string_agg(id || chr(0), '' ORDER BY id)), 1, 16) AS hash
-  FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id FROM customer)""")
+@query("F4_frozen_id_hash", _set_digest_sql(
+    "id", "(SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS id FROM customer)", "hash"))
 def f4(spark, path):
-    ids = D.table(spark, path, "customer").select(F.col("c_custkey").alias("forum_id"))
-    return DG.exact_id_hash(ids)
+    return DG.id_digest(D.table(spark, path, "customer"), "c_custkey")
 
 
 @query("F5_F6_F7_F8_string_functions", f"""

@@ -86,6 +86,21 @@ def test_large_buckets_use_cutoffs(twelve):
     assert pairs(E.stratified_sample(cands, 1, 5000)) == pairs(E.by_axis(cands))
 
 
+def test_quotas_are_exact_whatever_their_size(spark, twelve):
+    ids = [str(i) for i in range(3000)]
+    rows = spark.createDataFrame([("f01", i, i, "initial", float(int(i) % 7), "a") for i in ids],
+                                 "forum_id string, note_id string, content_hash string, "
+                                 "rating_designation string, rating_value double, axis_a string")
+    sizes = {k: E.stratified_sample(rows, 3, k, ["axis_a"]).count() for k in (0, 1, 1000, 1001, 2999, 5000)}
+    assert sizes == {k: min(k, 3000) for k in sizes}
+    few, many = ({r.note_id for r in E.stratified_sample(rows, 3, k, ["axis_a"]).collect()} for k in (1000, 1001))
+    assert few < many
+    bare = rows.withColumn("note_id", F.lit(""))
+    for k in (1000, 1001):
+        (row,) = E.stratified_sample(bare, 3, k, ["axis_a"]).collect()
+        assert row.content_hash == min(ids)
+
+
 def test_canonical_order(twelve):
     rows = canonical_order(twelve.forum.repartition(5)).collect()
     assert [r.forum_id for r in rows] == [
@@ -184,6 +199,14 @@ def test_leak_detection(spark, evaluation, calibration, tmp_path):
     assert not (tmp_path / "manifest").exists()
 
 
+@pytest.mark.parametrize("table,column", [("review", "questions"), ("response", "text"), ("forum", "decision_raw")])
+def test_leak_check_needs_all_texts(evaluation, calibration, tmp_path, table, column):
+    given = {t: getattr(evaluation, t) for t in ("forum", "review", "response")}
+    given[table] = given[table].drop(column)
+    with pytest.raises(ValueError, match=column):
+        SP.prepare_dataset(*given.values(), calibration, str(tmp_path), seed=1)
+
+
 def test_empty_split_raises(evaluation, tmp_path):
     with pytest.raises(ValueError, match="no evaluation forums"):
         SP.prepare_dataset(evaluation.forum, evaluation.review, evaluation.response,

@@ -150,6 +150,9 @@ def test_hashes_equal_hashlib(spark):
     assert DG.exact_id_hash(ids).first()["hash"] == want("a", "b")
     with pytest.raises(ValueError):
         DG.exact_id_hash(ids, limit=1)
+    frozen = DG.id_digest(ids).first()["hash"]
+    assert frozen == DG.id_digest(ids.distinct().repartition(3)).first()["hash"]
+    assert frozen != DG.id_digest(ids.where("forum_id = 'a'")).first()["hash"]
 
 
 def test_corpus_hashes(spark, twelve):
