@@ -256,6 +256,18 @@ def venue_packs(claims: DataFrame, stats: DataFrame, evidence: DataFrame) -> Dat
     )
 
 
+def checked_venue_packs(claims: DataFrame, stats: DataFrame, evidence: DataFrame, stats_header: DataFrame,
+                        evidence_header: DataFrame, dotted_keys: bool = True) -> DataFrame:
+    """`venue_packs` of claims without violations, from inputs that belong together;
+    anything else raises."""
+    for name, found in (("inputs", inputs_match(stats_header, evidence_header)),
+                        ("claims", validate_claims(claims, stats, evidence, dotted_keys))):
+        rules = sorted(r.rule for r in found.select("rule").distinct().collect())  # names of rules
+        if rules:
+            raise ValueError(f"no packs, {name} are refused: {', '.join(rules)}")
+    return venue_packs(claims, stats, evidence)
+
+
 def report_rows(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Claims in report order with their sources. The order is carried by columns
     (``section_no``, ``claim_id``), so a section is never gathered in one place."""

@@ -138,18 +138,19 @@ LEGACY_REVIEWS = (
 def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_order") -> DataFrame:
     """Rows of legacy dumps, JSON objects ``{display name: [review, ...]}``. Entries
     that are not lists, internal ``_forum_`` entries and rows without a forum id are
-    skipped. ``dump_order`` and the position in the list fix what comes first."""
+    skipped. ``dump_order``, the place of the name in the document and the position in
+    the list fix what comes first."""
     entries = dumps.select(
-        F.col(order).alias("_dump"),
+        F.col(order).alias("_dump"), F.json_object_keys(json).alias("_names"),
         F.explode(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"))
         .alias("display_name", "entry"),
     ).where(~F.col("display_name").startswith("_forum_"))
     rows = entries.select(
-        "_dump", "display_name",
+        "_dump", F.array_position("_names", F.col("display_name")).alias("_place"), "display_name",
         F.posexplode(F.try_variant_get("entry", "$", LEGACY_REVIEWS)).alias("_pos", "r"))
     text = lambda k: F.coalesce(f"r.{k}", F.lit(""))
     return rows.where(text("forum_id") != "").select(
-        "_dump", "display_name", "_pos", "r.forum_id", "r.note_id",
+        "_dump", "_place", "display_name", "_pos", "r.forum_id", "r.note_id",
         text("rating").alias("rating_raw"), F.col("r.rating_num").alias("initial_value"),
         text("confidence").alias("confidence_raw"),
         *[text(k).alias(k) for k in ("summary", "text", "strengths", "weaknesses", "questions")],
@@ -170,7 +171,7 @@ def migrate_legacy(dumps: DataFrame, registry: DataFrame) -> Corpus:
     """Legacy dumps to corpus tables. Per family and forum the first review of a note
     id wins; reviews without a note id are all kept."""
     rows = legacy_families(explode_legacy(dumps), registry)
-    first = [F.col("_dump"), F.col("display_name"), F.col("_pos")]
+    first = [F.col("_dump"), F.col("_place"), F.col("display_name"), F.col("_pos")]
     forum = (
         rows.groupBy("venue_family", "forum_id")
         .agg(F.min_by(F.struct("display_name", "venue_year"), F.struct(*first)).alias("v"))
@@ -186,7 +187,7 @@ def migrate_legacy(dumps: DataFrame, registry: DataFrame) -> Corpus:
     ).otherwise(F.concat_ws(" ", F.lit("row"), *first))
     review = (
         latest(rows.withColumn("_key", identity), ["venue_family", "forum_id", "_key"], first)
-        .drop("_dump", "_pos", "_key", "display_name")
+        .drop("_dump", "_place", "_pos", "_key", "display_name")
         .withColumn("content_hash", review_hash())
     )
     none = rows.select("forum_id").where(F.lit(False))

@@ -19,6 +19,7 @@ from colloquy.operators import order_stats as O
 
 SCOPE = ["venue_family", "venue_year"]
 KEYS = ["system", *SCOPE]
+# The published metrics of each task.
 DELTA_METRICS = {
     "initial_rating": ("mae", "median_absolute_error", "spearman"),
     "final_decision": ("accuracy", "precision", "recall", "f1"),
@@ -239,7 +240,11 @@ def long_metrics(df: DataFrame, task: str, names: tuple[str, ...]) -> DataFrame:
 
 def score(labels: DataFrame, predictions: DataFrame, digits: int | None = 4) -> DataFrame:
     """Headline metrics of every system and task as tidy rows."""
-    paired = pair(labels, predictions)
+    return score_pairs(pair(labels, predictions), predictions, digits)
+
+
+def score_pairs(paired: DataFrame, predictions: DataFrame, digits: int | None = 4) -> DataFrame:
+    """The same from pairs that were joined, and perhaps written, before."""
     overall = lambda df: df.groupBy(
         "system", "actual", "predicted").agg(F.sum("n").alias("n"))
     parts = [

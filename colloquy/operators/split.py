@@ -70,9 +70,9 @@ def screen(forum: DataFrame, review: DataFrame, calibration: DataFrame) -> DataF
         .join(cal, "forum_id", "left")
         .select(
             "forum_id", "venue_family", "venue_year",
-            F.when(F.col("_cal").isNotNull(), "in_calibration_set")
-            .when((F.coalesce("_n", F.lit(0)) == 0) & ~L.is_resolved(), "no_usable_labels")
-            .when(F.col("_no_paper"), "missing_paper_content").alias("reason"),
+            F.when(F.col("_cal").isNotNull(), S.EXCLUDED_CALIBRATION)
+            .when((F.coalesce("_n", F.lit(0)) == 0) & ~L.is_resolved(), S.EXCLUDED_NO_LABELS)
+            .when(F.col("_no_paper"), S.EXCLUDED_NO_PAPER).alias("reason"),
         )
     )
 

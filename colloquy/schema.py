@@ -90,11 +90,9 @@ SYSTEM_GENERIC = "generic"
 SYSTEM_CALIBRATED = "calibrated"
 SYSTEM_BASELINE = "baseline"
 SYSTEMS = (SYSTEM_GENERIC, SYSTEM_CALIBRATED, SYSTEM_BASELINE)
-
-REBUTTAL_NOTE = (
-    "Observational, not causal: a forum counts as rebuttal-present when it has at least "
-    "one response note, which is a proxy for a rebuttal and not a treatment assignment."
-)
+EXCLUDED_CALIBRATION = "in_calibration_set"
+EXCLUDED_NO_LABELS = "no_usable_labels"
+EXCLUDED_NO_PAPER = "missing_paper_content"
 
 # (display name, venue id, API version, family)
 VENUES = (
@@ -148,6 +146,11 @@ VENUE_ALIASES = (
 )
 # --- End of fixed values ----------------------------------------------------------------
 
+REBUTTAL_NOTE = (
+    "Observational, not causal: a forum counts as rebuttal-present when it has at least "
+    "one response note, which is a proxy for a rebuttal and not a treatment assignment."
+)
+
 _TYPES = {
     "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "INT": T.IntegerType(),
     "BIGINT": T.LongType(), "ARRAY<STRING>": T.ArrayType(T.StringType()),

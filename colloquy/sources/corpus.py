@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
+from colloquy.functions import labels as L
 from colloquy.functions.digests import corpus_digest
 from colloquy.functions.rows import with_row
 from colloquy.functions.text import excerpt
@@ -146,20 +147,37 @@ def parse_corpus_lines(lines: DataFrame, column: str = "value", public: bool = F
 def load_corpus(spark: SparkSession, path: str, public: bool = False,
                 version: str = "fetched_at") -> DataFrame:
     """Read a JSON-lines corpus; of several records of a forum the newest wins. A
-    missing path is an empty corpus."""
+    missing path is an empty corpus. A line that is no record fails the read; for keys
+    outside the schema, which the reader skips, see `unknown_keys`."""
     schema = S.FORUM_PUBLIC if public else S.FORUM_FULL
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return latest_records(spark.read.schema(schema).json(path), version)
+    return latest_records(spark.read.schema(schema).json(path, mode="FAILFAST"), version)
+
+
+def unknown_keys(lines: DataFrame, column: str = "value", public: bool = False) -> DataFrame:
+    """Violation rows: JSON lines that are no object, and keys that a record does not have."""
+    known = (S.FORUM_PUBLIC if public else S.FORUM_FULL).fieldNames()
+    keys = F.json_object_keys(column)
+    problem = F.when(keys.isNull(), F.array(F.lit(""))).otherwise(
+        F.array_except(keys, F.array(*map(F.lit, known))))
+    return (
+        lines.where(F.trim(column) != "")
+        .select(F.get_json_object(column, "$.forum_id").alias("forum_id"),
+                F.explode(problem).alias("key"))
+        .select(*L.violation("forum_id", F.when(F.col("key") == "", "not_a_record").otherwise("unknown_key"),
+                             F.col("key")))
+    )
 
 
 def latest_records(nested: DataFrame, version: str = "fetched_at") -> DataFrame:
     """Newest record of every forum, with all of its parts. Both windows keep one
-    version per forum on the map side, before the shuffle."""
+    version per forum on the map side, before the shuffle. Of different records with
+    the same forum, version and part, a hash of the content decides."""
     newest = W.partitionBy("forum_id").orderBy(F.col(version).desc_nulls_last())
     kept = nested.withColumn("_v", F.rank().over(newest)).where(F.col("_v") == 1).drop("_v")
     return latest(kept.withColumn("part", F.coalesce("part", F.lit(0))), ["forum_id", "part"],
-                  [F.col(version).desc_nulls_last()])
+                  [F.col(version).desc_nulls_last(), F.xxhash64(*nested.columns)])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

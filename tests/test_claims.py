@@ -93,6 +93,17 @@ def test_attribution_and_packs(spark, stats, evidence):
             pack.evidence_count, pack.claim_count) == ("2024,2025", 8, 6, True, 1, 2)
 
 
+def test_packs_need_valid_claims(spark, stats, evidence):
+    head = lambda corpus: lit_row(spark, corpus_hash=corpus, schema_version=1)
+    packs = lambda change, corpus="a": C.checked_venue_packs(
+        claims(spark, change), stats, evidence, head("a"), head(corpus))
+    assert packs({}).first().claim_count == 1
+    with pytest.raises(ValueError, match="claims are refused: unknown_section"):
+        packs({"section": "x"})
+    with pytest.raises(ValueError, match="inputs are refused: corpora_differ"):
+        packs({}, "b")
+
+
 def test_report_order_and_sources(spark, evidence):
     c = claims(spark, {"section": "reject_signals", "claim_id": "b"}, EXCERPT | {"claim_id": "a"})
     rows = C.report_rows(c, evidence).orderBy("section_no", "claim_id").collect()

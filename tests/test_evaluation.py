@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
+from colloquy.operators import evaluation as EV
 from colloquy.operators import evidence as E
 from colloquy.operators import runs as R
 from colloquy.operators import scoring as SC
@@ -11,7 +12,7 @@ from colloquy.operators import split as SP
 from colloquy.sources.corpus import canonical_order
 from tests.conftest import lit_row, make_corpus, rules
 
-# Predictions of the worked example, (rating, decision) for eval_001 .. eval_008.
+# Predictions of the worked example, (rating, decision) for eval_001 .. eval_008.
 GENERIC = [(6.0, "accept"), (5.0, "accept"), (7.0, "accept"), (3.5, "accept"), (5.8, "accept"),
            (4.5, "accept"), (6.5, "accept"), (5.0, "accept")]
 CALIBRATED = [(6.7, "accept"), (3.7, "reject"), (7.7, "accept"), (2.2, "reject"), (6.5, "accept"),
@@ -373,3 +374,16 @@ def test_membership(predictions, dataset):
     assert R.outside_dataset(fewer, dataset.inputs).count() == 0
     differ = R.forum_set_differences(fewer, "generic", "calibrated").collect()
     assert [(r.forum_id, r.only_in) for r in differ] == [("eval_002", "generic")]
+
+
+def test_evaluate_scores_or_refuses(spark, dataset, calibration, runs, predictions, tmp_path):
+    aggregate = spark.createDataFrame([(2, 5.0, "accept")], "calibration_forum_count bigint, mean_initial_rating double, majority_decision string")
+    ev = EV.evaluate(dataset, calibration, aggregate, runs, predictions, str(tmp_path / "ok"))
+    assert {r.system for r in ev.scores.select("system").distinct().collect()} == {"generic", "calibrated", "baseline"}
+    assert ev.missing.isEmpty() and not ev.coverage.isEmpty() and not ev.deltas.isEmpty() and not ev.warnings.isEmpty()
+    plain = SC.score(dataset.labels, predictions).collect()
+    assert set(plain) <= set(ev.scores.collect())
+    stale = runs.withColumn("input_hash", F.lit("stale"))
+    with pytest.raises(EV.EvaluationRefused, match="stale") as refused:
+        EV.evaluate(dataset, calibration, aggregate, stale, predictions, str(tmp_path / "no"))
+    assert not refused.value.violations.isEmpty() and not (tmp_path / "no" / "scores").exists()

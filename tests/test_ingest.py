@@ -136,6 +136,28 @@ def test_legacy_migration(spark):
                    ("forumB", "", 5.0), ("forumB", "rev_b1", 8.0)]
 
 
+def test_legacy_names_keep_document_order(spark):
+    text = '{"ICLR 2024": [{"forum_id": "f", "note_id": "n", "rating_num": 2}], "ICLR 2023": [{"forum_id": "f", "note_id": "n", "rating_num": 1}]}'
+    c = I.migrate_legacy(spark.createDataFrame([(text, 0)], "json string, dump_order int"), S.venue_registry(spark))
+    assert (c.forum.first().venue_year, c.review.first().initial_value) == (2024, 2.0)
+
+
+def test_corrupt_lines_and_unknown_keys(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"forum_id": "a", "fetched_at": 1.0}\n{"forum_id": \n')
+    with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
+        SC.load_corpus(spark, str(tmp_path)).collect()
+    lines = spark.createDataFrame([('{"forum_id": "a", "fetched_at": 1}',), ('{"forum_id": "b", "x": 1}',), ("[1]",), ("{",), (" ",)], "value string")
+    got = sorted((r.entity_id, r.rule, r.detail) for r in SC.unknown_keys(lines).collect())
+    assert got == [("<missing>", "not_a_record", ""), ("<missing>", "not_a_record", ""), ("b", "unknown_key", "x")]
+
+
+def test_equal_versions_are_decided_by_content(spark):
+    rows = [("a", 1.0, v, 0) for v in ("x", "y", "z")]
+    one, two = (SC.latest_records(spark.createDataFrame(r, "forum_id string, fetched_at double, v string, part int")).collect()
+                for r in (rows, rows[::-1]))
+    assert one == two and len(one) == 1
+
+
 def test_hashes_equal_hashlib(spark):
     def want(*parts):
         h = hashlib.sha256()
