@@ -4,9 +4,9 @@ Protected entities are the values of four kinds of base spans. Terms (words of t
 more) within a few words of an entity may give it away even when it is cut out. How strongly a
 term t reveals an entity v is measured over the whole corpus: with document counts n(v, t), where
 t stands near v, and n(t), the uncertainty that is left about v once t is seen is
-IC(v) - PMI(v; t) = log2(n(t) / n(v, t)) bits. A pair seen in `min_support` documents or more
-that leaves at most `generalise_bits` is disclosing; its term is generalised to a placeholder, or
-removed where at most `remove_bits` are left, everywhere in the documents where it stands near v.
+IC(v) - PMI(v; t) = log2(n(t) / n(v, t)) bits. A pair that leaves at most `generalise_bits` is
+disclosing, however few documents it is seen in, as most values stand in one or two; its term is
+generalised to a placeholder, or removed where at most `remove_bits` are left, everywhere in the documents where it stands near v.
 
 The counts are sums: pairs come from windows around spans and are as many as the spans, and words
 are combined in each partition before they move. Nothing pairs documents or words of a group.
@@ -112,7 +112,7 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
     )).drop("safe_text", *(f"{p}_{k}" for k in PATTERNS for p in ("pieces", "found")))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = 3,
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = 1,
                generalise_bits: float = 1.0, remove_bits: float = 0.25) -> DataFrame:
     """(row_id, term, removed): terms that stand near an entity they disclose."""
     near = (

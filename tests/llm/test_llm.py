@@ -98,6 +98,12 @@ def test_disclosing_terms_are_cut(spark):
     assert pii.sanitise(docs).columns == docs.columns
 
 
+def test_terms_of_an_entity_seen_once_are_cut(spark):
+    rows = [(0, "we write to Ottokar at o@mail.org today")] + [(i, "we write to people at home today") for i in range(1, 9)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == "we write to  at [email] today" and out[1] == rows[1][1]
+
+
 def test_codec_matches_the_library(docs, nothing):
     from tokenizers import Tokenizer
 
