@@ -104,6 +104,15 @@ def test_terms_of_an_entity_seen_once_are_cut(spark):
     assert out[0] == "we write to  at [email] today" and out[1] == rows[1][1]
 
 
+def test_terms_are_cut_in_whole_documents_and_without_the_entity(spark):
+    far = "word " * 300
+    rows = [(0, f"Ottokar {far} lives in R2D2 at no 7, o@mail.org"), (1, f"Ottokar {far} is away")]
+    rows += [(i, f"{far} lives in town at no 7, is away from mail org o") for i in range(2, 9)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == f"[term] {far} lives in  at no 7, [email]" and out[1] == f"[term] {far} is away"
+    assert out[2] == rows[2][1]
+
+
 def test_codec_matches_the_library(docs, nothing):
     from tokenizers import Tokenizer
 
