@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROW = "__row_id__"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from `spark.checkpoint.dir`.
 
@@ -55,10 +58,15 @@ def text_of(column: str) -> Column:
 
 
 def row_id() -> Column:
-    """Identity of a row by its place in the scan. Equal in every scan of the same stored table."""
+    """Identity of a row by its place in this scan. Another scan may be split elsewhere: see `numbered`."""
     return F.monotonically_increasing_id()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a written number per row in ROW: equal in every scan, however each one is split."""
+    return staged(docs.withColumn(ROW, row_id()), "numbered")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

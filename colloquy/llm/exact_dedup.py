@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, row_id, staged, text_of
+from colloquy.llm.common import ROW, ascii_lower, numbered, row_id, staged, text_of
 
 SALTS = 16
 
@@ -51,11 +51,14 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS,
-                digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Per row of docs: row_id, id, keep_id, group_size, kept, digest."""
+                digest: Callable[[Column], Column] = sha256, row_col: str | None = None) -> DataFrame:
+    """Per row of docs: row_id, id, keep_id, group_size, kept, digest.
+
+    A row's identity is its number in `row_col`, or else its place in the one scan that names rows.
+    """
     best = staged(winners(docs, id_col, text_col, salts, digest), "winners")
     rows = (
-        docs.select(row_id().alias("row_id"), F.col(id_col).alias("id"),
+        docs.select((F.col(row_col) if row_col else row_id()).alias("row_id"), F.col(id_col).alias("id"),
                     ascii_lower(text_of(text_col)).alias("norm"))
         .withColumn("digest", digest(F.col("norm")))
     )
@@ -78,5 +81,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    stay = deduplicate(docs, id_col, text_col).where("kept").select(F.col("row_id").alias("__row_id__"))
-    return docs.withColumn("__row_id__", row_id()).join(stay, "__row_id__", "left_semi").drop("__row_id__")
+    rows = numbered(docs)
+    stay = deduplicate(rows, id_col, text_col, row_col=ROW).where("kept").select(F.col("row_id").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").drop(ROW)

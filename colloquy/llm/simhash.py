@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import row_id, staged, text_of
+from colloquy.llm.common import ROW, numbered, row_id, staged, text_of
 
 DISTANCE = 3
 FAN = 8
@@ -58,15 +58,17 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, id, fp): the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 row_col: str | None = None) -> DataFrame:
+    """(row_id, id, fp): the 64 bits as a signed long; row_id is row_col, or else the place in the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([simhash(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["row_id", "id", "fp"])
 
-    return docs.select(row_id().alias("row_id"), F.col(id_col).cast("long").alias("id"),
+    row = F.col(row_col) if row_col else row_id()
+    return docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("id"),
                        text_of(text_col).alias("text")).mapInArrow(run, "row_id long, id long, fp long")
 
 
@@ -216,9 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    row_col: str | None = None) -> DataFrame:
     """(row_id, id, fp, component_id) for every row of docs."""
-    rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    rows = staged(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
     roots = staged(components(staged(links(distinct), "links")), "roots")
     tied = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
@@ -233,8 +236,9 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Components of null ids only keep the first row of each fingerprint.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    rows = numbered(docs)
+    found = near_duplicates(rows, id_col, text_col, ROW)
     of_null = F.when(F.col("component_id").isNull(), F.col("fp"))
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", of_null.alias("of")).agg(
-        F.min("row_id").alias("__row_id__"))
-    return docs.withColumn("__row_id__", row_id()).join(stay, "__row_id__", "left_semi").drop("__row_id__")
+        F.min("row_id").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").drop(ROW)

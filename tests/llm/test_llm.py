@@ -80,6 +80,27 @@ def test_exact_copies(docs, nothing, digest):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("module", [exact_dedup, simhash])
+def test_kept_rows_stay_the_same_when_later_scans_are_split_otherwise(spark, tmp_path, monkeypatch, module):
+    words = [hashlib.md5(str(i).encode()).hexdigest() for i in range(400)]
+    rows = [(i, " ".join(words[i % 40 * 10 : i % 40 * 10 + 10])) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    write, size = module.staged, "spark.sql.files.maxPartitionBytes"
+
+    def split(df, label):
+        out = write(df, label)
+        spark.conf.set(size, "1g" if label in ("rows", "components") else "1k")
+        return out
+
+    monkeypatch.setattr(module, "staged", split)
+    try:
+        spark.conf.set(size, "1k")
+        kept = module.kept_documents(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        spark.conf.unset(size)
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
 def test_base_spans(docs, nothing):
     found = {r["id"]: r for r in pii.find_spans(docs).select("id", pii.listed("spans").alias("s")).collect()
              if r.s}
