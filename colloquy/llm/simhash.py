@@ -1,19 +1,23 @@
 """SimHash near-duplicates through Gray-order hierarchical indexes.
 
-Fingerprints that differ in at most three of 64 bits agree in one of four blocks of 16 bits. So the
-index is a forest of four trees, whose first level below the root has one node per value of the
+Fingerprints that differ in at most three of 64 bits agree in one of four blocks of 16 bits, and for
+other distances in one of as many blocks as the distance and one. So the index is a forest of trees, whose first level below the root has one node per value of the
 tree's block: the shared masked pattern of all fingerprints there. Two fingerprints are compared
 in the trees where they share that node, which loses no link. Below, a node's fingerprints are
 sorted by Gray rank, so that neighbours share most bits; runs of eight form a node, and eight
 nodes the next one up. A node keeps the bits its members have in common. For two nodes, the common
-bits in which they differ are differences that all their pairs have accumulated; beyond three, the
-whole group of pairs is pruned.
+bits in which they differ are differences that all their pairs have accumulated; beyond the
+distance, the whole group of pairs is pruned.
 
 Spark deals the first-level nodes to tasks. A node of more than `tile_rows` fingerprints is split
 by hash into tiles, and every pair of its tiles becomes a cell of its own. Cells hand out a spanning
 forest of their links, never all pairs; components follow by alternating large-star and small-star
 rounds over tables in the shared folder. Copies of a fingerprint are one node all the way.
 
+With a `similarity`, links are only candidates: all linked rows of a candidate component that are not
+yet joined are compared by their sets of word shingles, in tiles too, and components follow from the
+links that hold.
+
 Defined results: a text without words, or null, has fingerprint zero and is linked like others;
 null ids are ignored for component ids, a component of null ids only has none; repeated rows share
 fingerprint and component; an empty table gives an empty result; other columns are ignored.
@@ -33,6 +37,7 @@ from colloquy.llm.common import ROW, numbered, row_id, staged, text_of
 DISTANCE = 3
 FAN = 8
 TILE_ROWS = 16_384
+CHECK_ROWS = 1024
 
 
 def simhash(text: str, shingle: int = 3) -> int:
@@ -59,12 +64,12 @@ def simhash(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 row_col: str | None = None) -> DataFrame:
+                 row_col: str | None = None, shingle: int = 3) -> DataFrame:
     """(row_id, id, fp): the 64 bits as a signed long; row_id is row_col, or else the place in the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            fp = np.array([simhash(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["row_id", "id", "fp"])
 
     row = F.col(row_col) if row_col else row_id()
@@ -102,8 +107,8 @@ class GrayTree:
             self.both.append(np.bitwise_and.reduceat(self.both[-1], cut))
             self.some.append(np.bitwise_or.reduceat(self.some[-1], cut))
 
-    def links(self, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of places at DISTANCE or nearer, in pieces."""
+    def links(self, distance: int = DISTANCE, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of places at the distance or nearer, in pieces."""
         n = len(self.both[-1])
         i, j = np.triu_indices(n)
         stack = [(len(self.both) - 1, i, j)]
@@ -115,7 +120,7 @@ class GrayTree:
                 continue
             both, some = self.both[level], self.some[level]
             common = ~(both[i] ^ some[i]) & ~(both[j] ^ some[j])
-            near = np.bitwise_count((both[i] ^ both[j]) & common) <= DISTANCE
+            near = np.bitwise_count((both[i] ^ both[j]) & common) <= distance
             i, j = i[near], j[near]
             if level == 0:
                 apart = i != j
@@ -131,7 +136,7 @@ class GrayTree:
                 stack.append((level - 1, a[ok], b[ok]))
 
 
-def cell_links(cell: np.ndarray, fps: np.ndarray, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(cell: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside the cells; cells are runs of equal numbers."""
     label = np.arange(len(fps))
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -139,18 +144,18 @@ def cell_links(cell: np.ndarray, fps: np.ndarray, small: int = 32) -> tuple[np.n
     place = np.repeat(sizes <= small, sizes)
     for gap in range(1, min(small, int(sizes.max(initial=0)))):
         near = (cell[gap:] == cell[:-gap]) & place[gap:]
-        near &= np.bitwise_count(fps[gap:] ^ fps[:-gap]) <= DISTANCE
+        near &= np.bitwise_count(fps[gap:] ^ fps[:-gap]) <= distance
         a = np.flatnonzero(near)
         unite(label, a, a + gap)
     for start, size in zip(starts[sizes > small], sizes[sizes > small]):
         order = start + np.argsort(gray_rank(fps[start : start + size]), kind="stable")
-        for a, b in GrayTree(fps[order]).links():
+        for a, b in GrayTree(fps[order]).links(distance):
             unite(label, order[a], order[b])
     tied = np.flatnonzero(label != np.arange(len(fps)))
     return fps[tied], fps[label[tied]]
 
 
-def links(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(distinct: DataFrame, tile_rows: int = TILE_ROWS, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between fingerprints, which connect exactly what links connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def links(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)] if len(rows) else np.zeros(0, bool)
-            a, b = cell_links(np.cumsum(new), np.ascontiguousarray(rows[:, 3]).view(np.uint64))
+            a, b = cell_links(np.cumsum(new), np.ascontiguousarray(rows[:, 3]).view(np.uint64), distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -170,14 +175,16 @@ def links(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
             held = [rows[last:]]
         yield out(np.concatenate(held))
 
+    cuts = [max(1, 64 * b // (distance + 1)) if b else 0 for b in range(distance + 2)]
     blocks = distinct.select("fp", F.posexplode(F.array(*[
-        F.shiftrightunsigned("fp", 16 * b).bitwiseAND(0xFFFF).cast("int") for b in range(4)])).alias("block", "value"))
+        F.shiftrightunsigned("fp", a).bitwiseAND((1 << min(b - a, 16)) - 1).cast("int")
+        for a, b in zip(cuts, cuts[1:])])).alias("block", "value"))
     blocks = blocks.select("fp", (F.col("block") * 65_536 + F.col("value")).alias("node"))
     sizes = blocks.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(
         "node", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     cells = (
-        blocks.join(F.broadcast(sizes), "node")  # at most 4 * 65,536 rows
+        blocks.join(F.broadcast(sizes), "node")  # at most 65,536 rows a block
         .withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("node", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp")
         .repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "fp")
@@ -218,26 +225,107 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    row_col: str | None = None) -> DataFrame:
-    """(row_id, id, fp, component_id) for every row of docs."""
-    rows = staged(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
+def _rooted(rows: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints (fp, least_id), and (fp, root) of those with a link."""
     distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
-    roots = staged(components(staged(links(distinct), "links")), "roots")
-    tied = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
+    roots = staged(components(staged(links(distinct, distance=distance), "links")), "roots")
+    return distinct, roots.withColumnRenamed("node", "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+                    shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """(row_id, id, fp, component_id) for every row of docs."""
+    rows = staged(fingerprints(docs, id_col, text_col, row_col, shingle), "fingerprints")
+    distinct, roots = _rooted(rows, distance)
+    tied = distinct.join(roots, "fp")
     tied = tied.select("fp", "root").join(
         tied.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
     ids = distinct.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.join(staged(ids, "components"), "fp").select("row_id", "id", "fp", "component_id")
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles; a shorter text is one shingle, an empty one has none."""
+    import xxhash
+
+    w = text.encode().lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]))
+                               for i in range(max(1, len(w) - words + 1) if w else 0)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets is at least so much; empty sets are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def checked_links(rows: DataFrame, distance: int, similarity: float, words: int, tile_rows: int = CHECK_ROWS) -> DataFrame:
+    """Edges (a, b) between the row_ids of rows (row_id, fp, root, text), which connect exactly what similar links connect."""
+
+    def edges(cell: list[tuple]) -> Iterator[tuple[int, int]]:
+        fps = np.array([c[1] for c in cell], np.int64).view(np.uint64)
+        tile, sets = np.array([c[2] for c in cell]), [shingle_set(c[3], words) for c in cell]
+        within, label = tile.min() == tile.max(), np.arange(len(cell))
+        for i in range(len(cell)):
+            near = (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= distance) & (within | (tile[i + 1 :] != tile[i]))
+            for j in (i + 1 + np.flatnonzero(near)).tolist():
+                if label[i] != label[j] and similar(sets[i], sets[j], similarity):
+                    label[label == label[j]] = label[i]
+                    yield cell[i][0], cell[j][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(cell: list[tuple]) -> pa.RecordBatch:
+            found = np.array(list(edges(cell)), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        at, cell = None, []
+        for batch in batches:
+            for *key, row, fp, tile, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at and cell:
+                    yield out(cell)
+                    cell = []
+                at = key
+                cell.append((row, fp, tile, text))
+        if cell:
+            yield out(cell)
+
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(
+        "root", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
+    cells = (
+        rows.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("row_id"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+                "row_id", "fp", "tile", "text")
+        # a pair of tiles has a cell, which compares across; a tile's own cell compares inside
+        .repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "row_id")
+    )
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                   distance: int = DISTANCE, similarity: float | None = None, words: int = 5) -> DataFrame:
     """The rows of docs that stay: of each component the row with the smallest id, the first of equals.
 
-    Components of null ids only keep the first row of each fingerprint.
+    With a `similarity`, links must also reach it as Jaccard similarity of shingles of `words` words, and
+    null ids come last in a component. Without, components of null ids only keep the first row of each
+    fingerprint.
     """
     rows = numbered(docs)
-    found = near_duplicates(rows, id_col, text_col, ROW)
+    if similarity is not None:
+        prints = staged(fingerprints(rows, id_col, text_col, ROW, shingle), "fingerprints")
+        _, roots = _rooted(prints, distance)
+        found = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        shared = found.join(found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "root").drop("n")
+        texts = rows.select(F.col(ROW).alias("row_id"), text_of(text_col).alias("text"))
+        held = staged(checked_links(shared.join(texts, "row_id"), distance, similarity, words), "checked")
+        tied = staged(components(held), "components").withColumnsRenamed({"node": "row_id", "root": "component"})
+        tied = tied.join(prints, "row_id").withColumn("order", F.struct(F.col("id").isNull(), "id", "row_id"))
+        first = tied.groupBy("component").agg(F.min("order").alias("first"))
+        gone = tied.join(first, "component").where(F.col("order") != F.col("first"))
+        return rows.join(gone.select(F.col("row_id").alias(ROW)), ROW, "left_anti").drop(ROW)
+    found = near_duplicates(rows, id_col, text_col, ROW, shingle, distance)
     of_null = F.when(F.col("component_id").isNull(), F.col("fp"))
     stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", of_null.alias("of")).agg(
         F.min("row_id").alias(ROW))

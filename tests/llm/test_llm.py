@@ -225,6 +225,32 @@ def test_all_links_are_found(spark, tile_rows):
     assert got == {x: min(g) for g in of.values() if len(g) > 1 for x in g}
 
 
+def test_near_copies_of_similarity_are_merged_and_others_are_kept(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        rows.append((i, " ".join(w)))
+        for k, edits in ((1, 3), (2, 30)):
+            v = list(w)
+            for at in np.linspace(5, 194, edits).astype(int):
+                v[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((100 * k + i, " ".join(v)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    want = {i for i in sets if i < 100 or len(sets[i] & sets[i % 100]) < 0.8 * len(sets[i] | sets[i % 100])}
+    assert len(want) == 120
+    fp = {i: brute_simhash(t) for i, t in rows}
+    far = {i for i in sets if (fp[i] ^ fp[i % 100]).bit_count() > 11}
+    assert len(far - want) <= 3 and len({i for i in set(sets) - want if (fp[i] ^ fp[i % 100]).bit_count() > 3}) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = simhash.kept_documents(docs, distance=11, similarity=0.8)
+    assert {r.doc_id for r in near.collect()} == want | far
+    pieces = spark.createDataFrame([(i, int(np.uint64(simhash.simhash(t)).view(np.int64)), 0, t) for i, t in rows],
+                                   "row_id long, fp long, root long, text string")
+    got = simhash.components(simhash.checked_links(pieces, 64, 0.8, 5, tile_rows=50)).collect()
+    assert {r.node for r in got if r.node != r.root} == set(sets) - want
+
+
 def test_toxicity_learns_and_scores_every_row(spark, docs, nothing):
     rows = [(i, f"plain words {i} here" + (" you utter scoundrel" if i % 3 == 0 else " thank you")) for i in range(300)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Score", F.lit("clash"))
