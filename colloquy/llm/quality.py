@@ -7,7 +7,7 @@ pool that it is surest about, and hands them to the other for training. On label
 aside, both views' scores are calibrated and combined; every document is scored by the result.
 
 The fit reads at most `max_rows` labelled and `max_pool` unlabelled documents, those with the
-smallest hashes of their ids; their features, some eighty numbers each, are fitted on the driver.
+smallest hashes of their ids, of a repeated id the row with the least features; their features, some eighty numbers each, are fitted on the driver.
 Scoring reads every whole text.
 
 Defined results: a null text is empty; an empty text has zero shares; null languages and sources
@@ -186,15 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
         for batch in batches:
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(4), batch.column(5),
+                [batch.column(4), batch.column(5), batch.column(6),
                  pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))],
-                ["id", "y", "a", "b"])
+                ["id", "y", "key", "a", "b"])
 
     rows = docs.select(*_columns(docs, text_col), F.col(id_col)).join(
         F.broadcast(ids), id_col)  # max_rows + max_pool rows of two numbers
     rows = rows.select("__text__", "__lang__", "__source__", "__n_chars__",
-                       F.crc32(F.col(id_col).cast("string")).alias("id"), "y").limit(max_rows + max_pool)
-    sample = staged(rows.mapInArrow(run, "id long, y int, a array<double>, b array<double>"), "quality-features")
+                       F.crc32(F.col(id_col).cast("string")).alias("id"), "y",
+                       F.col(id_col).cast("string").alias("key"))
+    sample = rows.mapInArrow(run, "id long, y int, key string, a array<double>, b array<double>")
+    sample = staged(sample.groupBy("key").agg(F.min(F.struct("id", "y", "a", "b")).alias("row")).select("row.*"),
+                    "quality-features")
     sample = sample.orderBy("id", "y", "a", "b").toPandas()
     if not len(sample):
         return None

@@ -7,7 +7,7 @@ it exceeds the L1 strength. The weights that remain are a few thousand at most a
 executors with the scoring function.
 
 The fit reads at most `max_rows` labelled documents, those with the smallest hashes of their ids,
-in one task; scoring reads every whole text.
+in one task, of a repeated id the row with the least features; scoring reads every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; rows
 are scored each for itself, repeated or not; without any label every score is 0.5; several labels
@@ -66,7 +66,7 @@ class Ftrl:
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, max_rows: int,
              id_col: str, text_col: str) -> DataFrame:
-    """At most max_rows rows (id, y, text): the labelled documents with the smallest hashes of their ids."""
+    """Rows (id, y, text) of at most max_rows ids: the labelled documents with the smallest hashes of their ids."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable)
         .groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -75,7 +75,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column,
     return (
         docs.select(F.col(id_col), text_of(text_col).alias("text"))
         .join(F.broadcast(staged(chosen, "labels")), id_col)  # max_rows rows of two numbers
-        .limit(max_rows)
     )
 
 
@@ -103,7 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "to
 
     sample = labelled(docs, labels, label_col, usable, max_rows, id_col, text_col).select(
         F.col(id_col).cast("string").alias("id"), "y", "text")
-    sample = staged(sample.mapInArrow(featurise, "id string, y int, at array<int>"), "toxic-features")
+    sample = sample.mapInArrow(featurise, "id string, y int, at array<int>")
+    sample = staged(sample.groupBy("id").agg(F.min(F.struct("y", "at")).alias("row")).select(
+        "id", "row.y", "row.at"), "toxic-features")
     weights = (
         sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "at").select("y", "at")
         .mapInArrow(train, "at long, w double").orderBy("at").toPandas()

@@ -275,6 +275,27 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark, docs, nothing):
     assert quality.score(nothing, None).count() == 0
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_copies_of_a_sampled_id_leave_room_for_the_others(spark, monkeypatch, module):
+    rows = [(0, f"hot words {k}") for k in range(500)] + [(i, f"plain words {i} here") for i in range(1, 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"),
+                                   (F.col("id") % 2).cast("int").alias("toxic"))
+    counts, write = {}, module.staged
+
+    def count(df, label):
+        out = write(df, label)
+        counts[label] = out.count(), out.select(out.columns[0]).distinct().count()
+        return out
+
+    monkeypatch.setattr(module, "staged", count)
+    model = toxicity.fit(table, marks, F.lit(True), max_rows=40) if module is toxicity else quality.fit(
+        table, marks, max_rows=40, max_pool=1)
+    assert model is not None
+    features = "toxic-features" if module is toxicity else "quality-features"
+    assert counts[features] == (40, 40)
+
+
 def test_transcripts(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"Is it {t}?" if t % 2 == 0 else "It is so, and here is why " * 4)
             for c in range(20) for t in range(6)]
