@@ -6,18 +6,20 @@ The operators return texts, ids and spans; the queries derive the columns of the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import (
     bpe,
     chat,
+    embedding_dedup,
     exact_dedup,
     packing,
     pii,
     quality,
     sharding,
     simhash,
+    spelling,
     topk,
     toxicity,
 )
@@ -100,9 +102,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "content_score", "metadata_score", "score", "kept")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def misspelt(doc_id: Column, run: Column) -> Column:
+    """The run without one code point, where 97 divides the checksum of id and run."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))
+    return F.when(h % 97 == 0, cut).otherwise(run)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), change=misspelt)
+    return spelling.group_variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_exact_dedup, op3_pii, op4_packing, op5_top_k, op6_toxicity, op7_simhash, op8_chat,
-    op9_bpe, op10_quality)}
+    op9_bpe, op10_quality, op11_embedding_near_dedup, op13_spelling_variants)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -115,6 +134,19 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op11_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x for x in embedding if x <> 0]) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach AS (
+            SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a
+        ), c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+        SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+    """,
     "op5_top_k": """
         WITH v AS (
             SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS e FROM embeddings
