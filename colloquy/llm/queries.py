@@ -22,7 +22,9 @@ from colloquy.llm import (
     spelling,
     topk,
     toxicity,
+    trie,
 )
+from colloquy.llm.common import staged
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -106,6 +108,32 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations): each conversation begins with turns of the first one of its twenty.
+
+    The first h turns of conversation c - c % 20, then its own from turn h on, for h = crc32(c) % 4.
+    """
+    turns = staged(turns, "numbered")
+    convs = staged(turns.groupBy("conv").agg(F.count("*").alias("size")).select(
+        "conv", "size", (F.col("conv") - F.pmod("conv", F.lit(20))).alias("base"),
+        (F.crc32(F.col("conv").cast("string").cast("binary")) % 4).alias("h")), "conversations")
+    given = F.least("h", F.coalesce("base_size", F.lit(0)))
+    convs = staged(convs.join(convs.select(F.col("conv").alias("base"), F.col("size").alias("base_size")), "base", "left").select(
+        "conv", "base", "h", given.alias("given")), "plan")
+    own = turns.join(convs, "conv").where(F.col("pos") >= F.col("h")).select(
+        "conv", (F.col("pos") - F.col("h") + F.col("given")).alias("pos"), "digest", "words")
+    start = turns.where("pos < 3").withColumnRenamed("conv", "base")
+    lent = convs.where("given > 0").select("conv", "base", "given").join(start, "base").where("pos < given")
+    return own.unionByName(lent.select("conv", "pos", "digest", "words")), convs.select("conv")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*rebuilt(turns)).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"))
+
+
 def misspelt(doc_id: Column, run: Column) -> Column:
     """The run without one code point, where 97 divides the checksum of id and run."""
     h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
@@ -121,7 +149,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_exact_dedup, op3_pii, op4_packing, op5_top_k, op6_toxicity, op7_simhash, op8_chat,
-    op9_bpe, op10_quality, op11_embedding_near_dedup, op13_spelling_variants)}
+    op9_bpe, op10_quality, op11_embedding_near_dedup, op12_prefix_trie, op13_spelling_variants)}
 
 ORACLES = {
     "op2_exact_dedup": """
