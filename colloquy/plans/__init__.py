@@ -7,6 +7,7 @@ from colloquy.plans import (  # noqa: F401
     evaluation_queries,
     claim_queries,
     refresh_queries,
+    containment_queries,
 )
 from colloquy.plans.registry import ORACLES, QUERIES
 
