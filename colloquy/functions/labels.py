@@ -97,8 +97,9 @@ def backoff_hours(attempts: Column | str, base_hours: float = S.REFRESH_BASE_HOU
 
 
 def age_days(since: Column | str, now: Column | float) -> Column:
+    """Days since a time; a missing or zero time is age 0."""
     now = now if isinstance(now, Column) else F.lit(float(now))
-    return (now - _c(since)) / F.lit(86400.0)
+    return F.coalesce((now - F.nullif(_c(since), F.lit(0.0))) / F.lit(86400.0), F.lit(0.0))
 
 
 def rounded(col: Column, digits: int | None = 4) -> Column:

@@ -9,13 +9,14 @@ from colloquy.sources import driver_tables as D
 from colloquy.sources.corpus import scratch_dir
 from colloquy.streaming import acquisition as AQ
 from colloquy.streaming import refresh as SR
+from colloquy.streaming import schedule as SD
 
 # Reset runs, counters and the first terminal row, one window at a time.
 cte("refresh_row", """
   SELECT *, row_number() OVER w AS rn,
     CASE WHEN NOT ok THEN NULL WHEN decision = 'withdrawn' THEN 'withdrawn'
       WHEN decision = 'accept' AND NOT active THEN 'finalized'
-      WHEN (ts - fetched_at) / 86400.0 > 180 AND NOT active THEN 'refresh_expired' END AS ended
+      WHEN (ts - coalesce(nullif(fetched_at, 0), ts)) / 86400.0 > 180 AND NOT active THEN 'refresh_expired' END AS ended
   FROM refresh_log WINDOW w AS (PARTITION BY forum_id ORDER BY ts, seq)
 """)
 cte("refresh_run", """
@@ -75,6 +76,19 @@ def t2_batches(spark, path):
     return SR.current_states(spark, f"{out}/states")
 
 
+@query("T2_refresh_states_from_folded_batches", "SELECT * FROM refresh_state")
+def t2_folded(spark, path):
+    """Seven batches in time order, the fourth one twice, over buckets that fold after three deltas."""
+    out = scratch_dir(spark)
+    write = SR.replay_batches(f"{out}/states", buckets=4, fold=3)
+    results = D.refresh_results(spark, path)
+    first, last = results.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.col("ts") - first) / (last - first) * 7), F.lit(6))
+    for batch_id in (0, 1, 2, 3, 3, 4, 5, 6):
+        write(results.where(part == batch_id), batch_id)
+    return SR.current_states(spark, f"{out}/states")
+
+
 @query("T1_acquire_first_seen_forums", """
   SELECT DISTINCT user_id AS forum_id FROM events""")
 def t1(spark, path):
@@ -112,6 +126,19 @@ def t3(spark, path):
         "forum_id", "reason", "priority")
 
 
+@query("T3_due_forums_streaming", """
+  SELECT forum_id, reason, CASE reason WHEN 'missing_decision' THEN 0 ELSE 1 END AS priority
+  FROM queue_forum WHERE reason IS NOT NULL""")
+def t3_stream(spark, path):
+    """Forums wait for their timers until the clock, an event time here, reaches NOW."""
+    out = scratch_dir(spark)
+    known = _queue_input(spark, path).withColumn("at", F.timestamp_seconds(F.lit(NOW - 1)))
+    SD.with_tick(known, NOW).write.parquet(f"{out}/known")
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/known").schema).parquet(f"{out}/known")
+    _run(SD.due_forums(stream, CYCLES, clock="event"), AQ.append_versions(f"{out}/due"), f"{out}/checkpoint", "append")
+    return spark.read.parquet(f"{out}/due").select("forum_id", "reason", "priority")
+
+
 @query("K3_refresh_queue", """
   SELECT forum_id, reason FROM queue_forum WHERE reason IS NOT NULL
   ORDER BY CASE reason WHEN 'missing_decision' THEN 0 ELSE 1 END, forum_id LIMIT 100""")

@@ -119,6 +119,7 @@ cte("refresh_log", """
     event_type <> 'error' AS ok, event_type = 'purchase' AS changed,
     CASE WHEN event_type = 'signup' AND value > 60
       THEN CASE WHEN value > 90 THEN 'withdrawn' ELSE 'accept' END ELSE 'unknown' END AS decision,
-    user_id % 3 = 0 AS active, 1696118400.0 AS fetched_at
+    user_id % 3 = 0 AS active,
+    CASE user_id % 50 WHEN 7 THEN 0.0 WHEN 8 THEN NULL ELSE 1696118400.0 END AS fetched_at
   FROM events
 """)

@@ -249,7 +249,7 @@ def stream(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def as_refresh_results(events: DataFrame) -> DataFrame:
     """Events as refresh results: an error is a failed fetch, a purchase a change; a
-    sign-up of some value carries a decision."""
+    sign-up of some value carries a decision. Some first fetch times are 0 or missing."""
     return events.select(
         F.col("user_id").alias("forum_id"),
         epoch_seconds("ts").alias("ts"), F.col("event_id").alias("seq"),
@@ -259,4 +259,4 @@ def as_refresh_results(events: DataFrame) -> DataFrame:
                F.when(F.col("value") > 90, "withdrawn").otherwise("accept"))
         .otherwise("unknown").alias("decision"),
         (F.col("user_id") % 3 == 0).alias("active"),
-        F.lit(1696118400.0).alias("fetched_at"))
+        F.when(F.col("user_id") % 50 == 7, 0.0).when(F.col("user_id") % 50 != 8, 1696118400.0).alias("fetched_at"))

@@ -2,8 +2,9 @@
 
 Two forms with the same states. ``refresh_states`` keeps one small state per forum in
 the state store; a task orders the results of a forum within a trigger. ``replay_batches``
-keeps states in a table and replays each micro-batch with `operators.refresh.replay`,
-which also splits a forum that holds a large part of a batch.
+keeps states in a table of snapshots and deltas (`streaming.state_table`) and replays each
+micro-batch with `operators.refresh.replay`, which also splits a forum that holds a large
+part of a batch.
 
 Addition to the batch semantics: a result older than the last one applied is ignored.
 """
@@ -18,9 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from colloquy import schema as S
-from colloquy.operators.ingest import latest_version
 from colloquy.operators.refresh import replay
-from colloquy.sources.corpus import path_exists
+from colloquy.streaming.state_table import BUCKETS, FOLD, StateTable
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTCOMES = {"withdrawn": "withdrawn", "desk_reject": "desk_rejected"}
@@ -93,31 +93,34 @@ def refresh_states(results: DataFrame) -> DataFrame:
 
 
 def current_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Latest state of every forum in a folder of state versions."""
-    versions = spark.read.parquet(path)
-    if before is not None:
-        versions = versions.where(F.col("batch_id") < before)
-    return latest_version(versions, "last_checked_at", "batch_id").drop("batch_id")
+    """Latest state of every forum in a state table."""
+    states = StateTable(spark, path).states(before)
+    if states is None:
+        raise ValueError(f"{path}: no batch was committed")
+    return states
 
 
-def replay_batches(path: str, **options) -> Callable[[DataFrame, int], None]:
+def replay_batches(path: str, *, buckets: int = BUCKETS, fold: int = FOLD, **options) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that applies a batch of results to the states under
-    ``path``. A batch reads the states of earlier batches only and writes a folder of its
-    own, so a retry gives the same outcome."""
+    ``path``, a `StateTable`. A batch reads the touched buckets as earlier batches left
+    them, so a retry gives the same outcome and a batch costs the same at any age."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if path_exists(batch.sparkSession, path):
-            start = current_states(batch.sparkSession, path, batch_id).select(
+        table = StateTable(batch.sparkSession, path, "forum_id", buckets, fold)
+        rows, commit = batch.withColumn("_bucket", table.bucket()), table.latest(batch_id)
+        touched = [r._bucket for r in rows.select("_bucket").distinct().collect()]  # at most the number of buckets
+        states = table.read(commit, touched)
+        if states is not None:
+            start = states.select(
                 "forum_id", F.col("status").alias("start_status"),
                 F.col("refresh_attempts").alias("start_attempts"),
                 F.col("last_checked_at").alias("_last"))
-            rows = batch.join(start, "forum_id", "left").where(
+            rows = rows.join(start, "forum_id", "left").where(
                 ~F.coalesce(F.col("start_status").isin(*S.TERMINAL_STATUSES), F.lit(False))
                 & (F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
             ).withColumns({
                 "start_status": F.coalesce("start_status", F.lit("unseen")),
                 "start_attempts": F.coalesce("start_attempts", F.lit(0))}).drop("_last")
-        replay(rows, **options).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        table.commit(batch_id, replay(rows.drop("_bucket"), **options))
 
     return write
