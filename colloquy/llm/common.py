@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 ROW = "__row_id__"
+_created: list[str] = []  # folders of staged tables, in order
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,9 +45,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{label}"
     atexit.register(_delete, spark, path)
+    _created.append(path)
     return path
 
 
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """The folders of the tables staged inside the block."""
+    start, paths = len(_created), []
+    yield paths
+    paths += _created[start:]
+
+
+def release(docs: DataFrame, paths: list[str]) -> None:
+    """Delete folders of staged tables that docs does not read, and take them off the list."""
+    read = "\n".join(docs.inputFiles())
+    for path in [p for p in paths if p not in read]:
+        _delete(docs.sparkSession, path)
+        paths.remove(path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
