@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
@@ -13,6 +13,7 @@ from colloquy.functions import notes as N
 from colloquy.functions.hashing import response_hash, review_hash
 from colloquy.functions.text import year_of
 from colloquy.operators.order_stats import latest
+from colloquy.sources.json_document import json_elements
 
 
 @dataclass
@@ -129,10 +130,11 @@ def assemble(papers: DataFrame, children: DataFrame, *, venue_family: Column, ve
 # --- legacy dumps -----------------------------------------------------------------------
 
 
-LEGACY_REVIEWS = (
-    "array<struct<forum_id:string,note_id:string,rating:string,rating_num:double,"
+LEGACY_REVIEW = (
+    "struct<forum_id:string,note_id:string,rating:string,rating_num:double,"
     "confidence:string,summary:string,text:string,strengths:string,weaknesses:string,"
-    "questions:string>>")
+    "questions:string>")
+LEGACY_REVIEWS = f"array<{LEGACY_REVIEW}>"
 
 
 def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_order") -> DataFrame:
@@ -148,6 +150,18 @@ def explode_legacy(dumps: DataFrame, json: str = "json", order: str = "dump_orde
     rows = entries.select(
         "_dump", F.array_position("_names", F.col("display_name")).alias("_place"), "display_name",
         F.posexplode(F.try_variant_get("entry", "$", LEGACY_REVIEWS)).alias("_pos", "r"))
+    return _legacy_reviews(rows)
+
+
+def read_legacy(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataFrame:
+    """The rows of `explode_legacy` from dump files, read by as many tasks as they have splits."""
+    elements = json_elements(spark, path, split_bytes).where(~F.col("key").startswith("_forum_"))
+    return _legacy_reviews(elements.select(
+        F.col("file").alias("_dump"), F.col("place").alias("_place"), F.col("key").alias("display_name"),
+        F.col("position").alias("_pos"), F.try_variant_get(F.try_parse_json("json"), "$", LEGACY_REVIEW).alias("r")))
+
+
+def _legacy_reviews(rows: DataFrame) -> DataFrame:
     text = lambda k: F.coalesce(f"r.{k}", F.lit(""))
     return rows.where(text("forum_id") != "").select(
         "_dump", "_place", "display_name", "_pos", "r.forum_id", "r.note_id",
@@ -170,7 +184,12 @@ def legacy_families(rows: DataFrame, registry: DataFrame) -> DataFrame:
 def migrate_legacy(dumps: DataFrame, registry: DataFrame) -> Corpus:
     """Legacy dumps to corpus tables. Per family and forum the first review of a note
     id wins; reviews without a note id are all kept."""
-    rows = legacy_families(explode_legacy(dumps), registry)
+    return migrated(explode_legacy(dumps), registry)
+
+
+def migrated(reviews: DataFrame, registry: DataFrame) -> Corpus:
+    """Corpus tables of the rows of `explode_legacy` or `read_legacy`."""
+    rows = legacy_families(reviews, registry)
     first = [F.col("_dump"), F.col("_place"), F.col("display_name"), F.col("_pos")]
     forum = (
         rows.groupBy("venue_family", "forum_id")

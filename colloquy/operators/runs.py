@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
@@ -14,6 +14,7 @@ from colloquy.functions.rows import with_row
 from colloquy.functions.text import is_blank
 from colloquy.operators.evidence import explode_rules, union_violations
 from colloquy.operators.split import overlap
+from colloquy.sources.json_document import json_elements
 
 RUN_FIELDS = tuple(S.RUN.fieldNames())
 
@@ -23,6 +24,14 @@ def _is(col: str, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(col).rlike(kind), F.lit(False))
 
 
+PREDICTION_VALUES = ("rating_prediction", "decision_prediction", "accept_probability")
+
+
+def _prediction(record: Column) -> list[Column]:
+    return [F.try_variant_get(record, "$.forum_id", "string").alias("forum_id"),
+            *[F.try_variant_get(record, f"$.{c}", "variant").alias(c) for c in PREDICTION_VALUES]]
+
+
 def parse_predictions(payloads: DataFrame, column: str = "json") -> DataFrame:
     """Prediction rows from JSON payloads, with fields left as VARIANT for checking."""
     v = F.try_parse_json(column)
@@ -31,14 +40,17 @@ def parse_predictions(payloads: DataFrame, column: str = "json") -> DataFrame:
             "system",
             F.posexplode(F.try_variant_get(v, "$.predictions", "array<variant>"))
             .alias("position", "p"))
-        .select(
-            "system", "position",
-            F.try_variant_get("p", "$.forum_id", "string").alias("forum_id"),
-            *[F.try_variant_get("p", f"$.{c}", "variant").alias(c)
-              for c in ("rating_prediction", "decision_prediction", "accept_probability")])
+        .select("system", "position", *_prediction(F.col("p")))
     )
 
 
+def load_predictions(spark: SparkSession, path: str, system: str, split_bytes: int = 128 << 20) -> DataFrame:
+    """The rows of `parse_predictions` from a run file, read by as many tasks as it has splits."""
+    elements = json_elements(spark, path, split_bytes).where(F.col("key") == "predictions")
+    return elements.select(F.lit(system).alias("system"), "position", F.try_parse_json("json").alias("p")).select(
+        "system", "position", *_prediction(F.col("p")))
+
+
 NUMERIC = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 ABSENT = "^VOID"
 

@@ -11,6 +11,7 @@ from colloquy.operators import runs as R
 from colloquy.operators import scoring as SC
 from colloquy.operators import split as SP
 from colloquy.operators.order_stats import top_k
+from colloquy.plans.ingest_queries import one_document
 from colloquy.plans.registry import cte, query
 from colloquy.sources import driver_tables as D
 from colloquy.sources.corpus import canonical_order, scratch_dir
@@ -461,15 +462,32 @@ def q3(spark, path):
       WHEN 'O' THEN ['decision_not_allowed', 'probability_not_in_range'] ELSE []::VARCHAR[] END) AS rule FROM orders)""")
 def f14(spark, path):
     o = D.table(spark, path, "orders")
-    text = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
-    record = F.concat(
-        F.lit('{"predictions": [{"forum_id": '), text("o_orderkey"),
+    record = F.concat(F.lit('{"predictions": ['), _record(), F.lit("]}"))
+    rows = R.parse_predictions(o.select(F.lit("generic").alias("system"), record.alias("json")))
+    return R.variant_schema_rules(rows)
+
+
+def _record():
+    """An order as a prediction record, with faults by its status."""
+    return F.concat(
+        F.lit('{"forum_id": "'), F.col("o_orderkey").cast("string"), F.lit('"'),
         F.when(F.col("o_orderstatus") == "F", ', "rating_prediction": true, "accept_probability": "0.5"')
         .when(F.col("o_orderstatus") == "O", ', "decision_prediction": 1, "accept_probability": 1.5')
         .otherwise(', "rating_prediction": 5, "decision_prediction": "accept", "accept_probability": 1'),
-        F.lit("}]}"))
-    rows = R.parse_predictions(o.select(F.lit("generic").alias("system"), record.alias("json")))
-    return R.variant_schema_rules(rows)
+        F.lit("}"))
+
+
+@query("F14_predictions_from_one_file", """
+  SELECT forum_id AS entity_id, rule, '' AS detail, CAST(1 AS BIGINT) AS n FROM (
+    SELECT CAST(o_orderkey AS VARCHAR) AS forum_id, unnest(CASE o_orderstatus
+      WHEN 'F' THEN ['rating_not_numeric', 'probability_not_in_range']
+      WHEN 'O' THEN ['decision_not_allowed', 'probability_not_in_range'] ELSE []::VARCHAR[] END) AS rule FROM orders)
+  UNION ALL SELECT '#' || (SELECT count(*) FROM orders), 'missing_forum_id', '', CAST(1 AS BIGINT)""")
+def f14_file(spark, path):
+    """One run file with all records and a last one without an id."""
+    o = D.table(spark, path, "orders").select(F.col("o_orderkey").alias("n"), F.concat(_record(), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(-1, '{"system": "generic", "predictions": ['), (2**62, '{"rating_prediction": 5}]}')], "n long, value string")
+    return R.variant_schema_rules(R.load_predictions(spark, one_document(spark, o.unionByName(ends), ["n"]), "generic", 1 << 18))
 
 
 @query("J8_Q4_predictions_outside_dataset", """

@@ -1,5 +1,6 @@
 """Queries S1-S7, P1-P18, J1-J4, F1-F17, W6, U4: ingest, storage and expressions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
@@ -195,6 +196,35 @@ def s5(spark, path):
                            "rating_raw", "text", "strengths", "content_hash")
 
 
+def one_document(spark, lines, order):
+    """A folder with one JSON document: the lines, in order."""
+    out = SC.scratch_dir(spark)
+    lines.repartition(1).sortWithinPartitions(*order).select("value").write.text(f"{out}/document")
+    return f"{out}/document"
+
+
+@query("S5_migrate_legacy_reviews_from_one_file", """
+  SELECT venue_family, venue_year, forum_id, note_id, initial_value, rating_raw, text, strengths
+  FROM legacy_row QUALIFY note_id IS NULL OR row_number() OVER (
+    PARTITION BY venue_family, forum_id, note_id ORDER BY dump_order, name, pos) = 1""")
+def s5_file(spark, path):
+    """All dumps as one document, an array per venue name, read in splits of 4 MB."""
+    dumps = _legacy(spark, path).select(
+        "dump_order", F.explode(F.from_json("json", "map<string,array<string>>")).alias("name", "reviews"))
+    rows = dumps.select("name", "dump_order", F.posexplode("reviews").alias("pos", "review"))
+    within = W.partitionBy("name").orderBy("dump_order", "pos")
+    first, last = F.row_number().over(within) == 1, F.lead("pos").over(within).isNull()
+    opening = F.when(F.lag("name").over(W.orderBy("name")).isNull(), "{").otherwise(",")
+    names = rows.select("name").distinct().select("name", opening.alias("opening"), F.lead("name").over(
+        W.orderBy("name")).isNull().alias("final"))  # one row per venue name
+    text = F.concat(
+        F.when(F.col("first"), F.concat("opening", F.lit(' "'), "name", F.lit('": ['))).otherwise(F.lit("")), "review",
+        F.when(~F.col("last"), ",").when(F.col("final"), "]}").otherwise("]"))
+    lines = rows.withColumns({"first": first, "last": last}).join(F.broadcast(names), "name").withColumn("value", text)
+    c = I.migrated(I.read_legacy(spark, one_document(spark, lines, ["name", "dump_order", "pos"]), 4 << 20), S.venue_registry(spark))
+    return c.review.select("venue_family", "venue_year", "forum_id", "note_id", "initial_value", "rating_raw", "text", "strengths")
+
+
 @query("J2_legacy_forums_with_family_lookup", """
   SELECT forum_id, 'https://openreview.net/forum?id=' || forum_id AS url, venue_family,
     arg_min_null(name, dump_order) AS venue_id, arg_min_null(venue_year, dump_order) AS venue_year
@@ -218,6 +248,15 @@ def s6(spark, path):
     return SC.parse_calibration_ids(o.select(json.alias("json")))
 
 
+@query("S6_calibration_ids_from_one_file", """
+  SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS forum_id FROM orders""")
+def s6_file(spark, path):
+    o = D.table(spark, path, "orders").select(
+        F.col("o_orderkey").alias("n"), F.concat(F.lit('"'), "o_custkey", F.lit('", "",')).alias("value"))
+    ends = spark.createDataFrame([(-1, '{"note": "a, b", "forum_ids": ['), (2**62, '3]}')], "n long, value string")
+    return SC.load_calibration_ids(spark, one_document(spark, o.unionByName(ends), ["n"]), 1 << 18)
+
+
 @query("S7_run_summary_per_venue", """
   SELECT event_type AS venue, count(*) FILTER (value < 20) AS "new",
     count(*) FILTER (value >= 20 AND value < 150) AS refreshed, count(*) FILTER (value >= 150) AS errors,
