@@ -1,18 +1,21 @@
 """Queries C1-C4, W4-W5, K1-K5, U1-U3, Q1, Q3-Q8, A15-A26, J5-J10, J13, J17-J18:
 evidence, splits, prediction runs and scores."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
 from colloquy.functions.hashing import seeded_key
 from colloquy.functions.rows import with_row
+from colloquy.operators import evaluation as EV
 from colloquy.operators import evidence as E
 from colloquy.operators import runs as R
 from colloquy.operators import scoring as SC
 from colloquy.operators import split as SP
 from colloquy.operators.order_stats import top_k
 from colloquy.plans.ingest_queries import one_document
-from colloquy.plans.registry import cte, query
+from colloquy.plans.registry import CTES, cte, query
 from colloquy.sources import driver_tables as D
 from colloquy.sources.corpus import canonical_order, scratch_dir
 
@@ -563,12 +566,15 @@ def q6(spark, path):
     return R.dataset_consistency(ds.inputs, ds.labels, forged, ds.manifest, split_manifest)
 
 
-@query("Q8_leakage_report", f"""
+_Q8 = f"""
   SELECT 'membership' AS source, system || ':' || forum_id AS entity_id, 'outside_evaluation_set' AS rule, '' AS detail,
     CAST(1 AS BIGINT) AS n FROM prediction WHERE forum_id NOT IN (SELECT forum_id FROM eval_forum)
   UNION ALL SELECT 'comparability', a, b, '', 1 FROM {RUN_PROBLEMS} v(a, b)
   UNION ALL SELECT 'run', 'run_calibrated', 'settings_not_an_object', '', 1
-  UNION ALL SELECT 'run', 'run_calibrated', 'missing_run_field.created_at', '', 1""")
+  UNION ALL SELECT 'run', 'run_calibrated', 'missing_run_field.created_at', '', 1"""
+
+
+@query("Q8_leakage_report", _Q8)
 def q8(spark, path):
     _, cal, ds = _dataset(spark, path)
     p = D.predictions(spark, path).withColumn("position", F.lit(0))
@@ -701,6 +707,67 @@ def score(spark, path):
 query("C4_scores_per_system", "SELECT * FROM score")(score)
 
 
+# The same over the evaluation set, with the baseline.
+cte("e_prediction", """
+  SELECT * FROM prediction WHERE forum_id IN (SELECT forum_id FROM eval_forum)
+  UNION ALL SELECT forum_id, 'baseline', mean_initial_rating, majority_decision, NULL FROM eval_forum, cal_aggregate
+""")
+for _name in ("paired", "paired2", "ranked", "rating_score", "decision_score", "prob_score", "score"):
+    cte(f"e_{_name}", re.sub(r"\b(prediction|paired2?|ranked|rating_score|decision_score|prob_score)\b", r"e_\1", CTES[_name]))
+
+
+cte("e_all", """
+  SELECT s.system, f.forum_id, l.initial_rating_eligible AS re, l.final_decision_eligible AS de, q.rating_prediction AS p,
+    q.decision_prediction AS dp, s.system = 'baseline' OR q.forum_id IS NOT NULL AS has
+  FROM eval_forum f JOIN label l USING (forum_id) CROSS JOIN (SELECT DISTINCT system FROM e_prediction) s
+  LEFT JOIN e_prediction q ON q.forum_id = f.forum_id AND q.system = s.system
+""")
+
+
+def _gated(spark, path, runs, predictions, ds, cal):
+    out = scratch_dir(spark)
+    return EV.evaluate(ds, cal, a17(spark, path), runs, predictions, f"{out}/evaluation", digits=DIGITS)
+
+
+@query("C4_gated_evaluation", f"""
+  SELECT 'score' AS part, system, task, metric, value, sample_size AS n FROM e_score
+  UNION ALL SELECT 'score', 'baseline', 'probability', unnest(['brier_score', 'ece']), NULL, 0
+  UNION ALL SELECT 'delta', '', task, metric, round(max(value) FILTER (system = 'calibrated')
+    - max(value) FILTER (system = 'generic'), {DIGITS}), NULL FROM e_score GROUP BY task, metric
+  UNION ALL SELECT 'coverage', system, 'initial_rating', '', round(count(*) FILTER (re AND p IS NOT NULL)
+    / count(*) FILTER (re), {DIGITS}), count(*) FILTER (re AND p IS NOT NULL) FROM e_all GROUP BY system
+  UNION ALL SELECT 'coverage', system, 'final_decision', '', round(count(*) FILTER (de AND dp IS NOT NULL)
+    / count(*) FILTER (de), {DIGITS}), count(*) FILTER (de AND dp IS NOT NULL) FROM e_all GROUP BY system
+  UNION ALL SELECT 'missing', system, CAST(forum_id AS VARCHAR), '', NULL, NULL FROM e_all WHERE NOT has""")
+def c4_gated(spark, path):
+    """Two runs that differ in their calibration alone pass all checks and are scored beside the baseline."""
+    _, cal, ds = _dataset(spark, path)
+    side = lambda system, hashed: ds.manifest.select(*[v.alias(c) for c, v in {
+        "run_id": F.lit(f"run_{system}"), "system": F.lit(system), "model": F.lit("m"), "settings": F.lit('{"t": 0}'),
+        "input_hash": F.col("model_inputs_hash"), "calibration_hash": hashed, "created_at": F.lit("2026-01-01")}.items()])
+    runs = side("generic", F.lit(S.NO_CALIBRATION)).unionByName(side("calibrated", F.col("calibration_hash")))
+    inside = D.predictions(spark, path).join(ds.inputs.select("forum_id"), "forum_id", "left_semi")
+    ev, none = _gated(spark, path, runs, inside, ds, cal), F.lit(None)
+    named = lambda df, *cols: df.select(*[c.alias(n) for c, n in zip(cols, ("part", "system", "task", "metric", "value", "n"))])
+    c, t = F.col, F.lit
+    return (
+        named(ev.scores, t("score"), c("system"), c("task"), c("metric"), c("value"), c("sample_size").cast("bigint"))
+        .unionByName(named(ev.deltas, t("delta"), t(""), c("task"), c("metric"), c("delta"), none.cast("bigint")))
+        .unionByName(named(ev.coverage, t("coverage"), c("system"), c("task"), t(""), c("coverage"), c("predicted").cast("bigint")))
+        .unionByName(named(ev.missing, t("missing"), c("system"), c("forum_id").cast("string"), t(""), none.cast("double"), none.cast("bigint"))))
+
+
+@query("C4_refused_evaluation", _Q8)
+def c4_refused(spark, path):
+    """The runs and predictions of Q8 break rules: nothing is scored, every violation is reported."""
+    _, cal, ds = _dataset(spark, path)
+    try:
+        _gated(spark, path, _runs(spark, path, ds), D.predictions(spark, path), ds, cal)
+    except EV.EvaluationRefused as refused:
+        return refused.violations
+    raise AssertionError("an evaluation that breaks rules was scored")
+
+
 @query("J18_system_deltas", f"""
   SELECT task, metric, max(value) FILTER (system = 'generic') AS base, max(value) FILTER (system = 'calibrated') AS other,
     round(max(value) FILTER (system = 'calibrated') - max(value) FILTER (system = 'generic'), {DIGITS}) AS delta
