@@ -4,10 +4,14 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import refresh as R
 from colloquy.operators.ingest import latest_version
+from colloquy.functions.rows import with_row
+from colloquy.plans.ingest_queries import _set_digest_sql
 from colloquy.plans.registry import cte, query
 from colloquy.sources import driver_tables as D
 from colloquy.sources.corpus import scratch_dir
+from colloquy.operators.ingest import Corpus
 from colloquy.streaming import acquisition as AQ
+from colloquy.streaming import corpus_refresh as CR
 from colloquy.streaming import refresh as SR
 from colloquy.streaming import schedule as SD
 
@@ -170,3 +174,40 @@ def c6(spark, path):
     touched = base.drop("status", "next_refresh_at", "version").join(states.select(
         "forum_id", "status", "next_refresh_at", F.col("last_checked_at").alias("version")), "forum_id")
     return upsert(base, touched, "version").drop("version")
+
+
+cte("kept_review", """
+  SELECT *, least(280, 30 * length(note)) AS shown FROM line
+  WHERE l_returnflag <> 'N' AND (l_orderkey % 7 <> 0 OR l_linenumber <= 2)
+""")
+
+
+@query("C6_refresh_pipeline", f"""
+  SELECT record_count, review_count, corpus_hash, shown, open_states, ended_states FROM
+    (SELECT count(*) AS record_count FROM orders), (SELECT count(*) AS review_count, CAST(sum(shown) AS BIGINT) AS shown FROM kept_review),
+    ({_set_digest_sql("m", """(SELECT CAST(forum_id AS VARCHAR) || chr(0) AS m FROM forum
+      UNION ALL SELECT CAST(l_orderkey AS VARCHAR) || chr(0) || note FROM kept_review)""", "corpus_hash")}),
+    (SELECT count(*) FILTER (terminal_reason IS NULL) AS open_states, count(terminal_reason) AS ended_states FROM refresh_state)""")
+def c6_pipeline(spark, path):
+    """Two thirds of the forums, then the others with new versions of some (fewer reviews), twice; then
+    older versions without reviews, which are ignored. States come from three parts of the log."""
+    corpus = CR.RefreshedCorpus(spark, f"{scratch_dir(spark)}/corpus", buckets=4, fold=2)
+    c = D.orders_corpus(spark, path, False)
+    texts = c.review.withColumns({"text": F.repeat("note_id", 30), "line": F.split("note_id", "-")[1].cast("int")})
+    said, k = c.response.withColumn("text", F.repeat("note_id", 30)), F.col("forum_id")
+    results = D.refresh_results(spark, path)
+    first, last = results.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.col("ts") - first) / (last - first) * 3), F.lit(2))
+
+    def batch(n, chosen, newer, reviews):
+        corpus.apply(n, Corpus(c.forum.where(chosen).withColumn("fetched_at", F.col("fetched_at") + newer),
+                               reviews.where(chosen).drop("line"), said.where(chosen)), results.where(part == n))
+
+    batch(0, k % 3 != 0, 0.0, texts)
+    for _ in range(2):
+        batch(1, (k % 3 == 0) | (k % 7 == 0), 60.0, texts.where((k % 7 != 0) | (F.col("line") <= 2)))
+    batch(2, k % 11 == 0, -60.0, texts.limit(0))
+    public, states = corpus.corpus(public=True), corpus.states()
+    shown = public.review.agg(F.sum(F.length("text.excerpt")).alias("shown"))
+    counts = states.agg(F.count_if(F.col("terminal_reason").isNull()).alias("open_states"), F.count("terminal_reason").alias("ended_states"))
+    return with_row(with_row(corpus.manifest(), shown), counts)

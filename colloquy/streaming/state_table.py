@@ -42,6 +42,13 @@ class Commit:
         return Commit(d["batch_id"], {int(b): n for b, n in d["base"].items()}, {int(b): n for b, n in d["deltas"].items()})
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 class StateTable:
     """States under ``path``, one row per key."""
 
@@ -58,9 +65,7 @@ class StateTable:
     # --- commits ------------------------------------------------------------------------
 
     def _names(self, folder: str) -> list[str]:
-        if not self._fs.exists(self._at(folder)):
-            return []
-        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))]
+        return names_in(self.spark, f"{self.path}/{folder}")
 
     def batches(self) -> list[int]:
         """Committed batches in order."""

@@ -136,3 +136,44 @@ def test_due_forums_on_the_wall_clock(spark, tmp_path):
     assert got == {r.forum_id for r in R.refresh_candidates(known, 1e10, CYCLES).collect()}
     with pytest.raises(ValueError):
         SD.due_forums(known, clock="x")
+
+
+def test_refreshed_corpus_equals_full_recomputation(spark, tmp_path, monkeypatch):
+    from colloquy.sources import corpus as SC
+    from colloquy.streaming.corpus_refresh import RefreshedCorpus
+    from tests.conftest import TWELVE, make_corpus
+
+    def fetched(forums, at):
+        c = make_corpus(spark, forums)
+        c.forum = c.forum.withColumn("fetched_at", F.lit(at))
+        return c
+
+    log = [(f, NOW, 0, True, False, "unknown", True, NOW) for f in ("f01", "f02")]
+    results, none = spark.createDataFrame(log, LOG), spark.createDataFrame([], LOG)
+    corpus = RefreshedCorpus(spark, str(tmp_path / "c"), buckets=2, fold=2)
+    with pytest.raises(ValueError):
+        corpus.manifest()
+    corpus.apply(0, fetched(TWELVE[:8], 1.0), results)
+    newer = [(f, v, y, "accept", [5.0], 3) for f, v, y, *_ in TWELVE[6:10]]
+    real = StateTable._write_commit
+
+    def fail(self, commit):
+        if "pointers" in self.path:
+            raise OSError("lost")
+        real(self, commit)
+
+    monkeypatch.setattr(StateTable, "_write_commit", fail)
+    with pytest.raises(OSError):
+        corpus.apply(1, fetched(newer, 2.0), none)
+    monkeypatch.setattr(StateTable, "_write_commit", real)
+    assert {r.forum_id for r in corpus.table("forum").collect()} == {f[0] for f in TWELVE[:8]}  # the lost batch does not show
+    corpus.apply(1, fetched(newer, 2.0), none)
+    corpus.apply(2, fetched([(f, v, y, "reject", [1.0] * 5, 0) for f, v, y, *_ in TWELVE[5:7]], 1.5), none)
+    want = make_corpus(spark, [*TWELVE[:5], ("f06", "iclr", 2024, "reject", [1.0] * 5, 0), *newer])
+    now = corpus.corpus()
+    for got, full in ((now.forum.drop("fetched_at"), want.forum), (now.review, want.review), (now.response, want.response)):
+        assert sorted(map(str, got.select(full.columns).collect())) == sorted(map(str, full.collect()))
+    full = SC.manifest(now.forum, now.review).select("record_count", "review_count", "corpus_hash").first()
+    assert corpus.manifest().first() == full and full.record_count == 10
+    assert corpus.corpus(public=True).review.select("text.excerpt", "text.hash").count() == full.review_count
+    assert {r.forum_id for r in corpus.states().collect()} == {"f01", "f02"}
