@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy import schema as S
+from colloquy.functions.digests import corpus_digest
 from colloquy.operators import claims as C
 from colloquy.operators import statistics as ST
 from colloquy.plans.registry import cte, query
@@ -14,10 +15,7 @@ SECTIONS = (*S.CLAIM_SECTIONS, "bogus")
 TYPES = (*S.CLAIM_TYPES, "guess")
 LEVELS = (*S.SUPPORT_LEVELS, "huge")
 
-cte("cstat", """
-  SELECT * FROM stat WHERE metric IN ('forum_count', 'review_count', 'response_count', 'decision_distribution',
-    'rating_decision_crosstab') OR metric IN ('missing_rate.paper_title', 'missing_rate.paper_abstract', 'missing_rate.decision')
-""")
+cte("cstat", "SELECT * FROM stat")
 cte("citem", """
   SELECT 'e' || p_partkey AS evidence_id, CASE WHEN p_size % 3 = 0 THEN '1-URGENT' WHEN p_size % 3 = 1 THEN 'unknown' ELSE 'zz' END AS venue_family,
     CAST(1995 + p_size % 10 AS VARCHAR) AS venue_year, p_name || ' said the reviewer' AS excerpt_text,
@@ -124,17 +122,10 @@ def _evidence(spark, path):
         tag("f").alias("forum_id"), tag("n").alias("note_id"), tag("u").alias("source_url"))
 
 
-CITED_METRICS = (
-    "forum_count", "review_count", "response_count", "missing_rate.paper_title",
-    "missing_rate.paper_abstract", "missing_rate.decision", "decision_distribution",
-    "rating_decision_crosstab",
-)
-
-
 def _stats(spark, path):
     """Statistics as claims meet them: computed once and stored."""
     c, out = D.orders_corpus(spark, path), scratch_dir(spark)
-    write_table(ST.compute(c.forum, c.review, c.response, CITED_METRICS, 10), out)
+    write_table(ST.compute(c.forum, c.review, c.response, digits=10), out)
     return spark.read.parquet(f"{out}/rows")
 
 
@@ -233,8 +224,6 @@ def c8(spark, path):
   SELECT 'inputs' AS entity_id, 'corpora_differ' AS rule, '' AS detail, CAST(1 AS BIGINT) AS n FROM corpus_digest
   UNION ALL SELECT 'inputs', 'evidence_schema_version', '9', 1 FROM corpus_digest""")
 def q9(spark, path):
-    from colloquy.functions.digests import corpus_digest
-
     full = corpus_digest(D.order_forums(spark, path, False), D.order_reviews(spark, path))
     part = corpus_digest(D.document_forums(spark, path), D.document_reviews(spark, path))
     return C.inputs_match(full.withColumn("schema_version", F.lit(1)),
@@ -247,11 +236,12 @@ def _provenance_sql():
     stat = ("(SELECT metric || chr(0) || venue_family || chr(0) || venue_year || chr(0) || path || chr(0) || value AS m "
             "FROM stat WHERE metric IN ('forum_count', 'decision_distribution'))")
     return f"""
-      SELECT *, substr(sha256('c' || chr(0) || evidence_bundle_hash || chr(0) || 'm1' || chr(0) || '{{}}' || chr(0)
+      SELECT *, substr(sha256(corpus_hash || chr(0) || evidence_bundle_hash || chr(0) || 'm1' || chr(0) || '{{}}' || chr(0)
         || chr(0) || '1' || chr(0) || statistics_hash || chr(0)), 1, 16) AS content_hash, 't' AS generated_at
-      FROM (SELECT s.statistics_hash, e.evidence_bundle_hash, 'c' AS corpus_hash, CAST(NULL AS VARCHAR) AS provider,
+      FROM (SELECT s.statistics_hash, e.evidence_bundle_hash, d.corpus_hash, CAST(NULL AS VARCHAR) AS provider,
           'm1' AS model, '{{}}' AS params, 1 AS schema_version
         FROM ({_set_digest_sql('m', stat, 'statistics_hash')}) s,
+ corpus_digest d,
           ({_set_digest_sql('evidence_id', 'citem', 'evidence_bundle_hash')}) e)"""
 
 
@@ -259,7 +249,8 @@ def _provenance_sql():
 def f4b(spark, path):
     c = D.orders_corpus(spark, path, False)
     stats = ST.compute(c.forum, c.review, c.response, ("forum_count", "decision_distribution"))
-    return C.provenance(stats, _evidence(spark, path), "c", model="m1", generated_at="t")
+    digest = corpus_digest(c.forum, c.review).first().corpus_hash
+    return C.provenance(stats, _evidence(spark, path), digest, model="m1", generated_at="t")
 
 
 @query("F13_parse_generated_claims", """

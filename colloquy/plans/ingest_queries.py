@@ -123,7 +123,7 @@ def _excerpt_sql(c):
 
 
 @query("S3_save_public_index_round_trip", f"""
-  SELECT forum_id, note_id, {_excerpt_sql('text')}, {_excerpt_sql('weaknesses')} FROM dreview""")
+  SELECT forum_id, note_id, {", ".join(_excerpt_sql(c) for c in S.REVIEW_TEXTS)} FROM dreview""")
 def s3(spark, path):
     out = SC.scratch_dir(spark)
     SC.save_public_index(_nested_documents(spark, path), out)
@@ -131,7 +131,7 @@ def s3(spark, path):
     again = SC.redact(back)  # a public corpus passes through unchanged
     return SC.flatten_reviews(again).select(
         "forum_id", "note_id", *[F.col(f"{c}.{p}").alias(f"{c}_{p}")
-                                 for c in ("text", "weaknesses") for p in ("excerpt", "length", "hash")])
+                                 for c in S.REVIEW_TEXTS for p in ("excerpt", "length", "hash")])
 
 
 @query("S4_manifest", """

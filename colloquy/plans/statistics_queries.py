@@ -229,9 +229,12 @@ query("A14_compute_all_statistics", "SELECT * FROM stat")(all_statistics)
 
 @query("C5_corpus_statistics_with_provenance", f"""
   SELECT {TIDY}, observational, '2026-01-01T00:00:00Z' AS generated_at, 1 AS schema_version,
-    CASE WHEN observational THEN '{S.REBUTTAL_NOTE}' END AS note, '0' AS corpus_hash FROM stat""")
+    CASE WHEN observational THEN '{S.REBUTTAL_NOTE}' END AS note, (SELECT corpus_hash FROM corpus_digest) AS corpus_hash FROM stat""")
 def c5(spark, path):
-    return ST.with_provenance(all_statistics(spark, path), "0", "2026-01-01T00:00:00Z")
+    from colloquy.functions.digests import corpus_digest
+
+    digest = corpus_digest(D.order_forums(spark, path, False), D.order_reviews(spark, path)).first().corpus_hash
+    return ST.with_provenance(all_statistics(spark, path), digest, "2026-01-01T00:00:00Z")
 
 
 @query("S8_statistics_table_round_trip", f"SELECT {TIDY}, observational FROM stat")
