@@ -408,6 +408,43 @@ def c3(spark, path):
     return _dataset(spark, path)[2].manifest.drop("private_labels_hash")
 
 
+def _documents_dataset(spark, path, abstract):
+    """A dataset of all documents as reviews and responses, Spanish forums for calibration."""
+    c, out = D.documents_corpus(spark, path), scratch_dir(spark)
+    forum = c.forum if abstract is None else c.forum.withColumn("abstract", abstract)
+    cal = forum.where(F.col("venue_family") == "es").select("forum_id")
+    return c, forum, SP.prepare_dataset(forum, c.review, c.response, cal, out, seed=SEED, digits=DIGITS)
+
+
+@query("C3_documents_dataset_clean", f"""
+  SELECT f.forum_id, f.venue_family, 'Texts of ' || f.forum_id AS abstract,
+    round(sum(initial_value) / count(initial_value), {DIGITS}) AS initial_rating_target,
+    CASE WHEN decision IN ('accept', 'reject') THEN decision END AS final_decision_target
+  FROM dforum f LEFT JOIN dreview r USING (forum_id) WHERE f.venue_family <> 'es'
+  GROUP BY f.forum_id, f.venue_family, decision HAVING count(initial_value) > 0 OR decision IN ('accept', 'reject')""")
+def c3_documents(spark, path):
+    """No whole text stands in a title or abstract: the leak check reads all of them and lets the dataset pass."""
+    ds = _documents_dataset(spark, path, F.concat(F.lit("Texts of "), "forum_id"))[2]
+    return ds.inputs.join(ds.labels, ["forum_id", "venue_family"]).select(
+        "forum_id", "venue_family", "abstract", "initial_rating_target", "final_decision_target")
+
+
+@query("C3_documents_dataset_refused", """
+  SELECT DISTINCT n.forum_id AS entity_id FROM dneedle n JOIN dforum f USING (forum_id)
+  WHERE f.venue_family <> 'es' AND length(needle) >= 25 AND contains(lower(title || chr(10) || abstract), lower(needle))""")
+def c3_refused(spark, path):
+    """Abstracts that are documents of their forum leak review texts: no dataset is written."""
+    c = D.documents_corpus(spark, path)
+    try:
+        _documents_dataset(spark, path, None)
+    except ValueError as refused:
+        if "leaked" not in str(refused):
+            raise
+        kept = c.forum.where(F.col("venue_family") != "es")
+        return SP.text_leaks(SP.model_inputs(kept), c.review, c.response, kept).select("entity_id").distinct()
+    raise AssertionError("a dataset with leaks was written")
+
+
 @query("S9_S10_dataset_written_and_loaded", """
   SELECT l.forum_id, l.venue_family, l.venue_year, coalesce(f.title, '') AS title,
     initial_rating_target, final_decision_target
