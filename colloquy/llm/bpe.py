@@ -7,13 +7,15 @@ so that the sum along a word's path is its number and points at its ids. The fil
 shared folder; Spark hands it to every executor, where it is memory-mapped, so the workers of a
 machine share its pages. Words that the automaton does not accept are merged exactly by rank.
 
-A worker remembers short segments it has met, in a memo of bounded size; a batch's new words walk
-through the automaton together, one byte of all of them at a time.
+A worker cuts a column of texts into segments on its bytes and looks at the distinct ones only. It
+remembers short segments and words, in a memo of bounded size; new words walk through the automaton
+together, one byte of all of them at a time.
 
 Decoding turns ids back into bytes and reads them as UTF-8.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; ids outside the
-vocabulary raise an error; an empty table gives an empty result; further columns are kept.
+vocabulary raise an error; an empty table gives an empty result; further columns are kept, a column
+with the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.common import new_path, staged, text_of
-from colloquy.llm.segments import PRETOKENS, SPECIAL, Memo, split
+from colloquy.llm.segments import PRETOKENS, SPECIAL, as_strings, cut, pieces
 
 LEXICON_WORDS = 131_072
 LONGEST = 48  # bytes of a word in the lexicon
-NO_RANK = 1 << 40
+NO_RANK = (1 << 31) - 1
 
 
 class Vocabulary:
@@ -68,6 +70,10 @@ class Vocabulary:
         self.find_words = regex.compile(PRETOKENS).findall
         self._index_pairs()
 
+    def as_array(self) -> pa.Array:
+        """The bytes of each id."""
+        return pa.array(self.bytes, pa.large_binary())
+
     def words(self, segment: str) -> list[str]:
         """A segment's pre-tokens."""
         if segment.isalpha() or segment[:1] == " " and segment[1:].isalpha():
@@ -80,7 +86,7 @@ class Vocabulary:
         keys = np.array([a << 32 | b for a, b in self.merges] or [0], np.int64)[: len(self.merges)]
         made = np.array([*self.merges.values()], np.int64).reshape(-1, 2)
         self.pair = np.full(1 << self.bits, -1, np.int64)
-        self.pair_rank = np.full(1 << self.bits, NO_RANK, np.int64)
+        self.pair_rank = np.full(1 << self.bits, NO_RANK, np.int32)
         self.made = made[np.argsort(made[:, 0]), 1]  # by rank
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -98,7 +104,7 @@ class Vocabulary:
         """The rank of each pair, NO_RANK where none merges; -1 stands for no id."""
         keys = np.ascontiguousarray(a << 32 | b).ravel()
         slot = self._slot(keys)
-        out = np.full(len(keys), NO_RANK, np.int64)
+        out = np.full(len(keys), NO_RANK, np.int32)
         left = np.flatnonzero((a.ravel() >= 0) & (b.ravel() >= 0))
         while len(left):
             held = self.pair[slot[left]]
@@ -129,24 +135,27 @@ class Vocabulary:
         return out
 
     def _merge_matrix(self, ids: np.ndarray) -> None:
-        """Merge every row as `merge` does; rows end in -1."""
-        width = ids.shape[1]
-        rank = np.full(ids.shape, NO_RANK, np.int64)  # of the pair that begins at each place
+        """Merge every row as `merge` does; rows end in -1. Rows still merging lose one place a step."""
+        rank = np.full(ids.shape, NO_RANK, np.int32)  # of the pair that begins at each place
         rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-        rows, now, places = np.arange(len(ids)), ids, np.arange(width)
+        rows, now = np.arange(len(ids)), ids.copy()
         while len(rows):
             at = rank.argmin(1)
             best = rank[np.arange(len(rows)), at]
             go = best < NO_RANK
-            ids[rows[~go]] = now[~go]
-            rows, at = rows[go], at[go]
-            source = np.minimum(places + (places > at[:, None]), width - 1)
-            now, rank = np.take_along_axis(now[go], source, 1), np.take_along_axis(rank[go], source, 1)
-            n, made = np.arange(len(rows)), self.made[best[go]]
+            if not go.all():
+                ids[rows[~go], : now.shape[1]] = now[~go]
+                ids[rows[~go], now.shape[1] :] = -1
+                rows, at, best, now, rank = rows[go], at[go], best[go], now[go], rank[go]
+            n, made, width = np.arange(len(rows)), self.made[best], now.shape[1] - 1
+            keep = np.ones(now.shape, bool)
+            keep[n, at + 1] = False
+            now, rank = now[keep].reshape(-1, width), rank[keep].reshape(-1, width)
             now[n, at] = made
-            rank[n, at] = self.ranks(made, now[n, np.minimum(at + 1, width - 1)])
             back = np.flatnonzero(at > 0)
-            rank[back, at[back] - 1] = self.ranks(now[back, at[back] - 1], made[back])
+            found = self.ranks(np.r_[made, now[back, at[back] - 1]],
+                               np.r_[now[n, np.minimum(at + 1, width - 1)], made[back]])
+            rank[n, at], rank[back, at[back] - 1] = found[: len(n)], found[len(n) :]
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: again and again the leftmost pair of the lowest rank."""
@@ -270,43 +279,54 @@ def vocabulary(file: str) -> Vocabulary:
 class Encoder:
     """Segments to ids: the lexicon first, exact merging for the rest."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocab, self.lexicon = vocab, lexicon
-        self.memo = Memo(lambda segment: self.learn([segment])[segment])
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, most: int = 900_000):
+        self.vocab, self.lexicon, self.most = vocab, lexicon, most
+        self.marks = {s: np.array([i], "<i4").tobytes() for s, i in vocab.special.items() if s == SPECIAL}
+        self.memo: dict[str, bytes] = dict(self.marks)  # of short segments and words
 
-    def learn(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids of distinct segments as little-endian 32-bit, their words walking the automaton together."""
-        words = [[w.encode() for w in self.vocab.words(s)] for s in segments]
-        known = {w: None for group in words for w in group}
-        short = [w for w in known if len(w) <= LONGEST]
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words as little-endian 32-bit; they walk the automaton together."""
+        raw = [w.encode() for w in words]
+        ids: list[bytes | None] = [None] * len(raw)
         if self.lexicon is not None:
-            number = self.lexicon.numbers(short)
+            short = [i for i, w in enumerate(raw) if len(w) <= LONGEST]
+            number = self.lexicon.numbers([raw[i] for i in short])
             found = np.flatnonzero(number >= 0)
             begin, end = (self.lexicon.ends[number[found] + i].tolist() for i in (0, 1))
             for i, a, b in zip(found.tolist(), begin, end):
-                known[short[i]] = self.lexicon.ids[a:b].tobytes()
-        unseen = [w for w, ids in known.items() if ids is None]
-        known.update(zip(unseen, self.vocab.merge_all(unseen)))
-        return {s: b"".join(known[w] for w in group) for s, group in zip(segments, words)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, out = self.memo, []
-        for at in range(0, len(texts), 512):
-            cut = [split(t) if SPECIAL not in t else None for t in texts[at : at + 512]]
-            new = {s for c in cut if c for s in c if s not in memo and len(s) <= memo.longest}
-            if new:
-                if len(memo) + len(new) > memo.most:
-                    memo.clear()
-                    new = {s for c in cut if c for s in c if len(s) <= memo.longest}
-                memo.update(self.learn(list(new)))
-            get = memo.__getitem__
-            out += [b"".join(map(get, c)) if c is not None else self._special(t)
-                    for c, t in zip(cut, texts[at : at + 512])]
+                ids[short[i]] = self.lexicon.ids[a:b].tobytes()
+        unseen = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(unseen, self.vocab.merge_all([raw[i] for i in unseen])):
+            ids[i] = x
+        return dict(zip(words, ids))
+
+    def ids_of(self, segments: list[str]) -> list[bytes]:
+        """Ids of distinct segments. A word alone is its own only word, so one memo serves both."""
+        memo = self.memo
+        out = list(map(memo.get, segments))
+        new = [i for i, x in enumerate(out) if x is None]
+        if not new:
+            return out
+        groups = [self.vocab.words(segments[i]) for i in new]
+        known = self.word_ids(list(set().union(*groups).difference(memo)))
+        for i, group in zip(new, groups):
+            out[i] = b"".join([known.get(w) or memo[w] for w in group])
+        if len(memo) + len(known) + len(new) > self.most:
+            memo.clear()
+            memo.update(self.marks)
+        memo.update((w, x) for w, x in known.items() if len(w) <= LONGEST)
+        memo.update((segments[i], out[i]) for i in new if len(segments[i]) <= LONGEST)
         return out
 
-    def _special(self, text: str) -> bytes:
-        mark = np.array([self.vocab.special[SPECIAL]], "<i4").tobytes()
-        return mark.join(b"".join(map(self.memo.__getitem__, split(part))) for part in text.split(SPECIAL))
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end. Only distinct segments pass Python."""
+        segments, first = cut(texts)
+        coded = segments.dictionary_encode()
+        ids = pa.array(self.ids_of(as_strings(coded.dictionary)), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return np.zeros(0, "<i4"), np.zeros(len(texts), np.int64)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
+        return np.frombuffer(ids.buffers()[2], "<i4")[: ends[-1]], ends[first[1:]]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -331,23 +351,30 @@ def word_counts(docs: DataFrame, tokenizer_file: str, text_col: str = "text") ->
         def out(segments: Counter) -> pa.RecordBatch:
             words: Counter = Counter()
             for s, n in segments.items():
-                for w in words_of(s):
+                for w in words_of(s) if s != SPECIAL else ():
                     words[w] += n
+            raw = [w.encode() for w in words]
+            short = [i for i, w in enumerate(raw) if len(w) <= LONGEST]
+            n = list(words.values())
             return pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())],
-                ["word", "n"])
+                [pa.array([raw[i] for i in short], pa.binary()), pa.array([n[i] for i in short], pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
+        held = 0
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(s for t in text.as_py().split(SPECIAL) for s in split(t) if len(s) <= LONGEST)
-                if len(seen) > 300_000:
+            for texts in pieces(batch.column(0)):
+                counts = cut(texts)[0].value_counts()
+                for s, n in zip(as_strings(counts.field(0)), counts.field(1).to_numpy().tolist()):
+                    if s not in seen:
+                        held += len(s)
+                    seen[s] += n
+                if held > 4_000_000:
                     yield out(seen)
-                    seen = Counter()
+                    seen, held = Counter(), 0
         yield out(seen)
 
     rows = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "word binary, n long")
-    return rows.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
@@ -390,11 +417,12 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_file, lexicon)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ids = coder.encode(batch.column(0).to_pylist())
-                ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            at = 0
+            for texts in pieces(whole.column(0)):
+                batch = whole.slice(at, len(texts))
+                at += len(texts)
+                flat, ends = coder.encode_column(texts)
+                column = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*batch.schema.names[1:], "ids"])
 
     return rows.mapInArrow(run, schema)
@@ -402,18 +430,21 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text",
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with a further column: the text of its ids, invalid UTF-8 read as U+FFFD."""
+    encoded = encoded.drop(text_col)  # of the same name, in any case
     schema = T.StructType([*encoded.schema, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary(tokenizer_file).bytes.__getitem__
+        tokens = vocabulary(tokenizer_file).as_array()
         for whole in batches:
             at = whole.schema.names.index(ids_col)
             for first in range(0, whole.num_rows, 1024):
                 batch = whole.slice(first, 1024)
                 column = batch.column(at)
-                flat, ends = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy().cumsum()
-                texts = [b"".join(map(get, x.tolist())).decode("utf-8", "replace")
-                         for x in np.split(flat, ends[:-1])] if len(ends) else []
+                found = tokens.take(column.flatten())
+                ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, int)
+                data = memoryview(found.buffers()[2]) if len(found) else b""
+                cuts = ends[np.r_[0, column.value_lengths().fill_null(0).to_numpy().cumsum()]].tolist()
+                texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
     return encoded.mapInArrow(run, schema)

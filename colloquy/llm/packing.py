@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.bpe import encoder
 from colloquy.llm.common import text_of
+from colloquy.llm.segments import pieces
 
 WINDOW = 1024
 SCHEMA = ("start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -122,7 +124,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, separator:
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_file).encode
+        encode = encoder(tokenizer_file).encode_column
         packer = Packer(TaskContext.get().partitionId() << 40, window, most_open)
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "ids"]
@@ -136,10 +138,12 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, separator:
         key_type = None
         for whole in batches:
             key_type = whole.schema.field(0).type
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                    packer.add(key, ids + end)
+            keys = iter(whole.column(0).to_pylist())
+            for texts in pieces(whole.column(1)):
+                flat, ends = encode(texts)
+                data, ends = flat.tobytes(), (4 * ends).tolist()
+                for key, a, b in zip(islice(keys, len(texts)), [0, *ends], ends):
+                    packer.add(key, data[a:b] + end)
                     if len(packer.closed) >= 4096:
                         yield out(key_type)
         if key_type is not None:
