@@ -4,8 +4,8 @@ Fingerprints that differ in at most three of 64 bits agree in one of four blocks
 other distances in one of as many blocks as the distance and one. So the index is a forest of trees, whose first level below the root has one node per value of the
 tree's block: the shared masked pattern of all fingerprints there. Two fingerprints are compared
 in the trees where they share that node, which loses no link. Below, a node's fingerprints are
-sorted by Gray rank, so that neighbours share most bits; runs of eight form a node, and eight
-nodes the next one up. A node keeps the bits its members have in common. For two nodes, the common
+sorted by Gray rank, so that neighbours share most bits; two neighbours form a node, and two
+nodes the next one up, in nodes of every size. A node keeps the bits its members have in common. For two nodes, the common
 bits in which they differ are differences that all their pairs have accumulated; beyond the
 distance, the whole group of pairs is pruned.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import ROW, numbered, row_id, staged, text_of
 
 DISTANCE = 3
-FAN = 8
+FAN = 2
 TILE_ROWS = 16_384
 CHECK_ROWS = 1024
 
@@ -98,59 +98,59 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class GrayTree:
-    """A hierarchical index over fingerprints in Gray order."""
+    """A hierarchical index over fingerprints in Gray order, inside runs of equal cells."""
 
-    def __init__(self, sorted_fps: np.ndarray):
+    def __init__(self, sorted_fps: np.ndarray, cell: np.ndarray | None = None):
         self.both, self.some = [sorted_fps], [sorted_fps]  # bits that all, and that some members have
-        while len(self.both[-1]) > FAN:
-            cut = np.arange(0, len(self.both[-1]), FAN)
+        self.first = [np.arange(len(sorted_fps) + 1)]  # a node's first child, one level down
+        self.compared = 0  # pairs of fingerprints that no upper node pruned
+        cell = np.zeros(len(sorted_fps), np.int64) if cell is None else cell
+        while True:
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+            place = np.arange(len(cell)) - np.repeat(starts, np.diff(np.r_[starts, len(cell)]))
+            if place.max(initial=0) < FAN:
+                break
+            cut = np.flatnonzero(place % FAN == 0)
+            self.first.append(np.r_[cut, len(cell)])
             self.both.append(np.bitwise_and.reduceat(self.both[-1], cut))
             self.some.append(np.bitwise_or.reduceat(self.some[-1], cut))
+            cell = cell[cut]
+        self.cell = cell  # of the roots, at most FAN a cell
 
     def links(self, distance: int = DISTANCE, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of places at the distance or nearer, in pieces."""
-        n = len(self.both[-1])
-        i, j = np.triu_indices(n)
-        stack = [(len(self.both) - 1, i, j)]
+        roots = len(self.cell)
+        same = [np.flatnonzero(self.cell[gap:] == self.cell[: roots - gap]) for gap in range(FAN)]
+        stack = [(len(self.both) - 1, np.concatenate(same), np.concatenate([i + gap for gap, i in enumerate(same)]))]
         child = np.arange(FAN)
         while stack:
             level, i, j = stack.pop()
             if len(i) > most:
                 stack += [(level, i[:most], j[:most]), (level, i[most:], j[most:])]
                 continue
+            if level == 0:
+                i, j = i[i != j], j[i != j]
+                self.compared += len(i)
             both, some = self.both[level], self.some[level]
             common = ~(both[i] ^ some[i]) & ~(both[j] ^ some[j])
             near = np.bitwise_count((both[i] ^ both[j]) & common) <= distance
             i, j = i[near], j[near]
             if level == 0:
-                apart = i != j
-                if apart.any():
-                    yield i[apart], j[apart]
+                if len(i):
+                    yield i, j
                 continue
-            for at in range(0, len(i), most // FAN**2):
-                a = (i[at : at + most // FAN**2, None, None] * FAN + child[:, None])
-                b = (j[at : at + most // FAN**2, None, None] * FAN + child[None, :])
-                a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-                size = len(self.both[level - 1])
-                ok = (a <= b) & (b < size)
-                stack.append((level - 1, a[ok], b[ok]))
+            first = self.first[level]
+            a, b = np.broadcast_arrays(first[i][:, None, None] + child[:, None], first[j][:, None, None] + child)
+            ok = (a < first[i + 1][:, None, None]) & (b < first[j + 1][:, None, None]) & (a <= b)
+            stack.append((level - 1, a[ok], b[ok]))
 
 
-def cell_links(cell: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(cell: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside the cells; cells are runs of equal numbers."""
     label = np.arange(len(fps))
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sizes = np.diff(np.r_[starts, len(fps)])
-    place = np.repeat(sizes <= small, sizes)
-    for gap in range(1, min(small, int(sizes.max(initial=0)))):
-        near = (cell[gap:] == cell[:-gap]) & place[gap:]
-        near &= np.bitwise_count(fps[gap:] ^ fps[:-gap]) <= distance
-        a = np.flatnonzero(near)
-        unite(label, a, a + gap)
-    for start, size in zip(starts[sizes > small], sizes[sizes > small]):
-        order = start + np.argsort(gray_rank(fps[start : start + size]), kind="stable")
-        for a, b in GrayTree(fps[order]).links(distance):
-            unite(label, order[a], order[b])
+    order = np.lexsort((gray_rank(fps), cell))
+    for a, b in GrayTree(fps[order], cell[order]).links(distance):
+        unite(label, order[a], order[b])
     tied = np.flatnonzero(label != np.arange(len(fps)))
     return fps[tied], fps[label[tied]]
 
