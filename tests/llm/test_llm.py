@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import bpe, chat, exact_dedup, packing, pii, quality, sharding, simhash, topk, toxicity
+from colloquy.llm import bpe, chat, exact_dedup, packing, pii, quality, queries, segments, sharding, simhash, topk, toxicity
 from colloquy.llm.queries import tokenizer_file
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, digest string, KEPT string"
@@ -290,10 +292,78 @@ def test_copies_of_a_sampled_id_leave_room_for_the_others(spark, monkeypatch, mo
 
     monkeypatch.setattr(module, "staged", count)
     model = toxicity.fit(table, marks, F.lit(True), max_rows=40) if module is toxicity else quality.fit(
-        table, marks, max_rows=40, max_pool=1)
+        table, marks, max_rows=40)
     assert model is not None
-    features = "toxic-features" if module is toxicity else "quality-features"
-    assert counts[features] == (40, 40)
+    if module is toxicity:
+        assert counts["toxic-features"] == (40, 40)
+    else:
+        assert counts["quality-features"][0] == 539 and counts["quality-pool"][0] == 0
+
+
+def test_quality_hands_pseudo_labels_of_the_whole_table(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 2, 3000)
+    a, b = (np.c_[truth * 2.0 - 1 + rng.normal(0, 0.9, 3000), rng.normal(0, 1, 3000)] for _ in range(2))
+    write = spark.createDataFrame([(x.tolist(), z.tolist()) for x, z in zip(a[200:], b[200:])], "a array<double>, b array<double>")
+    write.write.parquet(str(tmp_path / "pool"))
+    pool = spark.read.parquet(str(tmp_path / "pool"))
+    aside = np.arange(200) % 5 == 0
+    model = quality.co_train([a[:200], b[:200]], truth[:200].astype(float), aside, pool)
+    content, page, both = ((s >= 0.5) == truth for s in model([a, b]))
+    assert both.mean() > 0.92 and both.mean() >= max(content.mean(), page.mean()) - 0.01
+
+    # one round by hand: the cutoffs take at least the quota, and only of sure documents
+    views = [quality.Logistic(v[:200]).fit(v[:200], truth[:200]) for v in (a, b)]
+    odds = views[0].log_odds(a[200:])
+    bins = np.bincount(np.floor(odds * quality.BINS).astype(int) + quality.BINS * quality.LIMIT)
+    cuts = quality._cutoffs({i: n for i, n in enumerate(bins.tolist()) if n}, [100, 150], 0.9)
+    assert 100 <= (odds <= -cuts[0]).sum() <= 110 and 150 <= (odds >= cuts[1]).sum() <= 165
+    none = quality._cutoffs({quality.BINS * quality.LIMIT: 7}, [100, 100], 0.9)
+    assert none == (np.inf, np.inf)
+    labels = quality.taught([a[200:], b[200:]], [quality.Round(views, [cuts, none])])
+    assert (labels[0] == -1).all()
+    assert np.array_equal(labels[1], np.where(odds >= cuts[1], 1, np.where(odds <= -cuts[0], 0, -1)))
+
+
+@pytest.mark.parametrize("n, cells, distance", [(0, 1, 3), (1, 1, 3), (9, 1, 3), (31, 1, 3), (40, 1, 3), (700, 90, 3), (900, 7, 11)])
+def test_gray_index_finds_every_pair_of_cells_of_any_size(n, cells, distance):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**63, n // 6 + 1, dtype=np.uint64)
+    flip = [np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64) for _ in range(2)]
+    fps = np.unique(base[rng.integers(0, len(base), n)] ^ flip[0] ^ flip[1])
+    cell = np.sort(rng.integers(0, cells, len(fps)))
+    order = np.lexsort((simhash.gray_rank(fps), cell))
+    tree = simhash.GrayTree(fps[order], cell[order])
+    got = [(min(p), max(p)) for i, j in tree.links(distance) for p in zip(order[i].tolist(), order[j].tolist())]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if cell[i] == cell[j]]
+    assert sorted(got) == [(i, j) for i, j in pairs if int(fps[i] ^ fps[j]).bit_count() <= distance]
+    assert tree.compared <= len(pairs)
+    if n > 30 and distance == 3:
+        assert tree.compared < 0.7 * len(pairs)  # the rest is pruned in upper nodes
+
+
+def test_segments_of_a_column_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    file = queries.tokenizer_file()
+    library = Tokenizer.from_file(file)
+    draw = random.Random(1)
+    signs = [*" \n\t  aé漢1!'s<|>", "\x85", "\u3000", "<|endoftext|>", "'re", "don't", "Ab9"]
+    texts = ["", "x<|endoftext|> y<|endoftext|><|endoftext|>", "<|endof", "text|> q", "don't!!'s  they're", "語" * 500, "a" * 9000]
+    texts += ["".join(draw.choices(signs, k=draw.randint(0, 30))) for _ in range(1500)]
+    whole = pa.array(["cut off", *texts])
+    coder = bpe.Encoder(bpe.vocabulary(file), most=500)
+    for part in segments.pieces(whole.slice(1), most_bytes=2000):
+        flat, ends = coder.encode_column(part)
+        for text, low, high in zip(part.to_pylist(), [0, *ends], ends):
+            assert flat[low:high].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_decoding_replaces_a_column_of_the_same_name(spark):
+    coded = spark.createDataFrame([(1, "old", [64, 65]), (2, None, None)], "doc_id long, Decoded string, ids array<int>")
+    out = bpe.decode(coded, queries.tokenizer_file())
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    assert [r.decoded != "old" for r in out.orderBy("doc_id").collect()] == [True, True]
 
 
 def test_transcripts(spark):
