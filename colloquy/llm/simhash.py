@@ -14,9 +14,14 @@ by hash into tiles, and every pair of its tiles becomes a cell of its own. Cells
 forest of their links, never all pairs; components follow by alternating large-star and small-star
 rounds over tables in the shared folder. Copies of a fingerprint are one node all the way.
 
-With a `similarity`, links are only candidates: all linked rows of a candidate component that are not
-yet joined are compared by their sets of word shingles, in tiles too, and components follow from the
-links that hold.
+With a `similarity`, links are only candidates, and blocks of equal bits would be too narrow for the distance
+that it needs: cells would grow with the square of the table. So the trees' first levels are then masks of sampled
+bits, as many as keep a cell of unrelated fingerprints at some `KEY_ROWS`, in so many trees that a pair at the
+very distance is missed with probability `MISS`, a nearer one far less. A candidate link must also hold in a sketch of 64
+one-bit minima of the shingles, which pairs of the similarity miss about once in 10^5 and chance links
+hardly ever reach, so that candidate components are families of similar texts at any size of the table. All rows of a
+component that are not yet joined are compared by their sets of word shingles, in tiles too, and
+components follow from the links that hold.
 
 Defined results: a text without words, or null, has fingerprint zero and is linked like others;
 null ids are ignored for component ids, a component of null ids only has none; repeated rows share
@@ -25,6 +30,8 @@ fingerprint and component; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,43 +45,71 @@ DISTANCE = 3
 FAN = 2
 TILE_ROWS = 16_384
 CHECK_ROWS = 1024
+KEY_ROWS = 512
+MISS = 0.02
+ODD = np.random.default_rng(64).integers(0, 2**63, (64, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def simhash(text: str, shingle: int = 3) -> int:
-    """Bit i is set if it is set in over half the hashes of the word shingles."""
+def shingle_hashes(text: str, words: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles in order, in pieces; a shorter text is one shingle, an empty one has none."""
     import xxhash
 
-    words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return digest(joined, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    split = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
+    if not split:
+        return
+    joined, digest = b" ".join(split), xxhash.xxh64_intdigest
+    size = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(size + 1) - 1
-    n = len(words) - shingle + 1
-    starts = (ends - size)[:n].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    count = np.zeros(64, np.int64)
+    n = max(1, len(split) - words + 1)
+    starts, ends = (ends - size)[:n].tolist(), ends[min(words, len(split)) - 1 :].tolist()
     for at in range(0, n, 65_536):
-        h = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536])]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536])], "<u8")
+
+
+def simhash(text: str, shingle: int = 3) -> int:
+    """Bit i is set if it is set in over half the hashes of the word shingles."""
+    count, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, 42):
+        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def sketch(text: str, words: int) -> int:
+    """64 bits, one of the least shingle under each of 64 hash functions: texts of similarity s differ in (1 - s) / 2 of them."""
+    least = np.full(64, 2**64 - 1, np.uint64)
+    for h in shingle_hashes(text, words):
+        for at in range(0, len(h), 2048):
+            np.minimum(least, (ODD * h[at : at + 2048]).min(1), out=least)
+    return int(np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")[0])
+
+
+def sketch_distance(similarity: float) -> int:
+    """Differing bits of two sketches that pairs of the similarity exceed about once in 10^5."""
+    p = (1 - similarity) / 2
+    return math.ceil(64 * p + 4.7 * math.sqrt(64 * p * (1 - p)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 row_col: str | None = None, shingle: int = 3) -> DataFrame:
-    """(row_id, id, fp): the 64 bits as a signed long; row_id is row_col, or else the place in the scan."""
+                 row_col: str | None = None, shingle: int = 3, words: int | None = None) -> DataFrame:
+    """(row_id, id, fp): the 64 bits as a signed long; row_id is row_col, or else the place in the scan.
+
+    With `words`, also the sketch of the shingles of so many words."""
+
+    def longs(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, np.uint64).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([simhash(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["row_id", "id", "fp"])
+            texts = batch.column(2).to_pylist()
+            out = {"row_id": batch.column(0), "id": batch.column(1), "fp": longs([simhash(t, shingle) for t in texts])}
+            if words is not None:
+                out["sketch"] = longs([sketch(t, words) for t in texts])
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     row = F.col(row_col) if row_col else row_id()
-    return docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("id"),
-                       text_of(text_col).alias("text")).mapInArrow(run, "row_id long, id long, fp long")
+    return docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(
+        run, "row_id long, id long, fp long" + ("" if words is None else ", sketch long"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -145,29 +180,42 @@ class GrayTree:
             stack.append((level - 1, a[ok], b[ok]))
 
 
-def cell_links(cell: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside the cells; cells are runs of equal numbers."""
+def cell_links(cell: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, sketches: np.ndarray | None = None,
+               apart: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of places, of the links inside the cells; cells are runs of equal numbers.
+
+    Sketches of linked places differ in at most `apart` bits."""
     label = np.arange(len(fps))
     order = np.lexsort((gray_rank(fps), cell))
     for a, b in GrayTree(fps[order], cell[order]).links(distance):
-        unite(label, order[a], order[b])
+        a, b = order[a], order[b]
+        if sketches is not None:
+            near = np.bitwise_count(sketches[a] ^ sketches[b]) <= apart
+            a, b = a[near], b[near]
+        unite(label, a, b)
     tied = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[tied], fps[label[tied]]
+    return tied, label[tied]
 
 
-def links(distinct: DataFrame, tile_rows: int = TILE_ROWS, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between fingerprints, which connect exactly what links connect."""
+def _cell_edges(cells: DataFrame, distance: int, apart: int | None) -> DataFrame:
+    """Edges (a, b) of cells (node, low, high, fp), sorted by cell, or (node, low, high, fp, id, sketch) if sketches count.
+
+    Edges join fingerprints, or ids."""
+    width = 4 if apart is None else 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        held: list[np.ndarray] = [np.zeros((0, width), np.int64)]
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)] if len(rows) else np.zeros(0, bool)
-            a, b = cell_links(np.cumsum(new), np.ascontiguousarray(rows[:, 3]).view(np.uint64), distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            fps = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
+            extra = () if apart is None else (np.ascontiguousarray(rows[:, 5]).view(np.uint64), apart)
+            a, b = cell_links(np.cumsum(new), fps, distance, *extra)
+            name = rows[:, 3 if apart is None else 4]
+            return pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(width)], 1)
             rows = np.concatenate([*held, rows])
             last = len(rows) - int((rows[::-1, :3] == rows[-1, :3]).all(1).cumprod().sum()) if len(rows) else 0
             if last:
@@ -175,21 +223,53 @@ def links(distinct: DataFrame, tile_rows: int = TILE_ROWS, distance: int = DISTA
             held = [rows[last:]]
         yield out(np.concatenate(held))
 
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cells(blocks: DataFrame, sizes: DataFrame, how: str, tile_rows: int, *columns: str) -> DataFrame:
+    """Blocks with their sizes n, in tiles: a pair of tiles has a cell, and so has each tile."""
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / tile_rows).cast("int")
+    return (
+        blocks.join(sizes, "node", how)
+        .withColumn("tile", F.pmod(F.xxhash64(*columns), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select("node", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), *columns)
+        .repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", *columns)
+    )
+
+
+def links(distinct: DataFrame, tile_rows: int = TILE_ROWS, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) between fingerprints, which connect exactly what links connect."""
     cuts = [max(1, 64 * b // (distance + 1)) if b else 0 for b in range(distance + 2)]
     blocks = distinct.select("fp", F.posexplode(F.array(*[
         F.shiftrightunsigned("fp", a).bitwiseAND((1 << min(b - a, 16)) - 1).cast("int")
         for a, b in zip(cuts, cuts[1:])])).alias("block", "value"))
     blocks = blocks.select("fp", (F.col("block") * 65_536 + F.col("value")).alias("node"))
-    sizes = blocks.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(
-        "node", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    cells = (
-        blocks.join(F.broadcast(sizes), "node")  # at most 65,536 rows a block
-        .withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("node", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp")
-        .repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "fp")
-    )
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    sizes = blocks.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    # at most 65,536 nodes a block
+    return _cell_edges(_cells(blocks, F.broadcast(sizes), "inner", tile_rows, "fp"), distance, None)
+
+
+def bit_samples(n: int, distance: int) -> list[int]:
+    """Masks of sampled bits: n fingerprints make cells of some KEY_ROWS, and all masks miss a pair at the distance
+    with probability MISS. A table of up to KEY_ROWS has one empty mask, which misses none."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / KEY_ROWS)))
+    share = math.comb(64 - distance, bits) / math.comb(64, bits)
+    tables = 1 if share == 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+    draw = random.Random(bits)
+    return [sum(1 << b for b in draw.sample(range(64), bits)) for _ in range(tables)]
+
+
+def candidate_links(distinct: DataFrame, distance: int, similarity: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Edges (a, b) between the ids of distinct rows (fp, sketch, id), which connect what candidate links connect."""
+    masks = bit_samples(distinct.count(), distance)
+    signed = [m - 2**64 if m >> 63 else m for m in masks]
+    blocks = distinct.select("fp", "id", "sketch", F.posexplode(F.array(*[
+        F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "value"))
+    blocks = blocks.select("fp", "id", "sketch", F.xxhash64("mask", "value").alias("node"))
+    # written, so that the join knows the size of this table of nodes that are cut into tiles
+    sizes = staged(blocks.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows), "large-cells")
+    return _cell_edges(_cells(blocks, sizes, "left", tile_rows, "fp", "id", "sketch"), distance, sketch_distance(similarity))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,12 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles; a shorter text is one shingle, an empty one has none."""
-    import xxhash
-
-    w = text.encode().lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]))
-                               for i in range(max(1, len(w) - words + 1) if w else 0)], np.uint64))
+    """The sorted hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -314,9 +390,12 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = numbered(docs)
     if similarity is not None:
-        prints = staged(fingerprints(rows, id_col, text_col, ROW, shingle), "fingerprints")
-        _, roots = _rooted(prints, distance)
-        found = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        prints = staged(fingerprints(rows, id_col, text_col, ROW, shingle, words), "fingerprints")
+        distinct = staged(prints.groupBy("fp", "sketch").agg(F.min("row_id").alias("id")), "distinct")
+        roots = components(staged(candidate_links(distinct, distance, similarity), "links"))
+        roots = staged(distinct.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+            "fp", "sketch", F.coalesce("root", "id").alias("root")), "roots")
+        found = prints.join(roots, ["fp", "sketch"]).drop("sketch")
         shared = found.join(found.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "root").drop("n")
         texts = rows.select(F.col(ROW).alias("row_id"), text_of(text_col).alias("text"))
         held = staged(checked_links(shared.join(texts, "row_id"), distance, similarity, words), "checked")

@@ -253,6 +253,79 @@ def test_near_copies_of_similarity_are_merged_and_others_are_kept(spark):
     assert {r.node for r in got if r.node != r.root} == set(sets) - want
 
 
+def near_families(rng, families, copies, words, changed):
+    """(texts, word lists): families of near copies, each with some words replaced."""
+    out = []
+    for f in range(families):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        for _ in range(copies):
+            w = list(base)
+            for i in rng.choice(words, int(rng.integers(0, changed + 1)), replace=False):
+                w[i] = f"x{rng.integers(0, 10**9)}"
+            out.append(w)
+    return out
+
+
+def test_near_copies_equal_exact_similarity_over_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    lists = near_families(rng, 200, 4, 120, 3) + near_families(rng, 1, 40, 300, 6) + [[]] * 3 + [["one"]] * 2
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string").repartition(5)
+    sets = [set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} for w in lists]
+    label, pairs = list(range(len(sets))), []
+    by = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            by.setdefault(g, []).append(i)
+    near = {(i, j) for same in by.values() for i in same for j in same if i < j}
+    for i, j in sorted(near):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            pairs.append((i, j))
+            x, y = sorted((label[i], label[j]))
+            label = [x if v == y else v for v in label]
+    prints = simhash.fingerprints(docs, words=5).collect()
+    fp = {r.id: (r.fp % 2**64, r.sketch % 2**64) for r in prints}
+    bits, seal = (np.array([(fp[i][k] ^ fp[j][k]).bit_count() for i, j in pairs]) for k in range(2))
+    assert len(pairs) > 500 and seal.max() <= simhash.sketch_distance(0.8)
+    assert (bits <= 11).mean() >= 0.95  # 0.96: SimHash gives no guarantee
+    got = {r.doc_id for r in simhash.kept_documents(docs, distance=11, similarity=0.8).collect()}
+    want = set(label)
+    assert want <= got and len(got - want) <= 0.05 * len(sets)
+
+
+@pytest.mark.parametrize("n, tile_rows", [(300, 10_000), (3000, 10_000), (3000, 100)])
+def test_candidate_links_join_what_all_pairs_join(spark, n, tile_rows):
+    rng = np.random.default_rng(n)
+    base, seal = (rng.integers(0, 2**63, n // 5, dtype=np.uint64) for _ in range(2))
+    of = rng.integers(0, len(base), n)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64)) for k in rng.integers(1, 6, n)])
+    fps, marks = base[of] ^ flips, np.where(rng.random(n) < 0.9, seal[of], rng.integers(0, 2**63, n, dtype=np.uint64))
+    label = np.arange(n)
+    i, j = np.triu_indices(n, 1)
+    near = (np.bitwise_count(fps[i] ^ fps[j]) <= 11) & (np.bitwise_count(marks[i] ^ marks[j]) <= 18)
+    simhash.unite(label, i[near], j[near])
+    table = spark.createDataFrame([(int(f), int(s), k) for k, (f, s) in enumerate(zip(fps.view(np.int64), marks.view(np.int64)))],
+                                  "fp long, sketch long, id long").repartition(4)
+    got = {r.node: r.root for r in simhash.components(simhash.candidate_links(table, 11, 0.8, tile_rows)).collect()}
+    right = np.array([got.get(k, k) == label[k] for k in range(n)])
+    assert all(label[k] == label[v] for k, v in got.items())  # nothing is joined that should not be
+    assert right.all() if n <= simhash.KEY_ROWS else right.mean() >= 0.98
+
+
+def test_sketches_of_alike_texts_are_near_and_of_others_are_not():
+    rng = np.random.default_rng(9)
+    lists = near_families(rng, 200, 2, 200, 3)
+    seals = [simhash.sketch(" ".join(w), 5) for w in lists]
+    alike = [(a ^ b).bit_count() for a, b in zip(seals[::2], seals[1::2])]
+    others = [(a ^ b).bit_count() for a, b in zip(seals[::2], seals[3::2])]
+    assert max(alike) <= simhash.sketch_distance(0.8) == 18 and 28 < np.mean(others) < 36
+    assert simhash.sketch("", 5) == simhash.sketch("  ", 5) and len(simhash.shingle_set("", 5)) == 0
+    long = " ".join(str(i) for i in range(70_000))
+    assert len(simhash.shingle_set(long, 5)) == 69_996
+    words = long.encode().split()
+    import xxhash
+    assert int(simhash.shingle_set(long, 5)[0]) == min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(69_996))
+
+
 def test_toxicity_learns_and_scores_every_row(spark, docs, nothing):
     rows = [(i, f"plain words {i} here" + (" you utter scoundrel" if i % 3 == 0 else " thank you")) for i in range(300)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Score", F.lit("clash"))
@@ -400,15 +473,16 @@ def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     good = {i: t for i, t in rows if not 200 <= i < 300}
     last = {norm(t): i for i, t in sorted(good.items())}
     stay = {i: good[i] for i in last.values()}
-    fp = {i: brute_simhash(t) for i, t in stay.items()}
+    sets = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) for i, t in stay.items()}
     seen, kept = list(stay), set()
     while seen:
         group = [seen.pop()]
         for g in group:
-            near = [i for i in seen if (fp[i] ^ fp[g]).bit_count() <= 3]
+            near = [i for i in seen if len(sets[i] & sets[g]) >= 0.8 * len(sets[i] | sets[g])]
             seen = [i for i in seen if i not in near]
             group += near
         kept.add(min(group))
+    assert 300 not in kept and len(kept) < len(stay)
     assert {r.doc_id for r in out} == kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "pii", "packing"]
     assert public_tokenizers.path("byte_bpe_50k.json") == tokenizer_file()
