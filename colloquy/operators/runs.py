@@ -44,9 +44,10 @@ def parse_predictions(payloads: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def load_predictions(spark: SparkSession, path: str, system: str, split_bytes: int = 128 << 20) -> DataFrame:
-    """The rows of `parse_predictions` from a run file, read by as many tasks as it has splits."""
-    elements = json_elements(spark, path, split_bytes).where(F.col("key") == "predictions")
+def load_predictions(spark: SparkSession, path: str, system: str, split_bytes: int = 128 << 20,
+                     parts: bool = False) -> DataFrame:
+    """The rows of `parse_predictions` from a run file, or a folder of its parts, read by as many tasks as it has splits."""
+    elements = json_elements(spark, path, split_bytes, parts).where(F.col("key") == "predictions")
     return elements.select(F.lit(system).alias("system"), "position", F.try_parse_json("json").alias("p")).select(
         "system", "position", *_prediction(F.col("p")))
 
