@@ -1,9 +1,11 @@
 """The refresh queue as a stream: a forum comes out when it falls due.
 
-A processor keeps the newest known facts of each forum and one timer at its next refresh time. When the
-timer expires, the forum is emitted once, with the reason and priority the batch queue gives it; new
-facts replace the timer. States and timers live in the checkpoint, so a restarted query goes on where it
-stopped, and forums that fell due in the meantime come out at once.
+Forums are dealt by hash into a fixed number of buckets. A processor keeps the newest known facts of the
+forums of a bucket as one list and one timer at the earliest of their next refresh times. When the timer
+expires, the forums that fell due are emitted once, with the reason and priority the batch queue gives
+them; new facts replace old ones. So a batch reads and writes the list of a bucket once, not a state per
+forum. States and timers live in the checkpoint, so a restarted query goes on where it stopped, and
+forums that fell due in the meantime come out at once.
 
 The clock is the wall clock (such a query never runs out of batches: run it continuously or once at a time), or the event time of the rows, which only moves when rows arrive: replays
 and tests use it, with rows of no forum as ticks.
@@ -24,54 +26,79 @@ from colloquy.streaming.refresh import use_rocksdb
 
 CLOCKS = {"wall": "ProcessingTime", "event": "EventTime"}
 FACTS = "at_ms bigint, due_ms bigint, reason string, emitted boolean"
+BUCKETS = 4096
 
 
 class DueProcessor(StatefulProcessor):
-    """One value state and at most one timer per forum."""
+    """One list of facts and at most one timer per bucket of forums."""
 
-    def __init__(self, clock: str):
-        self._event = clock == "event"
+    def __init__(self, clock: str, key_type: str):
+        self._event, self._schema = clock == "event", f"forum_id {key_type}, {FACTS}"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._facts = handle.getValueState("facts", FACTS)
+        self._facts = handle.getListState("facts", self._schema)
 
     def _now(self, timer_values) -> int:
         return timer_values.getCurrentWatermarkInMs() if self._event else timer_values.getCurrentProcessingTimeInMs()
 
-    def _emit(self, key, due_ms: int, reason: str) -> Row:
-        return Row(forum_id=key[0], due_at=due_ms / 1000.0, reason=reason, priority=0 if reason == "missing_decision" else 1)
+    def _emit(self, forum_id, due_ms: int, reason: str) -> Row:
+        return Row(forum_id=forum_id, due_at=due_ms / 1000.0, reason=reason, priority=0 if reason == "missing_decision" else 1)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = None
-        for r in rows:  # only the newest one is kept
-            if newest is None or r.at_ms > newest.at_ms:
-                newest = r
-        if key[0] is None or newest is None:
-            return
-        if self._facts.exists():
-            at, due, _, emitted = self._facts.get()
-            if at > newest.at_ms:
-                return
-            if not emitted:
-                self._handle.deleteTimer(due)
-        if newest.reason is None:
+    def _known(self) -> dict:
+        return {f[0]: tuple(f[1:]) for f in self._facts.get()} if self._facts.exists() else {}
+
+    @staticmethod
+    def _earliest(known: dict) -> int | None:
+        return min((due for _, due, _, emitted in known.values() if not emitted), default=None)
+
+    def _keep(self, known: dict) -> None:
+        if known:
+            self._facts.put([(forum_id, *facts) for forum_id, facts in known.items()])
+        else:
             self._facts.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest: dict = {}
+        for r in rows:  # only the newest one of a forum is kept
+            if r.forum_id is not None and (r.forum_id not in newest or r.at_ms > newest[r.forum_id][0]):
+                newest[r.forum_id] = (r.at_ms, r.next_refresh_at, r.reason)
+        if not newest:
             return
-        due = newest.at_ms if newest.next_refresh_at is None else math.ceil(newest.next_refresh_at * 1000)
-        now = due <= self._now(timerValues) or newest.next_refresh_at is None
-        if not now:
-            self._handle.registerTimer(due)
-        self._facts.update((newest.at_ms, due, newest.reason, now))
-        if now:
-            yield self._emit(key, due, newest.reason)
+        known, clock = self._known(), self._now(timerValues)
+        before, held = self._earliest(known), bool(known)
+        for forum_id, (at, next_refresh_at, reason) in newest.items():
+            if forum_id in known and known[forum_id][0] > at:
+                continue
+            if reason is None:
+                known.pop(forum_id, None)
+                continue
+            due = at if next_refresh_at is None else math.ceil(next_refresh_at * 1000)
+            now = due <= clock or next_refresh_at is None
+            known[forum_id] = (at, due, reason, now)
+            if now:
+                yield self._emit(forum_id, due, reason)
+        if known or held:
+            self._keep(known)
+        after = self._earliest(known)
+        if after != before:
+            if before is not None:
+                self._handle.deleteTimer(before)
+            if after is not None:
+                self._handle.registerTimer(after)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._facts.exists():
-            at, due, reason, emitted = self._facts.get()
-            if not emitted and due == expiredTimerInfo.getExpiryTimeInMs():
-                self._facts.update((at, due, reason, True))
-                yield self._emit(key, due, reason)
+        known, expired, clock = self._known(), expiredTimerInfo.getExpiryTimeInMs(), self._now(timerValues)
+        if self._earliest(known) != expired:
+            return
+        for forum_id, (at, due, reason, emitted) in known.items():
+            if not emitted and (due <= expired or due < clock):
+                known[forum_id] = (at, due, reason, True)
+                yield self._emit(forum_id, due, reason)
+        self._keep(known)
+        after = self._earliest(known)
+        if after is not None:
+            self._handle.registerTimer(after)
 
     def close(self) -> None:
         pass
@@ -84,12 +111,12 @@ def with_tick(forums: DataFrame, now: float) -> DataFrame:
     return forums.unionByName(forums.sparkSession.range(1).select(*blank))
 
 
-def due_forums(forums: DataFrame, cycles=None, clock: str = "wall", key: str = "forum_id") -> DataFrame:
+def due_forums(forums: DataFrame, cycles=None, clock: str = "wall", key: str = "forum_id", buckets: int = BUCKETS) -> DataFrame:
     """Stream of (forum_id, due_at, reason, priority) from a stream of forum facts.
 
     Facts have the columns of the batch queue (decision, venue, status, next_refresh_at) and ``at``, the
     timestamp of their arrival; the newest facts of a forum count. Terminal forums and forums without a
-    reason never fall due; forums without a next refresh time are due on arrival."""
+    reason never fall due; forums without a next refresh time are due on arrival. ``buckets`` must stay the same for the life of a checkpoint."""
     if clock not in CLOCKS:
         raise ValueError(f"unknown clock: {clock!r}")
     use_rocksdb(forums.sparkSession)
@@ -99,7 +126,8 @@ def due_forums(forums: DataFrame, cycles=None, clock: str = "wall", key: str = "
         F.when(F.col(key).isNotNull() & ~terminal, refresh_reason(cycles=cycles)).alias("reason"))
     if clock == "event":
         facts = facts.withWatermark("at", "0 seconds")
-    return facts.groupBy("forum_id").transformWithState(
-        statefulProcessor=DueProcessor(clock),
-        outputStructType=f"forum_id {forums.schema[key].dataType.simpleString()}, due_at double, reason string, priority int",
+    key_type = forums.schema[key].dataType.simpleString()
+    return facts.withColumn("bucket", F.pmod(F.xxhash64("forum_id"), F.lit(buckets))).groupBy("bucket").transformWithState(
+        statefulProcessor=DueProcessor(clock, key_type),
+        outputStructType=f"forum_id {key_type}, due_at double, reason string, priority int",
         outputMode="Append", timeMode=CLOCKS[clock])

@@ -125,6 +125,20 @@ def test_due_forums_equal_the_batch_queue_at_chosen_times(spark, tmp_path):
     assert max(at_460.values()) == 1 and set(at_460) == {q for q in queue(newest, NOW + 460) if q[0] not in told} and len(at_460) > 20
 
 
+def test_due_forums_share_the_state_of_a_bucket(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    known, told = facts(spark, 7, [f"f{i}" for i in range(200)], NOW), []
+    for landed, now in ((known, NOW + 50), (known.limit(0), NOW + 120), (known.limit(0), NOW + 400)):
+        SD.with_tick(landed, now).coalesce(1).write.mode("append").parquet(src)
+        stream = SD.due_forums(spark.readStream.schema(known.schema).parquet(src), CYCLES, clock="event", buckets=2)
+        q = (stream.writeStream.outputMode("append").option("checkpointLocation", cp).trigger(availableNow=True)
+             .foreachBatch(AQ.append_versions(out)).start())
+        q.awaitTermination()
+        told = [r.forum_id for r in spark.read.parquet(out).collect()]
+        assert len(told) == len(set(told)) and set(told) == {r.forum_id for r in R.refresh_candidates(known, now, CYCLES).collect()}
+    assert len(told) > 20
+
+
 def test_due_forums_on_the_wall_clock(spark, tmp_path):
     known = facts(spark, 5, [f"f{i}" for i in range(40)], 1000.0)
     known.write.parquet(str(tmp_path / "in"))
