@@ -48,14 +48,15 @@ def needle_table(needles: DataFrame, key: str, text: str, min_chars: int) -> Dat
     )
 
 
-def _short_anchors(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(n, token): the tokens of which one must stand in a text that contains a short passage."""
+def _short_anchors(short: DataFrame, vocabulary: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(n, token): the tokens of which one must stand in a text that contains a short passage. Few asked
+    parts are broadcast, so the pieces of the vocabulary, far more than its tokens, are not shuffled."""
     head, tail = F.element_at("parts", 1), F.element_at("parts", -1)
     ends = F.char_length(head) >= F.char_length(tail)
     asked = short.select(
         "n", F.when(F.size("parts") == 1, "in").when(ends, "end").otherwise("start").alias("kind"),
         F.when((F.size("parts") == 1) | ends, head).otherwise(tail).alias("part"))
-    found = None
+    few, found = _small(asked, broadcast_rows), None
     for kind in ("in", "end", "start"):
         # one number per length of a token
         lengths = [r.n for r in asked.where(F.col("kind") == kind).select(F.char_length("part").alias("n")).distinct().collect()]
@@ -67,15 +68,24 @@ def _short_anchors(short: DataFrame, vocabulary: DataFrame) -> DataFrame:
             sized = sized.withColumn("at", F.explode(F.sequence(F.lit(1), F.char_length("token") - F.col("size") + 1)))
         else:
             sized = sized.withColumn("at", F.lit(1) if kind == "start" else F.char_length("token") - F.col("size") + 1)
-        pieces = sized.select("token", F.substring("token", F.col("at"), F.col("size")).alias("part")).distinct()
-        one = asked.where(F.col("kind") == kind).join(pieces, "part").select("n", "token")
+        pieces = sized.select("token", F.substring("token", F.col("at"), F.col("size")).alias("part"))
+        wanted = asked.where(F.col("kind") == kind)
+        one = pieces.join(F.broadcast(wanted), "part").select("n", "token").distinct() if few else wanted.join(
+            pieces.distinct(), "part").select("n", "token")
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def anchors(haystack: DataFrame, asked: DataFrame, text: str, folder: str, broadcast_rows: int) -> DataFrame:
+def text_words(haystack: DataFrame, key: str, text: str, folder: str) -> DataFrame:
+    """(key, token): the distinct tokens of every text, cut once for the vocabulary and for the candidates.
+    Texts are dealt evenly first, as a file of few row groups is read by few tasks."""
+    texts = haystack.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).hint("rebalance")
+    return _store(texts.select("_key", F.explode(F.array_distinct(_tokens(F.col("_text")))).alias("token")).where(
+        "token <> ''"), folder, "words")
+
+
+def anchors(words: DataFrame, asked: DataFrame, folder: str, broadcast_rows: int) -> DataFrame:
     """(token, n, texts): the tokens to look for, with the number of texts that hold them."""
-    words = haystack.select(F.explode(F.array_distinct(_tokens(F.lower(text)))).alias("token")).where("token <> ''")
     interior = F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 2, F.lit(0)))
     inner = _store(asked.select("n", F.explode(F.array_distinct(interior)).alias("token")), folder, "interior")
     short = asked.where(F.size("parts") < 3)
@@ -88,22 +98,21 @@ def anchors(haystack: DataFrame, asked: DataFrame, text: str, folder: str, broad
         F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "token")).alias("a"))
     out = rarest.where("a.texts > 0").select("a.token", "n", "a.texts")
     if not none_short:
-        out = out.unionByName(_short_anchors(short, counts).join(counts, "token").select("token", "n", "texts"))
+        out = out.unionByName(_short_anchors(short, counts, broadcast_rows).join(counts, "token").select("token", "n", "texts"))
     return _store(out, folder, "anchors")
 
 
-def candidates(haystack: DataFrame, found: DataFrame, key: str, text: str, broadcast_rows: int, tile_rows: int) -> DataFrame:
-    """Distinct (key, n): texts that hold an anchor of a passage."""
-    words = haystack.select(key, F.explode(F.array_distinct(_tokens(F.lower(text)))).alias("token")).where("token <> ''")
+def candidates(words: DataFrame, found: DataFrame, broadcast_rows: int, tile_rows: int) -> DataFrame:
+    """Distinct (_key, n): texts that hold an anchor of a passage."""
     if _small(found, broadcast_rows):
-        return words.join(F.broadcast(found), "token").select(key, "n").distinct()
+        return words.join(F.broadcast(found), "token").select("_key", "n").distinct()
     tiles = found.groupBy("token").agg(F.ceil(F.max("texts") / tile_rows).cast("int").alias("tiles"))
     hot = tiles.where("tiles > 1")
     hot = F.broadcast(hot) if _small(hot, broadcast_rows) else hot
     count = F.coalesce("tiles", F.lit(1))
     spread = found.join(tiles, "token").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    held = words.join(hot, "token", "left").withColumn("tile", F.pmod(F.xxhash64(key), count).cast("int"))
-    return held.select(key, "token", "tile").join(spread.select("token", "tile", "n"), ["token", "tile"]).select(key, "n").distinct()
+    held = words.join(hot, "token", "left").withColumn("tile", F.pmod(F.xxhash64("_key"), count).cast("int"))
+    return held.select("_key", "token", "tile").join(spread.select("token", "tile", "n"), ["token", "tile"]).select("_key", "n").distinct()
 
 
 def contained(haystack: DataFrame, needles: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -115,16 +124,18 @@ def contained(haystack: DataFrame, needles: DataFrame, *, key: str = "doc_id", t
     contains nothing. Texts of one key are looked through one by one."""
     folder = scratch_dir(haystack.sparkSession)
     asked = _store(needle_table(needles, needle_key, needle_text, min_chars), folder, "needles")
-    found = anchors(haystack, asked, text, folder, broadcast_rows)
-    pairs = _store(candidates(haystack, found, key, text, broadcast_rows, tile_rows).withColumnRenamed(key, "_key"), folder, "pairs")
+    words = text_words(haystack, key, text, folder)
+    found = anchors(words, asked, folder, broadcast_rows)
+    pairs = _store(candidates(words, found, broadcast_rows, tile_rows), folder, "pairs")
+    passages = asked.select("n", "needle_id", "needle", (F.size("parts") == 1).alias("sure"))
+    passages = F.broadcast(passages) if _small(passages, broadcast_rows // 20) else passages
+    met = pairs.join(passages, "n")
+    # a passage of one token stands in every text that holds a token it is part of; the others are compared
+    open_ = met.where(~F.col("sure"))
     texts = haystack.select(F.col(key), F.lower(text).alias("_text"))
-    keys = pairs.select("_key").distinct()
+    keys = open_.select("_key").distinct()
     if _small(keys, broadcast_rows):  # only texts with a candidate travel
         texts = texts.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    passages = asked.select("n", "needle_id", "needle")
-    passages = F.broadcast(passages) if _small(passages, broadcast_rows // 20) else passages
-    return (
-        pairs.join(passages, "n").join(texts, F.col("_key").eqNullSafe(F.col(key)))
-        .where(F.contains("_text", "needle"))
-        .select(key, F.col("needle_id").alias(needle_key)).distinct()
-    )
+    compared = open_.join(texts, F.col("_key").eqNullSafe(F.col(key))).where(F.contains("_text", "needle"))
+    return met.where("sure").unionByName(compared.select(met.columns)).select(
+        F.col("_key").alias(key), F.col("needle_id").alias(needle_key)).distinct()

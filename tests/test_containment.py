@@ -50,3 +50,19 @@ def test_anchored_passages_meet_no_text_by_a_nested_loop(spark, rows):
                        spark.createDataFrame(needles, "item_id int, text string"), broadcast_rows=rows)
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_texts_are_cut_once_and_pieces_of_the_vocabulary_are_not_shuffled(spark, monkeypatch, tmp_path):
+    docs, needles = case(5)
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    asked = CT.needle_table(spark.createDataFrame(needles, "item_id int, text string"), "item_id", "text", 1)
+    short = asked.where("size(parts) < 3")
+    words = CT.text_words(d, "doc_id", "text", str(tmp_path))
+    plan = CT._short_anchors(short, words.select("token").distinct(), 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.index("Join") < plan.index("Generate") and "strategy=broadcast" in plan
+    first = plan[plan.index("Join"):]
+    assert "Aggregate" not in first[:first.index("Generate")]  # distinct after the join, not on all pieces
+    cuts, cut = [], CT._tokens
+    monkeypatch.setattr(CT, "_tokens", lambda c: cuts.append(c) or cut(c))
+    CT.contained(d, spark.createDataFrame(needles, "item_id int, text string"), min_chars=1)
+    assert len(cuts) == 2  # passages once, texts once
