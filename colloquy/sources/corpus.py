@@ -173,11 +173,12 @@ def unknown_keys(lines: DataFrame, column: str = "value", public: bool = False)
 def latest_records(nested: DataFrame, version: str = "fetched_at") -> DataFrame:
     """Newest record of every forum, with all of its parts. Both windows keep one
     version per forum on the map side, before the shuffle. Of different records with
-    the same forum, version and part, a hash of the content decides."""
+    the same forum, version and part, a hash of the content decides; it is taken first, so
+    that the windows sort and shuffle it and the columns the caller reads, not whole records."""
     newest = W.partitionBy("forum_id").orderBy(F.col(version).desc_nulls_last())
-    kept = nested.withColumn("_v", F.rank().over(newest)).where(F.col("_v") == 1).drop("_v")
-    return latest(kept.withColumn("part", F.coalesce("part", F.lit(0))), ["forum_id", "part"],
-                  [F.col(version).desc_nulls_last(), F.xxhash64(*nested.columns)])
+    hashed = nested.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("_tie", F.xxhash64(*nested.columns))
+    kept = hashed.withColumn("_v", F.rank().over(newest)).where(F.col("_v") == 1).drop("_v")
+    return latest(kept, ["forum_id", "part"], [F.col(version).desc_nulls_last(), F.col("_tie")]).drop("_tie")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -158,6 +158,18 @@ def test_equal_versions_are_decided_by_content(spark):
     assert one == two and len(one) == 1
 
 
+def test_newest_records_sort_only_what_is_read(spark):
+    lines = spark.createDataFrame([('{"forum_id": "a", "venue_family": "x", "fetched_at": 1}',)], "value string")
+    got = SC.latest_records(SC.parse_corpus_lines(lines)).select("forum_id", "venue_family", "fetched_at")
+    node, sorted_columns = got._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "Window":
+            sorted_columns.append(node.child().output().mkString(" "))
+        node = node.children().apply(0)
+    assert len(sorted_columns) == 2 and not any("reviews" in c or "paper" in c for c in sorted_columns)
+    assert [tuple(r) for r in got.collect()] == [("a", "x", 1.0)]
+
+
 def test_hashes_equal_hashlib(spark):
     def want(*parts):
         h = hashlib.sha256()
