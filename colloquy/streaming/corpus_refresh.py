@@ -13,6 +13,8 @@ earlier batches and writes the same paths.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +55,21 @@ class RefreshedCorpus:
     def apply(self, batch_id: int, fetched: Corpus, results: DataFrame) -> None:
         """Take in a batch: one row per fetched forum with its reviews and responses, and the results of
         all refresh attempts (see `operators.refresh`)."""
-        forum = self._store(fetched.forum, "forum", batch_id)
-        review = self._store(fetched.review, "review", batch_id)
-        response = self._store(fetched.response, "response", batch_id)
-        texts = [c for c in S.REVIEW_TEXTS if c in review.columns]
-        self._store(redact_texts(review, texts), "public_review", batch_id)
-        self._store(redact_texts(response, ["text"]), "public_response", batch_id)
-        self._states(results, batch_id)
+        with ThreadPoolExecutor(4) as pool:  # jobs that do not wait for each other fill the cluster together
+            review, response, forum = (pool.submit(self._store, df, name, batch_id) for df, name in (
+                (fetched.review, "review"), (fetched.response, "response"), (fetched.forum, "forum")))
+            others = [pool.submit(self._states, results, batch_id)]
+            forum, review = forum.result(), review.result()
+            texts = [c for c in S.REVIEW_TEXTS if c in review.columns]
+            others.append(pool.submit(self._store, redact_texts(review, texts), "public_review", batch_id))
+            others.append(pool.submit(self._store, redact_texts(response.result(), ["text"]), "public_response", batch_id))
+            moved = self._moves(forum, review, batch_id)
+            for job in others:
+                job.result()
+        self.pointers.commit(batch_id, moved.select("forum_id", "n", "x", "s", "n_reviews", "fetched_at", "version"))
 
+    def _moves(self, forum: DataFrame, review: DataFrame, batch_id: int) -> DataFrame:
+        """Forums whose current version the batch holds, with their old shares; writes the manifest after them."""
         before = self.pointers.latest(batch_id)
         touched = [r.b for r in forum.select(self.pointers.bucket().alias("b")).distinct().collect()]
         known = self.pointers.read(before, touched)
@@ -74,7 +83,7 @@ class RefreshedCorpus:
         moved = self._store(shares.join(old, "forum_id", "left").where(
             F.col("old_fetched_at").isNull() | (F.col("fetched_at") >= F.col("old_fetched_at"))), "moves", batch_id)
         self._store(self._manifest_after(moved, before.batch_id), "manifest", batch_id)
-        self.pointers.commit(batch_id, moved.select("forum_id", "n", "x", "s", "n_reviews", "fetched_at", "version"))
+        return moved
 
     def _manifest_after(self, moved: DataFrame, last: int) -> DataFrame:
         """The parts of the manifest: those of the last one, changed by what the moved forums had and have."""

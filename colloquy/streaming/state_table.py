@@ -130,9 +130,10 @@ class StateTable:
     # --- writing ------------------------------------------------------------------------
 
     def _write(self, rows: DataFrame, kind: str, batch_id: int) -> list[int]:
-        """Write rows by bucket; the buckets that have rows."""
+        """Write rows by bucket; the buckets that have rows. Large buckets are cut into several files, so that
+        few buckets of many keys are not as few tasks."""
         target = f"{self.path}/{kind}/batch_id={batch_id}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
         return sorted(int(n.removeprefix("bucket=")) for n in self._names(f"{kind}/batch_id={batch_id}") if n.startswith("bucket="))
 
     def commit(self, batch_id: int, changed: DataFrame) -> Commit:

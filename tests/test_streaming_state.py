@@ -191,3 +191,36 @@ def test_refreshed_corpus_equals_full_recomputation(spark, tmp_path, monkeypatch
     assert corpus.manifest().first() == full and full.record_count == 10
     assert corpus.corpus(public=True).review.select("text.excerpt", "text.hash").count() == full.review_count
     assert {r.forum_id for r in corpus.states().collect()} == {"f01", "f02"}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k", buckets=1)
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        table.commit(0, spark.range(200_000).repartition(8).select(F.col("id").alias("k"), F.xxhash64("id").alias("v")))
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "t/delta/batch_id=0/bucket=0").glob("*.parquet"))) > 1
+    assert table.states().where(F.col("v") == F.xxhash64("k")).count() == 200_000
+
+
+def test_tables_of_a_batch_are_written_together(spark, tmp_path, monkeypatch):
+    from threading import Barrier
+
+    from colloquy.streaming.corpus_refresh import RefreshedCorpus
+    from tests.conftest import TWELVE, make_corpus
+
+    fetched, meet, real = make_corpus(spark, TWELVE[:2]), Barrier(3, timeout=60), RefreshedCorpus._store
+    fetched.forum = fetched.forum.withColumn("fetched_at", F.lit(1.0))
+
+    def store(self, df, name, batch_id):
+        if name in ("forum", "review", "response"):
+            meet.wait()
+        return real(self, df, name, batch_id)
+
+    monkeypatch.setattr(RefreshedCorpus, "_store", store)
+    corpus = RefreshedCorpus(spark, str(tmp_path / "c"), buckets=2, fold=2)
+    corpus.apply(0, fetched, spark.createDataFrame([], LOG))
+    assert corpus.table("forum").count() == 2
