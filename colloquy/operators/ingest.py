@@ -173,9 +173,10 @@ def _legacy_reviews(rows: DataFrame) -> DataFrame:
 
 def legacy_families(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Add family (registry look-up, else 'unknown') and year of the display name.
-    Whether the registry is broadcast follows from its size."""
+    The registry has one row per venue and is broadcast, so the reviews are not shuffled by
+    the few names."""
     names = registry.select("display_name", F.col("family").alias("_fam"))
-    return rows.join(names, "display_name", "left").withColumns({
+    return rows.join(F.broadcast(names), "display_name", "left").withColumns({
         "venue_family": F.coalesce("_fam", F.lit("unknown")),
         "venue_year": year_of("display_name"),
     }).drop("_fam")
@@ -204,9 +205,10 @@ def migrated(reviews: DataFrame, registry: DataFrame) -> Corpus:
     identity = F.when(
         F.coalesce("note_id", F.lit("")) != "", F.concat(F.lit("id "), "note_id")
     ).otherwise(F.concat_ws(" ", F.lit("row"), *first))
+    key = ["venue_family", "forum_id", "_key"]  # behind its hash: sorts compare one number, not three texts
     review = (
-        latest(rows.withColumn("_key", identity), ["venue_family", "forum_id", "_key"], first)
-        .drop("_dump", "_place", "_pos", "_key", "display_name")
+        latest(rows.withColumn("_key", identity).withColumn("_hash", F.xxhash64(*key)), ["_hash", *key], first)
+        .drop("_dump", "_place", "_pos", "_key", "_hash", "display_name")
         .withColumn("content_hash", review_hash())
     )
     none = rows.select("forum_id").where(F.lit(False))

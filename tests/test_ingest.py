@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,19 @@ def test_legacy_names_keep_document_order(spark):
     assert (c.forum.first().venue_year, c.review.first().initial_value) == (2024, 2.0)
 
 
+def test_legacy_reviews_are_shuffled_once_and_sorted_by_a_hash(spark):
+    review = lambda n, v: {"forum_id": "f", "note_id": n, "rating_num": v}
+    rows = [(json.dumps({name: [review("n", v), review(f"n{v}", v), review(None, v)]}), v)
+            for v, name in enumerate(("ICLR 2024", "ICLR 2023", "Other", "Other"))]
+    c = I.migrate_legacy(spark.createDataFrame(rows[::-1], "json string, dump_order int").repartition(4), S.venue_registry(spark))
+    text = c.review._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.venue_family, r.note_id or "", r.initial_value) for r in c.review.collect())
+    assert got == [("iclr", "", 0.0), ("iclr", "", 1.0), ("iclr", "n", 0.0), ("iclr", "n0", 0.0), ("iclr", "n1", 1.0),
+                   ("unknown", "", 2.0), ("unknown", "", 3.0), ("unknown", "n", 2.0), ("unknown", "n2", 2.0), ("unknown", "n3", 3.0)]
+    shuffles, sorts = re.findall(r"Exchange hashpartitioning\((\w+)", text), re.findall(r" Sort \[(\w+)", text)
+    assert shuffles == ["_hash"] and set(sorts) == {"_hash"} and "BroadcastHashJoin" in text
+
+
 def test_corrupt_lines_and_unknown_keys(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"forum_id": "a", "fetched_at": 1.0}\n{"forum_id": \n')
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
