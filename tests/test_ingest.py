@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from colloquy.functions import labels as L
 from colloquy.functions import notes as N
 from colloquy.functions import text as TX
 from colloquy.operators import ingest as I
+from colloquy.plans import QUERIES
 from colloquy.sources import corpus as SC
 from tests.conftest import lit_row
 
@@ -156,6 +158,30 @@ def test_legacy_reviews_are_shuffled_once_and_sorted_by_a_hash(spark):
     assert shuffles == ["_hash"] and set(sorts) == {"_hash"} and "BroadcastHashJoin" in text
 
 
+def test_legacy_document_is_dropped_once_it_is_read(spark, tmp_path):
+    lines = spark.range(300).selectExpr(
+        "id div 3 AS l_orderkey", "cast(id % 3 + 1 AS int) AS l_linenumber", "id * 7 % 90 AS l_partkey", "id % 11 AS l_suppkey",
+        "(id % 4) / 100.0D AS l_discount", "(id % 5) / 100.0D AS l_tax", "timestamp_ntz '1996-01-01' AS l_shipdate",
+        "cast(array('N', 'R')[id % 2] AS string) AS l_returnflag")
+    lines.unionByName(lines.where("l_orderkey < 20 AND l_discount > 0.005")).write.parquet(f"{tmp_path}/lineitem.parquet")  # some dumps come twice
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before, shuffles = set(scratch.glob("*/*")), local_shuffles(spark)
+    got = QUERIES["S5_migrate_legacy_reviews_from_one_file"](spark, str(tmp_path))
+    names = {p.name for p in set(scratch.glob("*/*")) - before}
+    assert names and not names & {"reviews", "document"}
+    assert local_shuffles(spark) - shuffles < 20_000  # the document's lines were 70 kB of them
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\((\w+)", text) == ["_hash"]
+    want = QUERIES["S5_migrate_legacy_reviews"](spark, str(tmp_path)).select(*got.columns)
+    assert got.count() > 250 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def local_shuffles(spark):
+    """Bytes of shuffle data on the disk of this session."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for d in folders for f in Path(d).glob("*/shuffle_*.data"))
+
+
 def test_corrupt_lines_and_unknown_keys(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"forum_id": "a", "fetched_at": 1.0}\n{"forum_id": \n')
     with pytest.raises(Exception, match="FAILED_READ_FILE|MALFORMED"):
